@@ -39,8 +39,43 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=1, window=2048)
 
 
+def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .private_data import digest, find
+
+    return digest(find(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import new_folder
+    from .secret_scan import digest, scan
+
+    return digest(scan(documents(spark, sf_dir), new_folder(spark, "secret-ledger")))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(documents(spark, sf_dir))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contained
+
+    return contained(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), rate=0.1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_store, op4_token_counts, op5_packing)
+    f.__name__: f
+    for f in (
+        op3_token_store, op4_token_counts, op5_packing, op6_private_data, op7_embedding_dedup, op8_secret_scan,
+        op9_language_id, op10_decontamination,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
