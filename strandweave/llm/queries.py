@@ -15,9 +15,17 @@ def tokenizer_file(name: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Whole texts are long: smaller batches keep a worker's share of memory small.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir), k=4, percent=85)
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import new_folder
     from .token_store import read_store, write_store
@@ -73,7 +81,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op3_token_store, op4_token_counts, op5_packing, op6_private_data, op7_embedding_dedup, op8_secret_scan,
+        op1_ngram_join, op3_token_store, op4_token_counts, op5_packing, op6_private_data, op7_embedding_dedup, op8_secret_scan,
         op9_language_id, op10_decontamination,
     )
 }

@@ -36,28 +36,34 @@ def _gear(size: int = 1 << 16) -> np.ndarray:
     return np.random.default_rng(20240229).integers(0, 1 << 63, size, np.uint64)
 
 
-def cut(ids: np.ndarray, gear: np.ndarray, mean: int = 256, least: int = 64, most: int = 2048) -> list[int]:
-    """Ends of the chunks of one id stream: a chunk ends where the rolling hash's top bits are 0."""
+def cut(ids: np.ndarray, doc_ends: np.ndarray, gear: np.ndarray, mean: int = 256, least: int = 64, most: int = 2048) -> list[list[int]]:
+    """Ends of the chunks of each document in a row of id streams: a chunk ends where the rolling hash's top
+    bits are 0.  What the hash sees of the document before is without effect, as ``least`` exceeds its window."""
     h = gear[ids & (len(gear) - 1)]
     for k in range(WINDOW_DOUBLINGS):
         shift = 1 << k
         if len(h) > shift:
             h = np.concatenate([h[:shift], h[shift:] + (h[:-shift] << np.uint64(shift))])
     marks = np.flatnonzero((h >> np.uint64(20)) % np.uint64(mean) == 0) + 1
-    ends, at = [], 0
-    for m in marks.tolist():
-        while m - at > most:
+    splits = np.searchsorted(marks, doc_ends, "right").tolist()
+    marks, out, at, first = marks.tolist(), [], 0, 0
+    for end, last in zip(doc_ends.tolist(), splits):
+        ends = []
+        for m in marks[first:last]:
+            while m - at > most:
+                at += most
+                ends.append(at)
+            if m - at >= least:
+                ends.append(m)
+                at = m
+        while end - at > most:
             at += most
             ends.append(at)
-        if m - at >= least:
-            ends.append(m)
-            at = m
-    while len(ids) - at > most:
-        at += most
-        ends.append(at)
-    if at < len(ids):
-        ends.append(len(ids))
-    return ends
+        if at < end:
+            ends.append(end)
+        at, first = end, last
+        out.append(ends)
+    return out
 
 
 def merkle(digests: list[bytes]) -> bytes:
@@ -79,42 +85,40 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int, id_col: st
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
-                rows: dict[str, list] = {k: [] for k in ("kind", "key", "id", "n_ids", "body", "root")}
-                tokens = codec(path)
-                for key, ids in zip(piece.column(0).to_pylist(), tokens.encode(piece.column(1).to_pylist())):
-                    ids = np.append(ids, np.array(end_id, ids.dtype))
-                    raw, size, digests, last = ids.tobytes(), ids.dtype.itemsize, [], 0
-                    for e in cut(ids, gear):
-                        body = raw[last * size : e * size]
-                        digests.append(d := hashlib.sha256(body).digest())
+                streams = codec(path).encode(piece.column(1).to_pylist())
+                end = np.array([end_id], streams[0].dtype)
+                flat = np.concatenate([x for ids in streams for x in (ids, end)])
+                doc_ends = np.cumsum([len(ids) + 1 for ids in streams])
+                cuts, size = cut(flat, doc_ends, gear), flat.dtype.itemsize
+                raw, last, fresh = memoryview(flat.tobytes()), 0, []
+                keys, bodies, roots, sizes = [], [], [], []
+                for ends in cuts:
+                    digests = []
+                    for e in ends:
+                        digests.append(d := hashlib.sha256(raw[last * size : e * size]).digest())
                         if d not in seen:
                             if len(seen) > 200_000:
                                 seen.clear()
                             seen.add(d)
-                            for k, v in zip(rows, ("chunk", d, None, e - last, body, None)):
-                                rows[k].append(v)
+                            fresh.append((d, e - last, raw[last * size : e * size]))
                         last = e
                     n += 1
-                    own = part.to_bytes(5, "big") + n.to_bytes(6, "big")
-                    for k, v in zip(rows, ("recipe", own, key, len(ids), b"".join(digests), merkle(digests))):
-                        rows[k].append(v)
-                yield pa.RecordBatch.from_pydict(rows, schema)
+                    keys.append(part.to_bytes(5, "big") + n.to_bytes(6, "big"))
+                    bodies.append(b"".join(digests))
+                    roots.append(merkle(digests))
+                sizes = np.diff(doc_ends, prepend=0)
+                yield pa.RecordBatch.from_arrays([pa.array(["recipe"] * len(keys)), pa.array(keys, pa.binary()), piece.column(0), pa.array(sizes, pa.int32()), pa.array(bodies, pa.binary()), pa.array(roots, pa.binary())], schema=schema)
+                if fresh:
+                    keys, sizes, bodies = zip(*fresh)
+                    none = pa.nulls(len(keys))
+                    yield pa.RecordBatch.from_arrays([pa.array(["chunk"] * len(keys)), pa.array(keys, pa.binary()), none.cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(bodies, pa.binary()), none.cast(pa.binary())], schema=schema)
 
     schema = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("id", pa.int64()), ("n_ids", pa.int32()), ("body", pa.binary()), ("root", pa.binary())])
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(encode, "kind string, key binary, id long, n_ids int, body binary, root binary")
-    # Partitions sorted by key put equal chunks side by side; the first one of each stays.
-    dealt = rows.repartition("key").sortWithinPartitions("kind", "key")
-
-    def first_only(batches):
-        last = None
-        for batch in batches:
-            keep = []
-            for key in batch.column(1).to_pylist():
-                keep.append(key != last)
-                last = key
-            yield batch.filter(pa.array(keep))
-
-    dealt.mapInArrow(first_only, rows.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/stored")
+    # Sorted aggregation keeps one row a key, in each task before the shuffle's rows are written.
+    dealt = rows.repartition("kind", "key").sortWithinPartitions("kind", "key")
+    one = dealt.groupBy("kind", "key").agg(*[F.first(c).alias(c) for c in ("id", "n_ids", "body", "root")])
+    one.select("key", "id", "n_ids", "body", "root", "kind").write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/stored")
     recipes = spark.read.schema("id long, n_ids int, root binary, kind string").parquet(f"{folder}/stored").where("kind = 'recipe'").drop("kind")
     index = running_starts(recipes.withColumn("one", F.lit(1)), "id", "n_ids", "start")
     index = index.select("id", "start", F.col("n_ids").cast("long").alias("n_tokens"), "root")
@@ -182,8 +186,11 @@ def read_store(spark: SparkSession, folder: str, id_bytes: int = 2) -> DataFrame
         for batch in batches:
             digests, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             good = [hashlib.sha256(b).digest() == d for d, b in zip(digests, bodies)]
-            ids = [np.frombuffer(b, f"<u{id_bytes}") for b in bodies]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) for i in ids], pa.int32()), pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()), pa.array(good)], ["digest", "n", "crc", "good"])
+            wide = memoryview(np.frombuffer(b"".join(bodies), f"<u{id_bytes}").astype("<u4").tobytes())
+            sizes = np.array([len(b) // id_bytes for b in bodies], np.int64)
+            ends = (np.cumsum(sizes) * 4).tolist()
+            crcs = [zlib.crc32(wide[a:b]) for a, b in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(crcs, pa.int64()), pa.array(good)], ["digest", "n", "crc", "good"])
 
     stored = spark.read.schema("key binary, id long, n_ids int, body binary, root binary, kind string").parquet(f"{folder}/stored")
     chunks = stored.where("kind = 'chunk'").select("key", "body").mapInArrow(check, "digest binary, n int, crc long, good boolean")
@@ -193,12 +200,14 @@ def read_store(spark: SparkSession, folder: str, id_bytes: int = 2) -> DataFrame
 
     def assemble(batches):
         for batch in batches:
-            parts = [[(p["n"] or 0, p["crc"] or 0, bool(p["good"]), p["digest"]) for p in ps] for ps in batch.column(1).to_pylist()]
-            flat = [p for ps in parts for p in ps]
-            sizes, crcs = np.array([p[0] for p in flat], np.int64), np.array([p[1] for p in flat], np.int64)
-            first = np.cumsum([0, *map(len, parts)])[:-1]
+            lists = batch.column(1)
+            flat, first = lists.flatten(), lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+            number = lambda k: flat.field(k).fill_null(0).to_numpy(zero_copy_only=False)
+            sizes, crcs, digests = number("n").astype(np.int64), number("crc"), flat.field("digest").to_pylist()
+            good = np.logical_and.reduceat(flat.field("good").fill_null(False).to_numpy(zero_copy_only=False), first) if len(first) else np.zeros(0, bool)
+            ends = np.append(first[1:], len(digests)).tolist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.add.reduceat(sizes, first) if len(first) else [], pa.int64()), pa.array(joined_crc(crcs, sizes * 4, first), pa.int64()), pa.array([merkle([p[3] for p in ps]) for ps in parts], pa.binary()), pa.array([all(p[2] for p in ps) for ps in parts], pa.bool_())],
+                [batch.column(0), pa.array(np.add.reduceat(sizes, first) if len(first) else [], pa.int64()), pa.array(joined_crc(crcs, sizes * 4, first), pa.int64()), pa.array([merkle(digests[a:b]) for a, b in zip(first.tolist(), ends)], pa.binary()), pa.array(good)],
                 ["id", "n_read", "ids_crc32", "root_read", "good"])
 
     read = docs.select("id", "parts").mapInArrow(assemble, "id long, n_read long, ids_crc32 long, root_read binary, good boolean")

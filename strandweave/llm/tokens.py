@@ -126,7 +126,7 @@ class Codec:
             if text[0] not in " \n" and text[-1] not in " \n" and "  " not in text and " \n" not in text:
                 return [w if w[0] == "\n" else " " + w for w in text.replace("\n\n", "\n").replace("\n", " \n").split(" ")] if "\n\n" not in text else _PIECE_UNITS.findall(" " + text)
             return _PIECE_UNITS.findall(" " + text)
-        if _PLAIN.search(text):
+        if "<|" in text or not (text.isascii() and text.replace("\n", "").isprintable()) and _PLAIN.search(text):
             return None
         return _BYTE_LEVEL.findall(text) if self.kind == "byte" else _WORD_END.findall(text.lower())
 
