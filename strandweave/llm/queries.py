@@ -26,6 +26,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), k=4, percent=85)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), length=200, keep_bytes=False)
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import new_folder
     from .token_store import read_store, write_store
@@ -81,7 +87,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_ngram_join, op3_token_store, op4_token_counts, op5_packing, op6_private_data, op7_embedding_dedup, op8_secret_scan,
+        op1_ngram_join, op2_suffix_dedup, op3_token_store, op4_token_counts, op5_packing, op6_private_data, op7_embedding_dedup, op8_secret_scan,
         op9_language_id, op10_decontamination,
     )
 }
