@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Stands for a null id inside operators, which join on ids.
+NO_ID = -(1 << 62)
+
+
+def safe_id(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+
+
+def real_id(column: str) -> Column:
+    return F.nullif(F.col(column), F.lit(NO_ID))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -53,7 +65,7 @@ def running_starts(df: DataFrame, order: str, amount: str, out: str, blocks: int
     if lo is None:
         return df.withColumn(out, F.lit(0).cast("long"))
     width = max(1, -(-(hi - lo + 1) // blocks))
-    df = df.withColumn("_block", F.expr(f"cast(({order} - {lo}L) div {width}L as int)"))
+    df = df.withColumn("_block", F.expr(f"coalesce(cast(({order} - {lo}L) div {width}L as int), -1)"))
     total = df.groupBy("_block").agg(F.sum(amount).alias("_sum"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     total = total.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, real_id, safe_id, written
 
 LEAD = 8
 STEPS = (16, 32)
@@ -100,7 +100,7 @@ def _leaf(points: np.ndarray, heap: list[tuple[int, float]]) -> np.ndarray:
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector: str = "embedding", tile_rows: int = 8192, max_tiles: int = 4096, sample: int = 20_000) -> DataFrame:
     """Per vector: id, n_links (others linked directly), component_id (smallest reachable id), kept."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = vectors.select(safe_id(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     good = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     classes = written(rows.where(good).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("d", F.size("v")), "vector-classes")
     links = None
@@ -117,7 +117,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     result = result.select("v", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     out = rows.where(good).join(result, "v").select("id", "n_links", F.col("component").alias("component_id"))
     out = out.union(rows.where(~F.coalesce(good, F.lit(False))).select("id", F.lit(0).cast("long"), "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.select(real_id("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), real_id("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
 
 
 def _links(classes: DataFrame, d: int, threshold: float, tile_rows: int, max_tiles: int, sample: int) -> DataFrame:

@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import real_id, safe_id, text_of
 from .spans import joined, spans
 
 BASE = ("assign", "access", "hex")
@@ -60,7 +60,7 @@ def scan(docs: DataFrame, ledger: str, id_col: str = "doc_id", text: str = "text
     """
     spark, rules = docs.sparkSession, rules or RULES
     names = F.array(*[F.lit(f"{r}@{v[0]}") for r, v in rules.items()])
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text).alias("text")).withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
+    rows = docs.select(safe_id(id_col).alias("id"), text_of(text).alias("text")).withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
     seen = _read(spark, f"{ledger}/scanned", _SCANNED).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
     one = rows.groupBy("blob").agg(F.min("id").alias("id"))
     todo = one.join(seen, "blob", "left").select("blob", "id", F.array_except(names, F.coalesce("seen", F.expr("cast(array() as array<string>)"))).alias("needed")).where(F.size("needed") > 0)
@@ -80,7 +80,7 @@ def scan(docs: DataFrame, ledger: str, id_col: str = "doc_id", text: str = "text
     keyed = F.transform("found", lambda x: F.struct(x["s"].alias("s"), F.element_at(place, x["kind"]).alias("o"), x["e"].alias("e"), x["kind"].alias("kind")))
     known = known.select("blob", F.transform(F.array_sort(keyed), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))).alias("found"))
     out = rows.select("id", "blob").join(known, "blob", "left")
-    return out.select(F.col("id").alias(id_col), "blob", F.coalesce("found", F.expr(f"cast(array() as {FOUND})")).alias("found"))
+    return out.select(real_id("id").alias(id_col), "blob", F.coalesce("found", F.expr(f"cast(array() as {FOUND})")).alias("found"))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import safe_id, text_of, written
 from .shingles import _BASE, _BYTE, _powers, mix
 
 _U = np.uint64
@@ -120,7 +120,6 @@ def _groups(batches, group_bytes: int = 1_500_000):
 _SPAN = "bucket int, h binary, s binary, id binary, tag binary, lo binary, hi binary, known binary"
 _HITS = "kind string, id long, tag long, lo long, hi long, h long, known boolean, heavy boolean"
 _HIT_ARROW = pa.schema([("kind", pa.string()), *((c, pa.int64()) for c in ("id", "tag", "lo", "hi", "h")), ("known", pa.bool_()), ("heavy", pa.bool_())])
-NO_ID = -(1 << 62)
 
 
 def _hits(kind: str, ids, tags, lo, hi, h=None, known=None, heavy=None):
@@ -255,7 +254,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def repeated(docs: DataFrame, length: int = 200, gram: int = 40, heavy: int = 64, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, tag, lo, hi): windows starting at lo..hi of a text repeat.  ``tag``: xxhash64 of the text."""
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_of(text)).alias("tag"), text_of(text).alias("text"))
+    own = docs.select(safe_id(id_col).alias("id"), F.xxhash64(text_of(text)).alias("tag"), text_of(text).alias("text"))
     size = docs.agg(F.sum(F.length(text))).first()[0] or 0
     buckets = int(max(8, size // 12_000_000))
 
@@ -407,7 +406,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep_bytes``, ``kept`` (the bytes that stay)."""
     hits = repeated(docs, length, gram, heavy, id_col, text)
     hits = hits.groupBy("id", "tag").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("hits"))
-    own = docs.select(F.col(id_col).cast("long").alias("real"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_of(text)).alias("tag"), text_of(text).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("real"), safe_id(id_col).alias("id"), F.xxhash64(text_of(text)).alias("tag"), text_of(text).alias("text"))
     joined = own.join(hits, ["id", "tag"], "left").select("real", "text", "hits")
 
     def cut(batches):

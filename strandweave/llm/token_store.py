@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import running_starts
+from .common import real_id, running_starts, safe_id
 from .tokens import codec
 
 WINDOW_DOUBLINGS = 4  # the rolling hash sees 2**4 ids
@@ -114,7 +114,7 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int, id_col: st
                     yield pa.RecordBatch.from_arrays([pa.array(["chunk"] * len(keys)), pa.array(keys, pa.binary()), none.cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(bodies, pa.binary()), none.cast(pa.binary())], schema=schema)
 
     schema = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("id", pa.int64()), ("n_ids", pa.int32()), ("body", pa.binary()), ("root", pa.binary())])
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(encode, "kind string, key binary, id long, n_ids int, body binary, root binary")
+    rows = docs.select(safe_id(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(encode, "kind string, key binary, id long, n_ids int, body binary, root binary")
     # Sorted aggregation keeps one row a key, in each task before the shuffle's rows are written.
     dealt = rows.repartition("kind", "key").sortWithinPartitions("kind", "key")
     one = dealt.groupBy("kind", "key").agg(*[F.first(c).alias(c) for c in ("id", "n_ids", "body", "root")])
@@ -215,4 +215,4 @@ def read_store(spark: SparkSession, folder: str, id_bytes: int = 2) -> DataFrame
     # Repeated ids: the index rows and the recipes of an id pair up in order.
     nth = lambda df, *by: df.withColumn("_nth", F.row_number().over(Window.partitionBy("id").orderBy(*by)))
     both = nth(index, "root", "start").join(nth(read, "root_read"), ["id", "_nth"], "full")
-    return both.select("id", "start", F.col("n_read").alias("n_tokens"), "ids_crc32", F.coalesce(F.col("good") & (F.col("root") == F.col("root_read")) & (F.col("n_read") == F.col("n_tokens")), F.lit(False)).alias("verified"))
+    return both.select(real_id("id").alias("id"), "start", F.col("n_read").alias("n_tokens"), "ids_crc32", F.coalesce(F.col("good") & (F.col("root") == F.col("root_read")) & (F.col("n_read") == F.col("n_tokens")), F.lit(False)).alias("verified"))
