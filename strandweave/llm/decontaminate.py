@@ -2,8 +2,10 @@
 
 Texts and test items are lower-cased and their white space folded to single blanks.  An item of m characters
 may differ by k = floor(m * rate) edits; cut into k + 1 pieces, at least one piece of any such occurrence is
-exact.  One pass of an Aho-Corasick automaton finds the pieces, and Myers' bit-parallel distance decides on
-the windows around the hits, merged so that no character is compared with an item twice.
+exact.  One pass of an Aho-Corasick automaton finds the pieces.  A hit climbs the tree of halves of the item: of
+any occurrence's exact pieces one lies in parts of j pieces, each with at most j - 1 edits, up to the whole, so
+short comparisons end most chance hits.  Myers' bit-parallel distance decides, there and on the windows around
+the hits that are left, merged so that no character is compared with a whole item twice.
 
 Null and empty texts contain nothing, null and empty items are contained nowhere.  Items are read
 in blocks of at most ``block_chars`` characters, each broadcast by itself, so that nothing shared grows.
@@ -58,6 +60,13 @@ def myers(item: str, masks: dict[str, int], text: str) -> tuple[int, int]:
     return best, end
 
 
+def masks_of(item: str) -> dict[str, int]:
+    masks: dict[str, int] = {}
+    for j, c in enumerate(item):
+        masks[c] = masks.get(c, 0) | 1 << j
+    return masks
+
+
 class Matcher:
     """An automaton over the pieces of a block of items."""
 
@@ -67,10 +76,14 @@ class Matcher:
         self.items = [(key, t) for key, t in ((k, folded(t)) for k, t in items) if t]
         self.limits = [budget(t, rate) for _, t in self.items]
         self.masks: list[dict[str, int] | None] = [None] * len(self.items)
+        self.paths: dict[tuple[int, int], list[tuple[int, int, int]]] = {}  # (item, offset) -> parts above: start, end, budget
+        self.parts: dict[tuple[int, int, int], tuple[str, dict[str, int]]] = {}
         pieces: dict[str, list[tuple[int, int]]] = {}
         for i, (_, t) in enumerate(self.items):
-            for at, piece in cut(t, self.limits[i] + 1):
+            leaves = cut(t, self.limits[i] + 1)
+            for at, piece in leaves:
                 pieces.setdefault(piece, []).append((i, at))
+            self._climb(i, [a for a, _ in leaves] + [len(t)], 0, len(leaves), [])
         self.automaton = ahocorasick.Automaton()
         for piece, places in pieces.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -78,6 +91,26 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not pieces
 
+    def _climb(self, i: int, edges: list[int], lo: int, hi: int, above: list[tuple[int, int, int]]) -> None:
+        if hi - lo == 1:
+            self.paths[i, edges[lo]] = above[:0:-1]  # nearest first; the whole is decided later
+            return
+        above = [*above, (edges[lo], edges[hi], hi - lo - 1)]
+        mid = (lo + hi) // 2
+        self._climb(i, edges, lo, mid, above)
+        self._climb(i, edges, mid, hi, above)
+
+    def _survives(self, i: int, at: int, start: int, text: str) -> bool:
+        """Whether the parts above a piece at ``at``, found so that the item would start at ``start``, are near."""
+        for a, b, k in self.paths[i, at]:
+            part = self.parts.get((i, a, b))
+            if part is None:
+                t = self.items[i][1][a:b]
+                part = self.parts[i, a, b] = (t, masks_of(t))
+            if myers(part[0], part[1], text[max(0, start + a - k) : max(0, start + b + k)])[0] > k:
+                return False
+        return True
+
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """(item key, distance, end in the folded text) for every item within its budget."""
         if self.empty or not text:
@@ -87,6 +120,8 @@ class Matcher:
             for i, at in places:
                 k, m, start = self.limits[i], len(self.items[i][1]), end + 1 - size - at
                 lo, hi = max(0, start - k), start + m + k
+                if i in windows and windows[i][-1][0] <= lo and hi <= windows[i][-1][1] or not self._survives(i, at, start, text):
+                    continue
                 own = windows.setdefault(i, [])
                 if own and lo <= own[-1][1] and lo >= own[-1][0]:
                     own[-1] = (own[-1][0], max(hi, own[-1][1]))
@@ -102,10 +137,7 @@ class Matcher:
             if self.limits[i] == 0:
                 continue
             if self.masks[i] is None:
-                masks: dict[str, int] = {}
-                for j, c in enumerate(item):
-                    masks[c] = masks.get(c, 0) | 1 << j
-                self.masks[i] = masks
+                self.masks[i] = masks_of(item)
             merged: list[list[int]] = []
             for lo, hi in sorted(own):
                 if merged and lo <= merged[-1][1]:
