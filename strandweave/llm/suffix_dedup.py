@@ -93,6 +93,20 @@ def spans_of(raw: list[bytes], length: int, gram: int):
     return text, lo - base, hi - base, grams[at], body
 
 
+LOCAL = -2_000_000_000
+
+
+def window_runs(ids: np.ndarray, tags: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Rows (id, tag, first, last) of neighbouring windows of a text."""
+    order = np.lexsort((lo, tags, ids))
+    ids, tags, lo = ids[order], tags[order], lo[order]
+    new = np.ones(len(lo), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]) | (lo[1:] > lo[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(lo)) - 1 if len(lo) else first
+    return np.stack([ids[first], tags[first], lo[first], lo[last]], 1).astype(np.int64)
+
+
 def _packed(bucket: np.ndarray, *columns: np.ndarray):
     """(bucket, packed columns) rows."""
     order = np.argsort(bucket, kind="stable")
@@ -363,11 +377,13 @@ def repeated(docs: DataFrame, length: int = 200, gram: int = 40, heavy: int = 64
                 first = np.flatnonzero(new)
                 sizes = np.diff(np.append(first, len(w)))
                 many = np.repeat(sizes > 1, sizes)
-                # Repeats within the batch are found here (bucket -2); one window of each content goes on (-1 - part).
-                out = [(-2_000_000_000, *np.stack([ids[many], tags[many], lo[many]]).tolist())] if many.any() else []
-                one = _packed((w[first] % _U(parts)).astype(np.int64), w[first], ids[first], tags[first], lo[first], (sizes > 1) | known[first])
-                body = [b"".join(x.to_bytes(8, "little", signed=True) for row in zip(*out[0][1:]) for x in row)] if out else []
-                k = [-2_000_000_000] * len(body) + [-1 - r[0] for r in one]
+                # Repeats within the batch are found here, as runs of windows; one window of each content goes on.
+                many &= ~known
+                runs = window_runs(ids[many], tags[many], lo[many])
+                local = np.logical_or.reduceat(known, first) | (sizes > 1)
+                one = _packed((w[first] % _U(parts)).astype(np.int64), w[first], ids[first], tags[first], lo[first], local)
+                body = [runs.tobytes()] if len(runs) else []
+                k = [LOCAL] * len(body) + [-1 - r[0] for r in one]
                 body += [len(r[1]).to_bytes(8, "little") + b"".join(r[1:]) for r in one]
                 none = pa.nulls(len(k), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), *[none] * 5, pa.nulls(len(k), pa.bool_()), pa.array(body, pa.binary())], schema=arrow)
@@ -375,10 +391,9 @@ def repeated(docs: DataFrame, length: int = 200, gram: int = 40, heavy: int = 64
     def resolve(key, table):
         bucket = key[0].as_py()
         none = _hits("hit", [], [], [], [])
-        if bucket == -2_000_000_000:
-            out = [np.frombuffer(b, np.int64).reshape(-1, 3) for b in table.column("body").to_pylist()]
-            rows = np.concatenate(out)
-            return pa.Table.from_batches([_hits("hit", rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 2])], _HIT_ARROW)
+        if bucket == LOCAL:
+            rows = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 4) for b in table.column("body").to_pylist()])
+            return pa.Table.from_batches([_hits("hit", *rows.T)], _HIT_ARROW)
         if bucket < 0:
             columns = [[] for _ in range(5)]
             for b in table.column("body").to_pylist():
@@ -390,11 +405,13 @@ def repeated(docs: DataFrame, length: int = 200, gram: int = 40, heavy: int = 64
             order = np.argsort(w, kind="stable")
             w, ids, tags, lo, known = (c[order] for c in (w, ids, tags, lo, known))
             same = w[1:] == w[:-1]
-            hit = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            return pa.Table.from_batches([_hits("hit", ids[hit], tags[hit], lo[hit], lo[hit])], _HIT_ARROW)
+            hit = (np.concatenate([[False], same]) | np.concatenate([same, [False]])) & ~known
+            runs = window_runs(ids[hit], tags[hit], lo[hit])
+            return pa.Table.from_batches([_hits("hit", *runs.T)], _HIT_ARROW)
         ids, tags, lo, hi = (table.column(c).to_numpy() for c in ("id", "tag", "lo", "hi"))
         flags = repeated_windows(table.column("body").to_pylist(), (hi - lo + 1).tolist(), length)
-        rows = [(i, t, a + x, a + y) for i, t, a, f in zip(ids.tolist(), tags.tolist(), lo.tolist(), flags) if f.any() for x, y in _runs(f)]
+        known = table.column("known").to_pylist()
+        rows = [(i, t, a + x, a + y) for i, t, a, f, k in zip(ids.tolist(), tags.tolist(), lo.tolist(), flags, known) if not k and f.any() for x, y in _runs(f)]
         return pa.Table.from_batches([_hits("hit", *zip(*rows)) if rows else none], _HIT_ARROW)
 
     bodies = asked.select("id", "tag", "text", "asks").mapInArrow(fetch, "bucket int, h long, id long, tag long, lo long, hi long, known boolean, body binary")
