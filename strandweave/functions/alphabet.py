@@ -41,7 +41,7 @@ def mask(symbol: Column) -> Column:
     symbol = F.upper(symbol)
     place = F.instr(F.lit("ACGTURYSWKMBDHVN"), symbol)
     values = F.array(*[F.lit(v) for v in (1, 2, 4, 8, 8, 5, 10, 6, 9, 12, 3, 14, 13, 11, 7, 15)])
-    return F.when(symbol == GAP, 16).when(place > 0, F.element_at(values, F.greatest(place, F.lit(1)))).otherwise(15)
+    return F.when(symbol.isNull(), None).when(symbol == GAP, 16).when(place > 0, F.element_at(values, F.greatest(place, F.lit(1)))).otherwise(15)
 
 
 def is_match(x: Column, y: Column) -> Column:

@@ -102,20 +102,21 @@ def cigar(pairs: DataFrame) -> DataFrame:
 
 
 def cigar_decode(rows: DataFrame) -> DataFrame:
-    """(pair_id, cigar, s1, s2) -> (pair_id, a1, a2): gapped strings again; N skips the second sequence."""
+    """(pair_id, cigar, s1, s2) -> (pair_id, a1, a2): gapped strings again; N skips the second sequence.
+
+    Symbols meet the columns that take one; sorting by column puts them among the gaps.
+    """
     runs = F.regexp_extract_all(F.col("cigar"), F.lit(r"(\d+[MIDNX=])"), F.lit(1))
-    zero = F.expr("cast(named_struct('i', 0, 'j', 0, 'a', array(), 'b', array()) as struct<i:int,j:int,a:array<string>,b:array<string>>)")
-
-    def step(acc: Column, run: Column) -> Column:
-        n, op = F.regexp_extract(run, r"\d+", 0).cast("int"), F.right(run, F.lit(1))
-        di = F.when(op.isin("M", "=", "X", "D"), n).otherwise(0)
-        dj = F.when(op.isin("M", "=", "X", "I", "N"), n).otherwise(0)
-        gap = F.repeat(F.lit("-"), n)
-        a = F.when(op == "N", "").when(di > 0, F.substring(F.col("s1"), acc["i"] + 1, di)).otherwise(gap)
-        b = F.when(op == "N", "").when(dj > 0, F.substring(F.col("s2"), acc["j"] + 1, dj)).otherwise(gap)
-        return F.struct((acc["i"] + di).alias("i"), (acc["j"] + dj).alias("j"), F.concat(acc["a"], F.array(a)).alias("a"), F.concat(acc["b"], F.array(b)).alias("b"))
-
-    return rows.withColumn("_d", F.aggregate(runs, zero, step)).select("pair_id", F.array_join("_d.a", "").alias("a1"), F.array_join("_d.b", "").alias("a2"))
+    ops = F.array_join(F.transform(runs, lambda r: F.repeat(F.right(r, F.lit(1)), F.regexp_extract(r, r"\d+", 0).cast("int"))), "")
+
+    def side(c: Column, seq: Column, gaps: str) -> Column:
+        spots = F.transform(c, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+        taking = F.filter(spots, lambda y: ~y["x"].isin(*gaps))
+        full = F.zip_with(taking, symbols(seq), lambda y, z: F.struct(y["i"].alias("i"), F.when(y["x"] == "N", "").otherwise(F.coalesce(z, F.lit(""))).alias("z")))
+        free = F.transform(F.filter(spots, lambda y: y["x"].isin(*gaps)), lambda y: F.struct(y["i"].alias("i"), F.when(y["x"] == "N", "").otherwise("-").alias("z")))
+        return F.array_join(F.transform(F.array_sort(F.concat(full, free)), lambda y: y["z"]), "")
+
+    return rows.select("pair_id", let(symbols(ops), lambda c: side(c, F.col("s1"), "IN")).alias("a1"), let(symbols(ops), lambda c: side(c, F.col("s2"), "D")).alias("a2"))
 
 
 def gap_runs(pairs: DataFrame) -> DataFrame:
