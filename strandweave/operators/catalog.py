@@ -68,11 +68,14 @@ def combined(specs: DataFrame, sequences: DataFrame, separator: str = "") -> Dat
     return rows.groupBy("spec").agg(F.array_join(F.transform(ordered, lambda p: p["seq"]), separator).alias("seq"))
 
 
-def region(sequences: DataFrame, spec: str) -> DataFrame:
-    """``name:start-end`` (from 1, both included): that part of the sequence."""
-    name, _, place = spec.rpartition(":")
-    start, _, end = place.replace(",", "").partition("-")
-    return sequences.where(F.col("seq_id") == name).select("seq_id", F.lit(int(start)).alias("start"), F.lit(int(end)).alias("end"), F.substring("seq", int(start), int(end) - int(start) + 1).alias("seq"))
+def regions(specs: DataFrame, sequences: DataFrame) -> DataFrame:
+    """(spec) of the form ``name:start-end`` (from 1, both included) -> spec, seq_id, start, end, seq: those
+    parts.  Specs of another form, or of names that aren't there, give no row."""
+    form = r"^(.+):([\d,]+)-([\d,]+)$"
+    number = lambda i: F.regexp_replace(F.regexp_extract("spec", form, i), ",", "").cast("int")
+    asked = specs.where(F.col("spec").rlike(form)).select("spec", F.regexp_extract("spec", form, 1).alias("seq_id"), number(2).alias("start"), number(3).alias("end"))
+    rows = asked.join(sequences.select("seq_id", "seq"), "seq_id")
+    return rows.select("spec", "seq_id", "start", "end", F.substring(F.col("seq"), F.col("start"), F.col("end") - F.col("start") + 1).alias("seq"))
 
 
 def last_wins(records: DataFrame) -> DataFrame:

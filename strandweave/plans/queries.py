@@ -241,6 +241,25 @@ def fasta_records(spark, sf):
     return _sequences(spark, sf).select("doc_id", files.fasta_text(F.concat(F.lit("doc"), F.col("doc_id").cast("string")), F.col("seq")).alias("record"))
 
 
+@query(f"""WITH {PAIRS} SELECT p.pair_id, {', '.join(f"coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER ({c}), '') AS {n}" for n, c in (('matches', "op = '='"), ('mismatches', "op = 'X'"), ('gaps', 'gap')))} FROM pairs p LEFT JOIN ops USING (pair_id) GROUP BY 1""")
+def plot_places(spark, sf):
+    rows = files.column_places(_pairs(spark, sf))
+    return rows.select("pair_id", *[F.array_join(F.transform(n, lambda p: p.cast("string")), ",").alias(n) for n in ("matches", "mismatches", "gaps")])
+
+
+@query(f"""WITH {PAIRS}, c AS (SELECT p.pair_id, {COUNTS} FROM pairs p LEFT JOIN ops USING (pair_id) GROUP BY 1),
+u AS (UNPIVOT (SELECT pair_id, m::DOUBLE AS matches, mm::DOUBLE AS mismatches, (i+d)::DOUBLE AS total_gaps FROM c) ON matches, mismatches, total_gaps INTO NAME metric VALUE value) SELECT pair_id, metric, value FROM u""")
+def stats_long(spark, sf):
+    return files.stats_long(_pairs(spark, sf)).where(F.col("metric").isin("matches", "mismatches", "total_gaps"))
+
+
+@query(f"""WITH {SEQS} SELECT 'doc' || doc_id || ':101-1,160' AS spec, 'doc' || doc_id AS seq_id, 101 AS start, 1160 AS "end", substr(seq, 101, 1060) AS seq FROM seqs""")
+def region_slices(spark, sf):
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
+    rows = _sequences(spark, sf).select(name.alias("seq_id"), "seq")
+    return catalog.regions(rows.select(F.concat("seq_id", F.lit(":101-1,160")).alias("spec")), rows)
+
+
 # -- sequences --------------------------------------------------------------------------------
 @query(f"""WITH {SEQS} SELECT count(*) AS sequences, sum(length(seq))::BIGINT AS total_length, min(length(seq))::INTEGER AS min_length, max(length(seq))::INTEGER AS max_length, round(avg(length(seq)), 10) AS avg_length,
  round(sum(length(regexp_replace(seq, '[^GC]', '', 'g'))) / sum(length(seq)) * 100, 10) AS gc_percent FROM seqs""")
@@ -403,6 +422,17 @@ def chain_chunks(spark, sf):
     return anchors.chains_to_chunks(chained_anchors(spark, sf), rows, 100)
 
 
+@query(f"WITH {_SYNC} SELECT hash % 256 AS bucket, count(*) AS n FROM sy GROUP BY 1")
+def hash_buckets(spark, sf):
+    return _marks(spark, sf).groupBy(F.pmod("hash", F.lit(256)).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_RAND} SELECT DISTINCT a.doc_id AS pair_id, a.pos1, a.hash FROM st a WHERE EXISTS (SELECT 1 FROM st b WHERE b.doc_id = a.doc_id + 1 AND b.hash = a.hash)")
+def shared_strobes(spark, sf):
+    first, second = _sides(spark, sf)
+    return first.join(second.select("pair_id", "hash"), ["pair_id", "hash"], "left_semi").select("pair_id", "pos1", "hash").distinct()
+
+
 # -- alignment kernels ------------------------------------------------------------------------
 @query()
 def nw_overlap_align(spark, sf):

@@ -57,7 +57,8 @@ def test_catalog(spark):
     seqs = spark.createDataFrame([("chr1", "AA"), ("Chr2", "CC")], "seq_id string, seq string")
     specs = spark.createDataFrame([("chr1+CHR2",), ("2+1",)], "spec string")
     assert {r.spec: r.seq for r in catalog.combined(specs, seqs).collect()} == {"chr1+CHR2": "AACC", "2+1": "CCAA"}
-    assert catalog.region(seqs, "chr1:2-2").first().seq == "A"
+    asked = spark.createDataFrame([("chr1:2-2",), ("chr1",), ("none:1-2",)], "spec string")
+    assert [r.seq for r in catalog.regions(asked, seqs).collect()] == ["A"]
 
 
 def test_spans_and_projection(spark):
@@ -138,3 +139,19 @@ def test_config_and_functions(spark, tmp_path):
     register(spark)
     row = spark.sql("select nw_align('ACGT', 'ACGT').score as s, gc_percent('AC-G') as g").first()
     assert row.s == 4 and abs(row.g - 200 / 3) < 1e-9
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from strandweave.cli import run
+
+    (tmp_path / "a.fa").write_text(">chr1\nACGTACGTTGCAACGT\n>chr2\nGGGGCCCC\n")
+    (tmp_path / "b.fa").write_text(">x\nACGTACGTGCAACGT\n")
+    a, b = str(tmp_path / "a.fa"), str(tmp_path / "b.fa")
+    assert run(spark, ["list", a, "--range", "1:2"]) == 0
+    assert capsys.readouterr().out.split() == ["chr1", "chr2"]
+    assert run(spark, ["check", a, b]) == 0
+    assert run(spark, ["align", a, b, "--diagonal", "--out", str(tmp_path / "out")]) == 0
+    assert spark.read.text(str(tmp_path / "out/paf")).first()[0].startswith("chr1\t16\t0\t16")
+    assert run(spark, ["align", a, b, "--names1", "1+2", "--names2", "x", "--gap-open", "0", "--diagonal", "--out", str(tmp_path / "out2")]) == 0
+    assert spark.read.text(str(tmp_path / "out2/paf")).first()[0].startswith("1+2\t24\t0\t24")
+    assert run(spark, ["config", str(tmp_path / "c.json")]) == 0
