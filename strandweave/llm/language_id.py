@@ -12,15 +12,17 @@ learn from.  Ties go to the language first in order.  Rows are kept one by one;
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .worker import held
+
 _WORDS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 UNKNOWN = "und"
@@ -66,7 +68,6 @@ def fit(labelled: DataFrame, id_col: str, text: str, lang: str, sample_docs: int
     units = sample.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, n int, unit string, count long")
     units = units.groupBy("lang", "n", "unit").agg(F.sum("count").alias("count")).where((F.col("count") > 1) | (F.col("n") == 1))
     totals = {(r[0], r[1]): r[2] for r in units.groupBy("lang", "n").agg(F.sum("count")).collect()}
-    top = units.groupBy("lang", "n").agg(F.max_by(F.lit(0), "count")).select("lang", "n")
     cutoffs = units.groupBy("lang", "n", "count").agg(F.count("*").alias("units")).collect()  # one row for each different count
     least = {}
     for key in {(r["lang"], r["n"]) for r in cutoffs}:
@@ -76,25 +77,32 @@ def fit(labelled: DataFrame, id_col: str, text: str, lang: str, sample_docs: int
                 break
             held += r["units"]
             least[key] = r["count"]
-    del top
     keep = F.lit(False)
     for (name, n), c in least.items():
         keep = keep | ((F.col("lang") == name) & (F.col("n") == n) & (F.col("count") >= c))
-    rows = units.where(keep).collect() if least else []
-    langs = sorted({r["lang"] for r in rows})
-    place, model = {x: i for i, x in enumerate(langs)}, {n: {} for n in range(LONGEST + 1)}
-    floor = {n: np.array([math.log(0.1 / (totals.get((x, n), 0) + 1)) for x in langs]) for n in model}
-    for r in rows:
-        v = model[r["n"]].setdefault(r["unit"], floor[r["n"]].astype(np.float32).copy())
-        v[place[r["lang"]]] = math.log(r["count"] / (totals[r["lang"], r["n"]] + 1))
-    return {"langs": langs, "units": model}
+    held = units.where(keep).select("n", "unit", "lang", "count").toArrow().sort_by([("n", "ascending"), ("unit", "ascending")]) if least else None
+    langs = sorted(set(held.column("lang").to_pylist())) if least else []
+    model = {"langs": langs, "units": {}}
+    for n in range(LONGEST + 1):
+        part = held.filter(pc.equal(held.column("n"), n)) if least else None
+        names = part.column("unit").to_pylist() if least else []
+        place = np.array([langs.index(x) for x in part.column("lang").to_pylist()], np.int64) if least else np.zeros(0, np.int64)
+        row = np.cumsum([a != b for a, b in zip(names, [None, *names])]) - 1 if names else np.zeros(0, np.int64)
+        total = np.array([totals.get((x, n), 0) + 1 for x in langs], np.float64)
+        logs = np.tile(np.log(0.1 / total), (int(row[-1]) + 1 if len(row) else 0, 1))
+        if len(row):
+            logs[row, place] = np.log(part.column("count").to_numpy() / total[place])
+        model["units"][n] = (list(dict.fromkeys(names)), logs.astype(np.float32))
+    return model
 
 
 class Scorer:
     """One worker's scorer: a bounded cache of word vectors over the broadcast model."""
 
     def __init__(self, model: dict, max_words: int = 300_000):
-        self.langs, self.units, self.max_words = model["langs"], model["units"], max_words
+        self.langs, self.max_words = model["langs"], max_words
+        self.units = {n: dict(zip(names, range(len(names)))) for n, (names, _) in model["units"].items()}
+        self.logs = {n: logs for n, (_, logs) in model["units"].items()}
         self._reset()
 
     def _reset(self) -> None:
@@ -105,11 +113,11 @@ class Scorer:
     def vector(self, word: str) -> np.ndarray:
         known = self.units[0].get(word)
         if known is not None:
-            return known
+            return self.logs[0][known]
         for n in range(LONGEST, 0, -1):
             held = [v for v in map(self.units[n].get, grams(word, n)) if v is not None]
             if held:
-                return sum(held) / len(held)
+                return self.logs[n][held].mean(0)
         return np.zeros(len(self.langs), np.float32)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -138,26 +146,25 @@ class Scorer:
         return names, scores
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, lang_pred, score, and the columns in ``keep``.  Only the text is an input."""
-    stamp = hashlib.sha256(repr([model["langs"], {n: sorted(u) for n, u in model["units"].items()}]).encode()).hexdigest()
+    stamp = hashlib.sha256(" ".join(model["langs"]).encode())
+    for names, logs in model["units"].values():
+        stamp.update(" ".join(names).encode())
+        stamp.update(logs.tobytes())
+    stamp = stamp.hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"), *keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("_text").schema), "lang_pred string", "score double"])
+    names = [id_col, *(k for k in keep if k != id_col)]
+    read = docs.select(*names, *([] if text in names else [text]))
+    at = read.columns.index(text)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in read.select(*names).schema), "lang_pred string", "score double"])
 
     def run(batches):
         for batch in batches:
-            if stamp not in _SCORERS:
-                _SCORERS.clear()
-                _SCORERS[stamp] = Scorer(shared.value)
-            names, scores = _SCORERS[stamp].predict(batch.column(1).to_pylist())
-            held = [c for i, c in enumerate(batch.columns) if i != 1]
-            yield pa.RecordBatch.from_arrays([*held, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(n for i, n in enumerate(batch.schema.names) if i != 1), "lang_pred", "score"])
-
-    return kept.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+            found, scores = held(("scorer", stamp), lambda: Scorer(shared.value)).predict(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+
+    return read.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):
