@@ -96,4 +96,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_REACH = """reach(id, low) AS (SELECT {key}, {key} FROM {table} UNION SELECT l.x, r.low FROM reach r JOIN l ON l.y = r.id WHERE r.low < l.x)"""
+
+#: The other operators' results are beyond SQL (tokenizers, trained models, edit distance) or too slow in it.
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END)) AS g FROM w),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN c a ON a.doc_id = x JOIN c b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)), {_REACH.format(key='doc_id', table='documents')}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, low AS component_id FROM documents d LEFT JOIN c USING (doc_id) JOIN (SELECT id, min(low) AS low FROM reach GROUP BY 1) ON id = d.doc_id""",
+    "op7_embedding_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS s FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) >= 0.9 * a.s * b.s), {_REACH.format(key='vec_id', table='embeddings')}
+SELECT vec_id, coalesce(k, 0) AS n_links, low AS component_id, vec_id = low AS kept FROM embeddings LEFT JOIN (SELECT x, count(*) AS k FROM l GROUP BY 1) ON x = vec_id JOIN (SELECT id, min(low) AS low FROM reach GROUP BY 1) ON id = vec_id""",
+}
