@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .worker import held
+
 
 def folded(text: str | None) -> str:
     return " ".join(text.lower().split()) if text else ""
@@ -150,9 +152,6 @@ class Matcher:
         return found
 
 
-_MATCHERS: dict[str, Matcher] = {}
-
-
 def _blocks(items: DataFrame, item_id: str, item_text: str, block_chars: int):
     """Items in blocks that fit ``block_chars``, by ranges of a running total kept in Spark."""
     from .common import running_starts
@@ -177,10 +176,7 @@ def contained(docs: DataFrame, items: DataFrame, rate: float = 0.1, id_col: str
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, stamp=stamp, shared=shared):
-            if stamp not in _MATCHERS:
-                _MATCHERS.clear()
-                _MATCHERS[stamp] = Matcher(shared.value, rate)
-            find = _MATCHERS[stamp].find
+            find = held(("matcher", stamp), lambda: Matcher(shared.value, rate)).find
             for batch in batches:
                 rows = [(key, *hit) for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for hit in find(folded(t))]
                 columns = list(zip(*rows)) or [[], [], [], []]

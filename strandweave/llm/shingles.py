@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .worker import release
+
 _RNG = np.random.default_rng(7)
 _BYTE = _RNG.integers(1, 1 << 63, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -37,8 +39,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def shingle_sets(texts: list[str | None], k: int, group_bytes: int = 4_000_000) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], k: int, group_bytes: int = 1_000_000) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
+    release()
     out, at = [], 0
     raw = [(t or "").encode() for t in texts]
     while at < len(raw):

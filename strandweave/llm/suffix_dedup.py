@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import safe_id, text_of, written
 from .shingles import _BASE, _BYTE, _powers, mix
+from .worker import release
 
 _U = np.uint64
 
@@ -116,6 +117,7 @@ def _packed(bucket: np.ndarray, *columns: np.ndarray):
 
 def _groups(batches, group_bytes: int = 1_500_000):
     """(ids, tags, bytes) of runs of texts, each run below ``group_bytes`` where its texts allow."""
+    release()
     ids, tags, raw, size = [], [], [], 0
     for batch in batches:
         for i, tag, t in zip(*(batch.column(c).to_pylist() for c in range(3))):
