@@ -1,9 +1,12 @@
 """Pre-token caches for the public tokenizers: library-exact ids without encoding a word twice.
 
-Texts made of the characters in ``_PLAIN`` are cut by a regular expression that gives the library's
-own pre-tokens (for sentencepiece: blank-led units, as no piece has a blank after another character);
-every other text goes whole through the library.  New pre-tokens of a group of texts are encoded
-by the library together, joined so that it cuts them apart again.
+Texts made of the characters in ``_PLAIN`` are cut into the library's own pre-tokens (for sentencepiece:
+blank-led units, as no piece has a blank after another character); every other text goes whole through the
+library.  New pre-tokens of a group of texts are encoded by the library together, joined so that it cuts
+them apart again.
+
+For the other two kinds a group's bytes are classed and cut as arrays, and a pre-token is known by a 64-bit hash of
+its bytes; the chance that a cache of half a million meets a false match is about 3e-14 a lookup.
 """
 
 from __future__ import annotations
@@ -13,15 +16,53 @@ import re
 
 import numpy as np
 
+from .shingles import _BYTE, _powers, mix
+from .worker import held
+
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(r"[^\x20-\x7e\nÀ-ÖØ-öø-ÿ«»‘’“”–—…¿¡°€]|<\|")
 _CONTRACTED = "'(?:[stmd]|re|ve|ll)"
 _BYTE_LEVEL = re.compile(rf"{_CONTRACTED}| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 _WORD_END = re.compile(rf"{_CONTRACTED}|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
-_JOINABLE = re.compile(rf" [{_LETTERS}]+")
+_APOSTROPHE = re.compile("'[stmdrvl]")
 _PIECE_UNITS = re.compile(r" +[^ ]+| +")
 
 
+# Classes of bytes: text border, blank, line feed, letter, digit, other; continuation bytes take their lead's.
+_BORDER, _BLANK, _FEED, _LETTER, _DIGIT, _OTHER = range(6)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[0, 32, 10]] = _BORDER, _BLANK, _FEED
+_CLASS[[*range(65, 91), *range(97, 123), 0xC3]] = _LETTER
+_CLASS[48:58] = _DIGIT
+
+
+def _cut_arrays(flat: np.ndarray, by_word: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pre-tokens of texts set between zero bytes."""
+    kind = _CLASS[flat]
+    for _ in range(2):  # leads are followed by two continuation bytes at most
+        inner = np.flatnonzero(flat & 0xC0 == 0x80)
+        kind[inner] = kind[inner - 1]
+    sign = np.flatnonzero(flat[:-1] == 0xC3)
+    sign = sign[(flat[sign + 1] == 0x97) | (flat[sign + 1] == 0xB7)]  # the two signs among the letters
+    kind[sign] = kind[sign + 1] = _OTHER
+    space = (kind == _BLANK) | (kind == _FEED)
+    start = np.ones(len(flat), bool)
+    if by_word:
+        start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        at = np.flatnonzero(start)
+        ends = np.append(at[1:], len(flat))
+        real = ~space[at] & (kind[at] != _BORDER)
+        return at[real], ends[real]
+    before, after = kind[:-1], kind[1:]
+    start[1:] = np.where(space[1:], ~space[:-1], np.where(space[:-1], (before == _FEED) | (after == _BORDER), before != after))
+    # Of a run of white space before something the last one stands alone, or leads what follows if it is a blank.
+    start[:-1] |= space[:-1] & ~space[1:] & (after != _BORDER)
+    at = np.flatnonzero(start)
+    ends = np.append(at[1:], len(flat))
+    real = kind[at] != _BORDER
+    return at[real], ends[real]
+
+
 class _Index(dict):
     """Pre-token -> row; unknown ones get the next row and wait in ``new``."""
 
@@ -67,22 +108,22 @@ class Codec:
         self.lens = np.zeros(1 << 12, np.int32)
         self.ends = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 14, self.dtype)
-        self.rows = self.used = 0
+        self.used = 0
         if self.frequent:
-            self._store(np.fromiter(self.frequent.values(), np.int32, len(self.frequent)), None)
+            self._store(np.arange(len(self.frequent)), np.fromiter(self.frequent.values(), np.int32, len(self.frequent)), None)
 
-    def _store(self, lens: np.ndarray, flat: np.ndarray | None) -> None:
-        n = self.rows + len(lens)
+    def _store(self, rows: np.ndarray, lens: np.ndarray, flat: np.ndarray | None, ends: np.ndarray | None = None) -> None:
+        """Put new rows' lengths, and where their ids end in ``flat``, which is appended."""
+        n = int(rows.max()) + 1 if len(rows) else 0
         if n > len(self.lens):
             self.lens, self.ends = np.resize(self.lens, 2 * n), np.resize(self.ends, 2 * n)
-        self.lens[self.rows : n] = lens
-        if flat is not None:
+        self.lens[rows] = lens
+        if flat is not None and not self.counts_only:
             if self.used + len(flat) > len(self.flat):
                 self.flat = np.resize(self.flat, 2 * (self.used + len(flat)))
             self.flat[self.used : self.used + len(flat)] = flat
-            self.ends[self.rows : n] = self.used + np.cumsum(lens)
+            self.ends[rows] = self.used + ends
             self.used += len(flat)
-        self.rows = n
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts, by the library alone."""
@@ -92,31 +133,41 @@ class Codec:
     # -- new pre-tokens -----------------------------------------------------------------------
     def _encode_new(self) -> None:
         keys, self.index.new = self.index.new, []
+        rows = np.arange(len(self.index) - len(keys), len(self.index))
         if self.kind == "piece":
             # The library puts a blank before its input: the unit's own first one, or before a
             # line feed one token more, as no piece holds a line feed.
-            got = self.library([k[1:] if k[0] == " " else k for k in keys])
             alone = np.array([self.lib.piece_to_id("▁")], self.dtype)  # of an empty input it makes nothing
-            got = [alone if k == " " else g[1:] if k[0] == "\n" else g for k, g in zip(keys, got)]
-        else:
-            got = [None] * len(keys)
-            joined = [i for i, k in enumerate(keys) if self.kind == "word" or _JOINABLE.fullmatch(k)]
-            for at in range(0, len(joined), 2000):
-                rows = joined[at : at + 2000]
-                text = " ".join(keys[i] for i in rows) if self.kind == "word" else "".join(keys[i] for i in rows)
-                ids = self.library([text])[0]
-                done = np.cumsum(self.measure[ids])
-                sizes = np.ones(len(rows), np.int64) if self.kind == "word" else np.array([len(keys[i].encode()) for i in rows])
-                ends = np.searchsorted(done, np.cumsum(sizes)) + 1
-                if done[-1] != sizes.sum():
-                    raise RuntimeError("the library cut joined pre-tokens otherwise")
-                for i, a, b in zip(rows, [0, *ends[:-1].tolist()], ends.tolist()):
-                    got[i] = ids[a:b]
-            alone = [i for i, g in enumerate(got) if g is None]
-            for i, g in zip(alone, self.library([keys[i] for i in alone]) if alone else ()):
-                got[i] = g
-        lens = np.fromiter(map(len, got), np.int32, len(got))
-        self._store(lens, None if self.counts_only else np.concatenate(got))
+            got = self.library([k[1:] if k[0] == " " else k for k in keys])
+            self._store_each(rows, [alone if k == " " else g[1:] if k[0] == "\n" else g for k, g in zip(keys, got)])
+            return
+        if self.kind == "word":
+            self._encode_joined(rows, [k.encode() for k in keys], b"", b" ")
+            return
+        raw = [k.encode() for k in keys]
+        led = np.array([r[0] == 32 and len(r) > 1 and (r[1] > 64 and r[1] < 128 or r[1] == 0xC3) and k[1:].isalpha() for k, r in zip(keys, raw)], bool)
+        blank = np.array([k.isspace() for k in keys], bool)
+        for chosen, lead in ((led, b""), (~led & ~blank, b"\n")):
+            self._encode_joined(rows[chosen], [r for r, c in zip(raw, chosen.tolist()) if c], lead, b"")
+        self._store_each(rows[blank], self.library([k for k, c in zip(keys, blank.tolist()) if c]) if blank.any() else [])
+
+    def _store_each(self, rows: np.ndarray, got: list[np.ndarray]) -> None:
+        lens = np.fromiter(map(len, got), np.int64, len(got))
+        self._store(rows, lens, np.concatenate(got) if got else np.zeros(0, self.dtype), np.cumsum(lens))
+
+    def _encode_joined(self, rows: np.ndarray, raw: list[bytes], lead: bytes, between: bytes) -> None:
+        """Pre-tokens that the library cuts apart again: led by a blank, by a line feed (one id more), or between
+        blanks that it drops.  Ids are shared out by their bytes, or by the ends of words."""
+        for at in range(0, len(rows), 4000):
+            some = raw[at : at + 4000]
+            ids = self.library([(between.join(some) if between else b"".join(some) if not lead else lead + lead.join(some)).decode()])[0]
+            done = np.cumsum(self.measure[ids])
+            sizes = np.ones(len(some), np.int64) if between else np.fromiter(map(len, some), np.int64, len(some)) + len(lead)
+            total = np.cumsum(sizes)
+            if not len(done) or done[-1] != total[-1]:
+                raise RuntimeError("the library cut joined pre-tokens otherwise")
+            ends = np.searchsorted(done, total) + 1
+            self._store(rows[at : at + 4000], np.diff(ends, prepend=0) - len(lead), ids, ends)
 
     def pretokens(self, text: str) -> list[str] | None:
         """Keys of a text's pre-tokens; None: only the library's run over the whole text is certain."""
@@ -126,9 +177,7 @@ class Codec:
             if text[0] not in " \n" and text[-1] not in " \n" and "  " not in text and " \n" not in text:
                 return [w if w[0] == "\n" else " " + w for w in text.replace("\n\n", "\n").replace("\n", " \n").split(" ")] if "\n\n" not in text else _PIECE_UNITS.findall(" " + text)
             return _PIECE_UNITS.findall(" " + text)
-        if "<|" in text or not (text.isascii() and text.replace("\n", "").isprintable()) and _PLAIN.search(text):
-            return None
-        return _BYTE_LEVEL.findall(text) if self.kind == "byte" else _WORD_END.findall(text.lower())
+        raise ValueError("texts of this kind are cut as arrays")
 
     def encode(self, texts: list[str | None], group_chars: int = 1_000_000) -> list[np.ndarray] | np.ndarray:
         """Ids of each text, or with ``counts_only`` an array of their numbers.  Null counts as empty."""
@@ -144,20 +193,63 @@ class Codec:
             return np.concatenate(out) if out else np.zeros(0, np.int64)
         return [x for part in out for x in part]
 
-    def _group(self, texts: list[str]):
-        if len(self.index) > self.max_units + len(self.frequent):
-            self._reset()
-        get, parts, sizes, whole = self.index.__getitem__, [], np.zeros(len(texts), np.int64), []
+    def _rows_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Rows of all pre-tokens in a row, their number for each text, and the texts that go whole."""
+        sizes, whole = np.zeros(len(texts), np.int64), []
+        if self.kind == "piece":
+            parts = []
+            for i, t in enumerate(texts):
+                keys = self.pretokens(t) if t else []
+                if keys is None:
+                    whole.append(i)
+                elif keys:
+                    sizes[i] = len(keys)
+                    parts.append(np.fromiter(map(self.index.__getitem__, keys), np.int32, len(keys)))
+            if self.index.new:
+                self._encode_new()
+            return np.concatenate(parts) if parts else np.zeros(0, np.int32), sizes, whole
+        raw, slow = [], []
         for i, t in enumerate(texts):
-            keys = self.pretokens(t) if t else []
-            if keys is None:
+            if t and ("<|" in t or "\x00" in t or not (t.isascii() and t.replace("\n", "").isprintable()) and _PLAIN.search(t)):
                 whole.append(i)
-            elif keys:
-                sizes[i] = len(keys)
-                parts.append(np.fromiter(map(get, keys), np.int32, len(keys)))
+                t = ""
+            elif "'" in t and _APOSTROPHE.search(t):
+                slow.append(i)
+            raw.append((t.lower() if self.kind == "word" else t).encode())
+        flat = np.frombuffer(b"\x00" + b"\x00".join(raw) + b"\x00", np.uint8)
+        at, ends = _cut_arrays(flat, self.kind == "word")
+        borders = np.cumsum([len(r) + 1 for r in raw])
+        if slow:  # contractions: the regular expression's cuts take the arrays' place
+            first = np.concatenate([[0], borders])
+            keep, more = np.ones(len(at), bool), []
+            for i in slow:
+                lo, hi = np.searchsorted(at, [first[i] + 1, borders[i] + 1])
+                keep[lo:hi] = False
+                place = int(first[i]) + 1
+                t = raw[i].decode()
+                for m in (_WORD_END if self.kind == "word" else _BYTE_LEVEL).finditer(t):
+                    more.append((place + len(t[: m.start()].encode()), place + len(t[: m.end()].encode())))
+            extra = np.array(more, np.int64).reshape(-1, 2)
+            at, ends = np.concatenate([at[keep], extra[:, 0]]), np.concatenate([ends[keep], extra[:, 1]])
+            order = np.argsort(at, kind="stable")
+            at, ends = at[order], ends[order]
+        sizes = np.diff(np.searchsorted(at, np.concatenate([[0], borders])))
+        powers, inverse = _powers(len(flat) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[flat] * powers[: len(flat)])])
+        hashes = mix((sums[ends] - sums[at]) * inverse[at] + (ends - at).astype(np.uint64))
+        unique, where, inverse_rows = np.unique(hashes, return_index=True, return_inverse=True)
+        rows = np.fromiter(map(self.index.__getitem__, unique.tolist()), np.int32, len(unique))
         if self.index.new:
+            new = np.flatnonzero(rows >= len(self.index) - len(self.index.new))
+            body = flat.tobytes()
+            self.index.new = [body[a:b].decode() for a, b in zip(at[where[new]].tolist(), ends[where[new]].tolist())]
             self._encode_new()
-        rows = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        return rows[inverse_rows], sizes, whole
+
+    def _group(self, texts: list[str]):
+        if len(self.index) > self.max_units + len(self.frequent):
+            self._reset()
+        rows, sizes, whole = self._rows_of(texts)
         lens = self.lens[rows].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(lens)])
         edges = ends[np.concatenate([[0], np.cumsum(sizes)])]
@@ -171,13 +263,6 @@ class Codec:
         return [direct[i] if i in direct else ids[edges[i] : edges[i + 1]] for i in range(len(texts))]
 
 
-_CODECS: dict = {}
-
-
 def codec(path: str, counts_only: bool = False, frequent: dict[str, int] | None = None, stamp: str = "") -> Codec:
-    """This worker's codec, kept across tasks (one at a time); ``stamp`` tells frequent tables apart."""
-    key = (path, counts_only, stamp)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(path, counts_only, frequent=frequent)
-    return _CODECS[key]
+    """This worker's codec, kept across tasks; ``stamp`` tells frequent tables apart."""
+    return held(("codec", path, counts_only, stamp), lambda: Codec(path, counts_only, frequent=frequent))
