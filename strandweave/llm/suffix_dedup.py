@@ -16,6 +16,7 @@ not built over everything at once; content decides which suffixes can meet:
 
 A null or empty text has no bytes.  Texts shorter than ``length`` are kept.  A repeated row repeats every window
 of its text, so both rows lose them.  Rows with null ids are treated like others.  Matches never cross texts.
+Texts may have any size: anchors are chosen in blocks that overlap.
 """
 
 from __future__ import annotations
@@ -67,8 +68,29 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[: len(keys) - rest], keys[rest:]) if rest else keys
 
 
-def spans_of(raw: list[bytes], length: int, gram: int):
-    """For a group of texts: arrays (text, lo, hi, anchor hash, span hash); lo..hi are window starts."""
+_PLACE_BITS = 24
+BLOCK = 1 << 21
+
+
+def spans_of(raw: list[bytes], length: int, gram: int, block: int = BLOCK):
+    """For a group of texts: arrays (text, lo, hi, anchor hash, span hash); lo..hi are window starts.
+
+    More than ``block`` bytes are seen in blocks of single texts that overlap by ``length - 1`` bytes, so each window
+    is in one block and texts may have any size.  A span that a border cuts is two spans of its anchor.
+    """
+    if not length <= block <= 1 << _PLACE_BITS:
+        raise ValueError(f"a block of {block} bytes: {length} to {1 << _PLACE_BITS} are possible")
+    if sum(map(len, raw)) <= block:
+        return _block_spans(raw, length, gram)
+    out = [_block_spans([], length, gram)]
+    for i, b in enumerate(raw):
+        for a in range(0, len(b) - length + 1, block - length + 1):
+            text, lo, hi, h, s = _block_spans([b[a : a + block]], length, gram)
+            out.append((text + i, lo + a, hi + a, h, s))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _block_spans(raw: list[bytes], length: int, gram: int):
     flat = np.frombuffer(b"".join(raw), np.uint8)
     sizes = np.array([len(r) for r in raw], np.int64)
     ends = np.cumsum(sizes)
@@ -77,7 +99,7 @@ def spans_of(raw: list[bytes], length: int, gram: int):
         return none, none, none, none.view(_U), none.view(_U)
     grams = mix(_grams(flat, gram))
     place = np.arange(len(grams), dtype=_U)
-    low = _U((1 << 24) - 1)
+    low = _U((1 << _PLACE_BITS) - 1)
     keys = (grams & ~low) | (low - place)
     least = _least(keys, length - gram + 1)
     text = np.repeat(np.arange(len(raw)), sizes)[: len(least)]

@@ -118,6 +118,30 @@ def test_suffix_dedup_edges(spark):
     assert sorted((x.doc_id or -1, x.n_removed) for x in suffix_dedup.remove_repeats(odd).collect()) == [(-1, 0), (-1, len(t)), (1, len(t)), (1, len(t))]
 
 
+def test_spans_over_blocks():
+    raw = [(t or "").encode() for t in repeating_texts(random.Random(5))]
+    raw.append(b"".join(raw))
+    for block in (40, 41, 97, 1000, 1 << 20):
+        text, lo, hi, h, _ = suffix_dedup.spans_of(raw, 40, 12, block)
+        windows = [(t, s) for t, a, b in zip(text.tolist(), lo.tolist(), hi.tolist()) for s in range(a, b + 1)]
+        assert sorted(windows) == [(i, s) for i, b in enumerate(raw) for s in range(len(b) - 39)]
+        anchors = {}
+        for (t, s), x in zip(windows, np.repeat(h, hi - lo + 1).tolist()):
+            assert anchors.setdefault(raw[t][s : s + 40], x) == x
+
+
+def test_suffix_dedup_beyond_16_mib(spark):
+    """A passage behind byte 2**24 of a text repeats in a short text, and another one within the long text."""
+    long = random.Random(7).randbytes(8_600_000).hex()
+    far, inner = long[16_900_000:16_901_000], long[17_000_000:17_000_700]
+    texts = [long + "x" + inner + "x", "y" + far + "y"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in suffix_dedup.remove_repeats(table, keep_bytes=False).collect()}
+    assert got == {0: (len(texts[0]), 1000 + 2 * 700, 3), 1: (1002, 1000, 1)}
+    kept = suffix_dedup.remove_repeats(table).where("doc_id = 0").first()
+    assert bytes(kept.kept).decode() == texts[0].replace(far, "").replace(inner, "")
+
+
 def test_two_stage_order():
     r = random.Random(4)
     for _ in range(40):
