@@ -71,6 +71,23 @@ def test_ngram_join_edges(spark):
     assert ngram_join.jaccard_components(odd).count() == 4
 
 
+def test_ngram_join_null_and_repeated_ids(spark):
+    """Rows of one id, or of none, are one document of several sets, each of which links."""
+    r = random.Random(3)
+    texts = near_texts(r, 25)
+    no_id = -1
+    ids = [r.choice([i, i, i, 1000 + i % 9, no_id if i % 20 == 0 else i]) for i in range(len(texts))]
+    for none in (True, False):  # the component of the rows without id is large: once without them
+        kept = [(i, t) for i, t in zip(ids, texts) if none or i != no_id]
+        table = spark.createDataFrame([(None if i == no_id else i, t) for i, t in kept], "doc_id long, text string")
+        sets = [words_set(t, 4) for _, t in kept]
+        links = [(kept[a][0], kept[b][0]) for a in range(len(kept)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+        low = components_of({i for i, _ in kept}, links)
+        real = lambda i: None if i == no_id else i
+        got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(table, 4, 85).collect()), key=str)
+        assert got == sorted(((real(i), len(s), real(low[i])) for (i, _), s in zip(kept, sets)), key=str)
+
+
 def test_shingles():
     texts = ["a b c d e", "A  b\tC\nd E", "a b", "b a", "", None]
     sets = shingle_sets(texts, 4)
