@@ -161,3 +161,19 @@ def test_pipeline(spark, tmp_path):
     for i, t in kept.items():
         assert sum(p.length for p in pieces if p.doc_id == i) == len(lib.library([t])[0]) + 1
     assert {p.doc_id for p in pieces} == set(kept)
+
+
+def test_pipeline_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    made = [" ".join("".join(r.choice(["the", "er", "in", "on", "at", "re"]) for _ in range(r.randint(1, 3))) for _ in range(60)) for _ in range(7)]
+    rows = [(None, made[0]), (3, made[0]), (2, made[0]), (5, made[1]), (5, made[1]), (5, made[2]), (None, made[3]), (None, made[3]), (None, made[4]), (7, None), (7, None)]
+    table = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda docs: sorted(((x.doc_id, x.text) for x in docs.collect()), key=str)
+    got = left(corpus_pipeline.near_duplicates(spark, table(rows), str(tmp_path)))
+    assert got == sorted([(2, made[0]), (5, made[1]), (5, made[2]), (None, made[3]), (None, made[4]), (7, None), (7, None)], key=str)
+    spark.createDataFrame([(0, made[6][:90])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, made[6]), (None, made[0]), (1, made[6]), (1, made[1]), (None, None)]
+    got = left(corpus_pipeline.decontamination(spark, table(rows), str(tmp_path)))
+    assert got == sorted([(None, made[0]), (1, made[1]), (None, None)], key=str)
