@@ -27,10 +27,13 @@ RULES = {
     "access": (1, r"AKIA[A-Z0-9]{16,}", 0, 20),
     "hex": (1, r"(?<![0-9a-f])[0-9a-f]{24,}", 0, 24),
     "pem": (1, r"-----BEGIN (?:[A-Z]{2,12} )?PRIVATE KEY-----", 0, 1),
-    "github": (1, r"\bgh[pousr]_[A-Za-z0-9]{36,255}", 0, 1),
-    "slack": (1, r"\bxox[abprs]-[A-Za-z0-9-]{10,255}", 0, 1),
-    "jwt": (1, r"\beyJ[A-Za-z0-9_-]{10,2000}\.eyJ[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,2000}", 0, 1),
+    "github": (2, r"\bgh[pousr]_[A-Za-z0-9]{36,}+", 0, 1),
+    "slack": (2, r"\bxox[abprs]-[A-Za-z0-9-]{10,}+", 0, 1),
+    # Only the first start in a run is tried, as later ones can't succeed where it fails; the group is the token.
+    "jwt": (2, r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=\beyJ))(eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)", 1, 1),
 }
+#: Rules whose span is their group, which ends the match.
+ENDING = ("jwt",)
 FOUND = "array<struct<kind:string,s:int,e:int>>"
 _SCANNED = "blob string, rule string"
 
@@ -47,7 +50,7 @@ def _scan(text: Column, needed: Column, rules: dict) -> Column:
     def one(rule: str) -> Column:
         version, pattern, group, least = rules[rule]
         kept = F.filter(spans(rule, text, pattern, group), lambda x: F.length(x["g"]) >= least)
-        short = F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+        short = F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), (x["e"] - F.length(x["g"]) if rule in ENDING else x["s"]).alias("s"), x["e"].alias("e")))
         return F.when(F.array_contains(needed, f"{rule}@{version}"), short).otherwise(F.expr(f"cast(array() as {FOUND})"))
 
     return F.concat(*[one(r) for r in rules])

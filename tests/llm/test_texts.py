@@ -78,6 +78,16 @@ def test_secrets(spark, tmp_path):
     assert secret_scan.scan(table(spark, texts).limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_long_secrets(spark, tmp_path):
+    jwt = "eyJ" + "h" * 30 + ".eyJ" + "p" * 5000 + "." + "s" * 3000
+    tokens = {"jwt": jwt, "github": "ghp_" + "a1" * 400, "slack": "xoxb-" + "1-2" * 300}
+    texts = ["é 🙂 " + t + " end" for t in tokens.values()] + ["x-" + jwt + ",", "-eyJ" * 100_000, "xoxb-" * 100_000, "ééyJ _eyJ" + "a" * 20 + ".eyJ" + "b" * 20 + ".cccccccccccc"]
+    got = {x.doc_id: [(s.kind, s.s, s.e) for s in x.found if s.kind in tokens] for x in secret_scan.scan(table(spark, texts), str(tmp_path / "ledger")).collect()}
+    assert [got[i] for i in range(3)] == [[(k, 4, 4 + len(t))] for k, t in tokens.items()]
+    assert got[3] == [("jwt", 2, 2 + len(jwt))]
+    assert got[4] == [] and got[5] == [("slack", 0, 500_000)] and got[6] == []
+
+
 def test_language(spark):
     r = random.Random(1)
     made = {"en": ["the", "house", "river", "walks"], "fr": ["une", "maison", "fleuve", "marche"], "de": ["das", "haus", "fluss", "geht"]}
