@@ -55,8 +55,8 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def running_starts(df: DataFrame, order: str, amount: str, out: str, blocks: int = 4096) -> DataFrame:
-    """Add ``out``: the sum of ``amount`` over all rows with a smaller ``order`` (a unique long).
+def running_starts(df: DataFrame, order: str, amount: str, out: str, blocks: int = 4096, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``out``: the sum of ``amount`` over all rows with a smaller ``order`` (a long, unique with ``ties``).
 
     The id range is cut into at most ``blocks`` equal blocks; sums within a block run in one
     window per block, and the one ordered pass over all blocks has ``blocks`` rows at most.
@@ -69,7 +69,7 @@ def running_starts(df: DataFrame, order: str, amount: str, out: str, blocks: int
     total = df.groupBy("_block").agg(F.sum(amount).alias("_sum"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     total = total.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_block").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     return (
         df.join(total, "_block")
         .withColumn(out, (F.col("_before") + F.coalesce(F.sum(amount).over(within), F.lit(0))).cast("long"))

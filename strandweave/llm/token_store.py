@@ -9,7 +9,7 @@ Layout of a store folder (Parquet): ``stored/kind=chunk`` (digest, n_ids, ids li
 (level, node, first and last position, hash).
 
 Nulls and empty texts are encoded as empty (the end id alone).  Every row gets a recipe, repeated rows too;
-rows with equal ids keep their number but share an arbitrary order.  An empty table makes an empty store.
+rows with equal ids keep their number and are ordered by their roots.  An empty table makes an empty store.
 Further columns of the table are not read.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import real_id, running_starts, safe_id
+from .common import real_id, running_starts, safe_id, written
 from .tokens import codec
 
 WINDOW_DOUBLINGS = 4  # the rolling hash sees 2**4 ids
@@ -120,7 +120,7 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int, id_col: st
     one = dealt.groupBy("kind", "key").agg(*[F.first(c).alias(c) for c in ("id", "n_ids", "body", "root")])
     one.select("key", "id", "n_ids", "body", "root", "kind").write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/stored")
     recipes = spark.read.schema("id long, n_ids int, root binary, kind string").parquet(f"{folder}/stored").where("kind = 'recipe'").drop("kind")
-    index = running_starts(recipes.withColumn("one", F.lit(1)), "id", "n_ids", "start")
+    index = running_starts(recipes.withColumn("one", F.lit(1)), "id", "n_ids", "start", ties=("root",))
     index = index.select("id", "start", F.col("n_ids").cast("long").alias("n_tokens"), "root")
     index.repartitionByRange("id").sortWithinPartitions("id").write.option("compression", "zstd").parquet(f"{folder}/index")
     _write_manifest(spark, folder)
@@ -129,18 +129,43 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int, id_col: st
 def _write_manifest(spark: SparkSession, folder: str) -> None:
     """Levels of ``FANOUT`` hashes each, in id order, up to one root."""
     index = spark.read.schema("id long, start long, root binary").parquet(f"{folder}/index")
-    level, nodes = 0, running_starts(index.withColumn("one", F.lit(1)), "id", "one", "position").select("position", F.col("root").alias("hash"))
+    level, nodes = 0, _leaves(index)
     while True:
-        up = nodes.groupBy(F.expr(f"position div {FANOUT}").alias("node")).agg(
-            F.min("position").alias("first"), F.max("position").alias("last"),
-            F.unhex(F.sha2(F.expr("array_join(transform(array_sort(collect_list(struct(position, hash))), x -> hex(x.hash)), '')").cast("binary"), 256)).alias("hash"))
-        up.withColumn("level", F.lit(level)).write.mode("append").parquet(f"{folder}/manifest")
+        _level(nodes, level).write.mode("append").parquet(f"{folder}/manifest")
         nodes = spark.read.parquet(f"{folder}/manifest").where(F.col("level") == level).select(F.col("node").alias("position"), "hash")
         if nodes.limit(2).count() < 2:
             return
         level += 1
 
 
+def _leaves(roots: DataFrame) -> DataFrame:
+    """(position, hash) of rows (id, root)."""
+    return running_starts(roots.withColumn("one", F.lit(1)), "id", "one", "position", ties=("root",)).select("position", F.col("root").alias("hash"))
+
+
+def _level(nodes: DataFrame, level: int) -> DataFrame:
+    up = nodes.groupBy(F.expr(f"position div {FANOUT}").alias("node")).agg(
+        F.min("position").alias("first"), F.max("position").alias("last"),
+        F.unhex(F.sha2(F.expr("array_join(transform(array_sort(collect_list(struct(position, hash))), x -> hex(x.hash)), '')").cast("binary"), 256)).alias("hash"))
+    return up.withColumn("level", F.lit(level))
+
+
+def _manifest_holds(roots: DataFrame, folder: str) -> bool:
+    """Whether the levels over rows (id, root), made anew, are the stored manifest's, up to its one root."""
+    spark = roots.sparkSession
+    stored = spark.read.schema("node long, first long, last long, hash binary, level int").parquet(f"{folder}/manifest")
+    columns = ("node", "first", "last", "hash")
+    level, nodes = 0, _leaves(roots)
+    while True:
+        made, kept = written(_level(nodes, level), "token-manifest").select(*columns), stored.where(F.col("level") == level).select(*columns)
+        if not made.exceptAll(kept).isEmpty() or not kept.exceptAll(made).isEmpty():
+            return False
+        nodes = made.select(F.col("node").alias("position"), "hash")
+        if nodes.limit(2).count() < 2:
+            return stored.where(F.col("level") > level).isEmpty()
+        level += 1
+
+
 # -- reading ------------------------------------------------------------------------------------
 _POLY = np.uint32(0xEDB88320)
 
@@ -178,7 +203,8 @@ def read_store(spark: SparkSession, folder: str, id_bytes: int = 2) -> DataFrame
     """What the files hold, per document: id, start, n_tokens, ids_crc32 (little-endian 32-bit ids), verified.
 
     Every stored chunk is hashed again and its CRC-32 taken where it lies; only those short rows are
-    joined with the recipes.  ``verified``: digests, recipe, Merkle root and index agree.
+    joined with the recipes.  ``verified``: digests, recipe, Merkle root and index agree, the start is the sum of what was
+read before, and the manifest made anew from all recipes is the stored one; if it is not, no row is verified.
     """
     import zlib
 
@@ -210,9 +236,11 @@ def read_store(spark: SparkSession, folder: str, id_bytes: int = 2) -> DataFrame
                 [batch.column(0), pa.array(np.add.reduceat(sizes, first) if len(first) else [], pa.int64()), pa.array(joined_crc(crcs, sizes * 4, first), pa.int64()), pa.array([merkle(digests[a:b]) for a, b in zip(first.tolist(), ends)], pa.binary()), pa.array(good)],
                 ["id", "n_read", "ids_crc32", "root_read", "good"])
 
-    read = docs.select("id", "parts").mapInArrow(assemble, "id long, n_read long, ids_crc32 long, root_read binary, good boolean")
+    read = written(docs.select("id", "parts").mapInArrow(assemble, "id long, n_read long, ids_crc32 long, root_read binary, good boolean"), "token-read")
+    whole = _manifest_holds(read.select("id", F.col("root_read").alias("root")), folder)
+    read = running_starts(read, "id", "n_read", "start_read", ties=("root_read",))
     index = spark.read.schema("id long, start long, n_tokens long, root binary").parquet(f"{folder}/index")
     # Repeated ids: the index rows and the recipes of an id pair up in order.
     nth = lambda df, *by: df.withColumn("_nth", F.row_number().over(Window.partitionBy("id").orderBy(*by)))
-    both = nth(index, "root", "start").join(nth(read, "root_read"), ["id", "_nth"], "full")
-    return both.select(real_id("id").alias("id"), "start", F.col("n_read").alias("n_tokens"), "ids_crc32", F.coalesce(F.col("good") & (F.col("root") == F.col("root_read")) & (F.col("n_read") == F.col("n_tokens")), F.lit(False)).alias("verified"))
+    both = nth(index, "root", "start").join(nth(read, "root_read", "start_read"), ["id", "_nth"], "full")
+    return both.select(real_id("id").alias("id"), "start", F.col("n_read").alias("n_tokens"), "ids_crc32", F.coalesce(F.col("good") & (F.col("root") == F.col("root_read")) & (F.col("n_read") == F.col("n_tokens")) & (F.col("start_read") == F.col("start")) & F.lit(whole), F.lit(False)).alias("verified"))

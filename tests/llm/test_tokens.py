@@ -76,6 +76,28 @@ def test_store_of_nothing_and_of_repeated_ids(spark, tmp_path):
     assert sorted((r.id or -1, r.n_tokens, r.verified) for r in token_store.read_store(spark, str(tmp_path / "t")).collect()) == [(-1, 2, True), (1, 2, True), (1, 2, True)]
 
 
+def test_store_with_losses(spark, tmp_path):
+    """A document lost with its index row, and a changed start, are told; an intact store of repeated ids is verified."""
+    table = spark.createDataFrame([(i // 2 if i % 9 else None, f"text {i}") for i in range(2500)], "doc_id long, text string")
+    source = str(tmp_path / "s")
+    token_store.write_store(table, tokenizer_file(FILES[0]), source, end_id=2)
+    assert spark.read.parquet(f"{source}/manifest").select("level").distinct().count() == 2
+    assert {r.verified for r in token_store.read_store(spark, source).collect()} == {True}
+    whole = {n: spark.read.parquet(f"{source}/{n}") for n in ("stored", "index", "manifest")}
+
+    def changed(name, **parts):
+        for n, df in (whole | parts).items():
+            df.write.partitionBy(*(["kind"] if n == "stored" else [])).parquet(str(tmp_path / name / n))
+        return [r.verified for r in token_store.read_store(spark, str(tmp_path / name)).collect()]
+
+    last = 1249  # nothing follows, so only the manifest tells
+    lost = changed("lost", stored=whole["stored"].where(f"kind = 'chunk' or id != {last}"), index=whole["index"].where(f"id != {last}"))
+    assert 2490 < len(lost) < 2500 and not any(lost)
+    moved = changed("moved", index=whole["index"].selectExpr("id", "if(id = 1200, start + 1, start) as start", "n_tokens", "root"))
+    assert 1 <= moved.count(False) <= 2
+    assert not any(changed("root", manifest=whole["manifest"].selectExpr("node", "first", "last", "if(level = 1, unhex('00'), hash) as hash", "level")))
+
+
 def test_joined_crc():
     parts = [b"abc", b"", b"defgh", b"i", b"jklm"]
     crcs, sizes = np.array([zlib.crc32(p) for p in parts]), np.array([len(p) for p in parts])
