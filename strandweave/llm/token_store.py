@@ -5,7 +5,7 @@ chunks; a chunk is stored once under the SHA-256 of its bytes.  A document's rec
 Merkle root covers them, and a tree of roots in id order ends in the manifest's one root.
 
 Layout of a store folder (Parquet): ``stored/kind=chunk`` (digest, n_ids, ids little-endian),
-``stored/kind=recipe`` (id, digests, root), ``index`` (ascending id: start, n_tokens, root) and ``manifest``
+``stored/kind=recipe`` (ascending id: digests, root), ``index`` (ascending id: start, n_tokens, root) and ``manifest``
 (level, node, first and last position, hash).
 
 Nulls and empty texts are encoded as empty (the end id alone).  Every row gets a recipe, repeated rows too;
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import real_id, running_starts, safe_id, written
-from .tokens import codec
+from .common import drop_folder, real_id, running_starts, safe_id, written
+from .tokens import codec, slices
 
 WINDOW_DOUBLINGS = 4  # the rolling hash sees 2**4 ids
 FANOUT = 1024
@@ -36,7 +36,7 @@ def _gear(size: int = 1 << 16) -> np.ndarray:
     return np.random.default_rng(20240229).integers(0, 1 << 63, size, np.uint64)
 
 
-def cut(ids: np.ndarray, doc_ends: np.ndarray, gear: np.ndarray, mean: int = 256, least: int = 64, most: int = 2048) -> list[list[int]]:
+def cut(ids: np.ndarray, doc_ends: np.ndarray, gear: np.ndarray, mean: int = 1024, least: int = 256, most: int = 8192) -> list[list[int]]:
     """Ends of the chunks of each document in a row of id streams: a chunk ends where the rolling hash's top
     bits are 0.  What the hash sees of the document before is without effect, as ``least`` exceeds its window."""
     h = gear[ids & (len(gear) - 1)]
@@ -83,9 +83,10 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int, id_col: st
         gear, part, n = _gear(), (TaskContext.get().partitionId() if TaskContext.get() else 0), 0
         seen: set[bytes] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
-                streams = codec(path).encode(piece.column(1).to_pylist())
+            texts = batch.column(1).to_pylist()
+            for at, stop in slices(texts):
+                piece = batch.slice(at, stop - at)
+                streams = codec(path).encode(texts[at:stop])
                 end = np.array([end_id], streams[0].dtype)
                 flat = np.concatenate([x for ids in streams for x in (ids, end)])
                 doc_ends = np.cumsum([len(ids) + 1 for ids in streams])
@@ -97,7 +98,7 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int, id_col: st
                     for e in ends:
                         digests.append(d := hashlib.sha256(raw[last * size : e * size]).digest())
                         if d not in seen:
-                            if len(seen) > 200_000:
+                            if len(seen) > 100_000:
                                 seen.clear()
                             seen.add(d)
                             fresh.append((d, e - last, raw[last * size : e * size]))
@@ -107,7 +108,7 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int, id_col: st
                     bodies.append(b"".join(digests))
                     roots.append(merkle(digests))
                 sizes = np.diff(doc_ends, prepend=0)
-                yield pa.RecordBatch.from_arrays([pa.array(["recipe"] * len(keys)), pa.array(keys, pa.binary()), piece.column(0), pa.array(sizes, pa.int32()), pa.array(bodies, pa.binary()), pa.array(roots, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(["draft"] * len(keys)), pa.array(keys, pa.binary()), piece.column(0), pa.array(sizes, pa.int32()), pa.array(bodies, pa.binary()), pa.array(roots, pa.binary())], schema=schema)
                 if fresh:
                     keys, sizes, bodies = zip(*fresh)
                     none = pa.nulls(len(keys))
@@ -119,17 +120,24 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int, id_col: st
     dealt = rows.repartition("kind", "key").sortWithinPartitions("kind", "key")
     one = dealt.groupBy("kind", "key").agg(*[F.first(c).alias(c) for c in ("id", "n_ids", "body", "root")])
     one.select("key", "id", "n_ids", "body", "root", "kind").write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/stored")
-    recipes = spark.read.schema("id long, n_ids int, root binary, kind string").parquet(f"{folder}/stored").where("kind = 'recipe'").drop("kind")
-    index = running_starts(recipes.withColumn("one", F.lit(1)), "id", "n_ids", "start", ties=("root",))
-    index = index.select("id", "start", F.col("n_ids").cast("long").alias("n_tokens"), "root")
-    index.repartitionByRange("id").sortWithinPartitions("id").write.option("compression", "zstd").parquet(f"{folder}/index")
-    _write_manifest(spark, folder)
+    # Recipes come out by key; what is stored lies in ascending order of ids.
+    drafts = spark.read.schema("key binary, id long, n_ids int, body binary, root binary").parquet(f"{folder}/stored/kind=draft") if _has(spark, f"{folder}/stored/kind=draft") else spark.createDataFrame([], "key binary, id long, n_ids int, body binary, root binary")
+    placed = running_starts(drafts, "id", "n_ids", "start", ties=("root", "key"), number="position")
+    ascending = placed.repartitionByRange("position").sortWithinPartitions("position")
+    ascending.select("key", "id", "n_ids", "body", "root").write.option("compression", "zstd").parquet(f"{folder}/stored/kind=recipe")
+    ascending.select("id", "start", F.col("n_ids").cast("long").alias("n_tokens"), "root").write.option("compression", "zstd").parquet(f"{folder}/index")
+    _write_manifest(placed.select("position", F.col("root").alias("hash")), folder)
+    drop_folder(spark, f"{folder}/stored/kind=draft")
 
 
-def _write_manifest(spark: SparkSession, folder: str) -> None:
-    """Levels of ``FANOUT`` hashes each, in id order, up to one root."""
-    index = spark.read.schema("id long, start long, root binary").parquet(f"{folder}/index")
-    level, nodes = 0, _leaves(index)
+def _has(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _write_manifest(nodes: DataFrame, folder: str) -> None:
+    """Levels of ``FANOUT`` hashes each over rows (position, hash), in id order, up to one root."""
+    spark, level = nodes.sparkSession, 0
     while True:
         _level(nodes, level).write.mode("append").parquet(f"{folder}/manifest")
         nodes = spark.read.parquet(f"{folder}/manifest").where(F.col("level") == level).select(F.col("node").alias("position"), "hash")
@@ -138,11 +146,6 @@ def _write_manifest(spark: SparkSession, folder: str) -> None:
         level += 1
 
 
-def _leaves(roots: DataFrame) -> DataFrame:
-    """(position, hash) of rows (id, root)."""
-    return running_starts(roots.withColumn("one", F.lit(1)), "id", "one", "position", ties=("root",)).select("position", F.col("root").alias("hash"))
-
-
 def _level(nodes: DataFrame, level: int) -> DataFrame:
     up = nodes.groupBy(F.expr(f"position div {FANOUT}").alias("node")).agg(
         F.min("position").alias("first"), F.max("position").alias("last"),
@@ -150,12 +153,12 @@ def _level(nodes: DataFrame, level: int) -> DataFrame:
     return up.withColumn("level", F.lit(level))
 
 
-def _manifest_holds(roots: DataFrame, folder: str) -> bool:
-    """Whether the levels over rows (id, root), made anew, are the stored manifest's, up to its one root."""
-    spark = roots.sparkSession
+def _manifest_holds(nodes: DataFrame, folder: str) -> bool:
+    """Whether the levels over rows (position, hash), made anew, are the stored manifest's, up to its one root."""
+    spark = nodes.sparkSession
     stored = spark.read.schema("node long, first long, last long, hash binary, level int").parquet(f"{folder}/manifest")
     columns = ("node", "first", "last", "hash")
-    level, nodes = 0, _leaves(roots)
+    level = 0
     while True:
         made, kept = written(_level(nodes, level), "token-manifest").select(*columns), stored.where(F.col("level") == level).select(*columns)
         if not made.exceptAll(kept).isEmpty() or not kept.exceptAll(made).isEmpty():
@@ -199,11 +202,12 @@ def joined_crc(crcs: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> np.nd
     return np.bitwise_xor.reduceat(_times(_shift(after.astype(np.int64)), crcs.astype(np.uint32)), groups).astype(np.int64)
 
 
-def read_store(spark: SparkSession, folder: str, id_bytes: int = 2) -> DataFrame:
+def read_store(spark: SparkSession, folder: str, id_bytes: int = 2, least_hot: int = 10_000) -> DataFrame:
     """What the files hold, per document: id, start, n_tokens, ids_crc32 (little-endian 32-bit ids), verified.
 
     Every stored chunk is hashed again and its CRC-32 taken where it lies; only those short rows are
-    joined with the recipes.  ``verified``: digests, recipe, Merkle root and index agree, the start is the sum of what was
+    joined with the recipes.  Digests that more than a thousandth of all recipe entries name (so fewer than a thousand)
+    are joined by broadcast: a passage of every document makes no large task.  ``verified``: digests, recipe, Merkle root and index agree, the start is the sum of what was
 read before, and the manifest made anew from all recipes is the stored one; if it is not, no row is verified.
     """
     import zlib
@@ -221,7 +225,13 @@ read before, and the manifest made anew from all recipes is the stored one; if i
     stored = spark.read.schema("key binary, id long, n_ids int, body binary, root binary, kind string").parquet(f"{folder}/stored")
     chunks = stored.where("kind = 'chunk'").select("key", "body").mapInArrow(check, "digest binary, n int, crc long, good boolean")
     recipes = stored.where("kind = 'recipe'").select("id", "key", F.explode(F.expr(f"transform(sequence(0, length(body) div {_DIGEST} - 1), i -> struct(i as seq, substring(body, i * {_DIGEST} + 1, {_DIGEST}) as digest))")).alias("c"))
-    parts = recipes.select("id", "key", "c.*").join(chunks, "digest", "left")
+    named = recipes.select("id", "key", "c.*")
+    chunks = written(chunks, "token-chunks")
+    uses = written(named.groupBy("digest").count(), "token-uses")
+    least = max(least_hot, (uses.agg(F.sum("count")).first()[0] or 0) // 1000)
+    hot = F.broadcast(uses.where(F.col("count") > least).select("digest"))
+    parts = named.join(hot, "digest", "left_anti").join(chunks, "digest", "left")
+    parts = parts.union(named.join(hot, "digest", "left_semi").join(F.broadcast(chunks.join(hot, "digest", "left_semi")), "digest", "left"))
     docs = parts.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("seq", "n", "crc", "good", "digest"))).alias("parts"))
 
     def assemble(batches):
@@ -237,8 +247,8 @@ read before, and the manifest made anew from all recipes is the stored one; if i
                 ["id", "n_read", "ids_crc32", "root_read", "good"])
 
     read = written(docs.select("id", "parts").mapInArrow(assemble, "id long, n_read long, ids_crc32 long, root_read binary, good boolean"), "token-read")
-    whole = _manifest_holds(read.select("id", F.col("root_read").alias("root")), folder)
-    read = running_starts(read, "id", "n_read", "start_read", ties=("root_read",))
+    read = running_starts(read, "id", "n_read", "start_read", ties=("root_read",), number="position")
+    whole = _manifest_holds(read.select("position", F.col("root_read").alias("hash")), folder)
     index = spark.read.schema("id long, start long, n_tokens long, root binary").parquet(f"{folder}/index")
     # Repeated ids: the index rows and the recipes of an id pair up in order.
     nth = lambda df, *by: df.withColumn("_nth", F.row_number().over(Window.partitionBy("id").orderBy(*by)))

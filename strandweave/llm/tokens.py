@@ -76,15 +76,72 @@ class _Index(dict):
         return row
 
 
+class HashRows:
+    """64-bit hash -> row, in arrays alone: open addressing, at most half full."""
+
+    def __init__(self, bits: int = 16):
+        self.keys, self.rows, self.held = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32), 0
+
+    def __len__(self) -> int:
+        return self.held
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The rows of ``hashes``, -1 for unknown ones."""
+        last = len(self.keys) - 1
+        at = (hashes & np.uint64(last)).astype(np.int64)
+        out = self.rows[at]
+        open_ = np.flatnonzero((out >= 0) & (self.keys[at] != hashes))
+        while len(open_):
+            spot = at[open_] = (at[open_] + 1) & last
+            out[open_] = self.rows[spot]
+            open_ = open_[(out[open_] >= 0) & (self.keys[spot] != hashes[open_])]
+        return out
+
+    def add(self, hashes: np.ndarray) -> np.ndarray:
+        """Give different unknown ``hashes`` the next rows."""
+        new = np.arange(self.held, self.held + len(hashes), dtype=np.int32)
+        if 2 * (self.held + len(hashes)) > len(self.keys):
+            keep = self.rows >= 0
+            keys, rows = self.keys[keep], self.rows[keep]
+            bits = (4 * (self.held + len(hashes))).bit_length()
+            self.keys, self.rows = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+            self._put(keys, rows)
+        self._put(hashes, new)
+        self.held += len(hashes)
+        return new
+
+    def _put(self, hashes: np.ndarray, rows: np.ndarray) -> None:
+        last = len(self.keys) - 1
+        at = (hashes & np.uint64(last)).astype(np.int64)
+        while len(hashes):
+            free = self.rows[at] < 0
+            self.rows[at[free]], self.keys[at[free]] = rows[free], hashes[free]  # of several for one place the last stays
+            left = self.rows[at] != rows
+            hashes, rows, at = hashes[left], rows[left], (at[left] + 1) & last
+
+
+def slices(texts: list[str | None], chars: int = 1_000_000):
+    """Borders of runs of texts of about ``chars`` characters."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "") + 1
+        if size >= chars:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
 class Codec:
     """Encoder of one worker process for one vocabulary file.
 
     Two tiers: ``frequent`` (pre-token -> number of ids; fixed, broadcast; only used when counting)
-    and the pre-tokens met here, emptied when there are more than ``max_units``, so memory is bounded.
+    and the pre-tokens met here, emptied when there are more than ``max_units`` or ``max_ids`` ids of them, so memory is
+    bounded.
     """
 
-    def __init__(self, path: str, counts_only: bool = False, max_units: int = 500_000, frequent: dict[str, int] | None = None):
-        self.path, self.counts_only, self.max_units, self.frequent = path, counts_only, max_units, frequent or {}
+    def __init__(self, path: str, counts_only: bool = False, max_units: int = 500_000, frequent: dict[str, int] | None = None, max_ids: int = 8_000_000):
+        self.path, self.counts_only, self.max_units, self.frequent, self.max_ids = path, counts_only, max_units, frequent or {}, max_ids
         if path.endswith(".model"):
             import sentencepiece
 
@@ -104,7 +161,13 @@ class Codec:
         self._reset()
 
     def _reset(self) -> None:
-        self.index = _Index(zip(self.frequent, range(len(self.frequent))))
+        if self.kind == "piece":
+            self.index = _Index(zip(self.frequent, range(len(self.frequent))))
+        else:
+            self.index = HashRows()
+            flat = np.frombuffer("".join(self.frequent).encode(), np.uint8)
+            ends = np.cumsum([len(k.encode()) for k in self.frequent]).astype(np.int64)
+            self.index.add(self._hashes(flat, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if len(ends) else np.zeros(0, np.uint64))
         self.lens = np.zeros(1 << 12, np.int32)
         self.ends = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 14, self.dtype)
@@ -130,65 +193,95 @@ class Codec:
         ids = self.lib.encode(texts, num_threads=1) if self.kind == "piece" else [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
         return [np.array(i, self.dtype) for i in ids]
 
+    @staticmethod
+    def _hashes(flat: np.ndarray, at: np.ndarray, ends: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+        """Hashes of flat[at:ends], by blocks of neighbours, so that a long text needs no long tables."""
+        out = np.zeros(len(at), np.uint64)
+        edges = np.searchsorted(at, np.arange(0, len(flat) + step, step)).tolist()
+        for a, b in zip(edges, edges[1:]):
+            if a < b:
+                lo, hi = at[a], ends[b - 1]
+                powers, inverse = _powers(int(hi - lo) + 1)
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[flat[lo:hi]] * powers[: hi - lo])])
+                out[a:b] = (sums[ends[a:b] - lo] - sums[at[a:b] - lo]) * inverse[at[a:b] - lo] + (ends[a:b] - at[a:b]).astype(np.uint64)
+        return mix(out)
+
     # -- new pre-tokens -----------------------------------------------------------------------
-    def _encode_new(self) -> None:
+    def _encode_pieces(self) -> None:
         keys, self.index.new = self.index.new, []
         rows = np.arange(len(self.index) - len(keys), len(self.index))
-        if self.kind == "piece":
-            # The library puts a blank before its input: the unit's own first one, or before a
-            # line feed one token more, as no piece holds a line feed.
-            alone = np.array([self.lib.piece_to_id("▁")], self.dtype)  # of an empty input it makes nothing
-            got = self.library([k[1:] if k[0] == " " else k for k in keys])
-            self._store_each(rows, [alone if k == " " else g[1:] if k[0] == "\n" else g for k, g in zip(keys, got)])
-            return
+        # The library puts a blank before its input: the unit's own first one, or before a
+        # line feed one token more, as no piece holds a line feed.
+        alone = np.array([self.lib.piece_to_id("▁")], self.dtype)  # of an empty input it makes nothing
+        got = self.library([k[1:] if k[0] == " " else k for k in keys])
+        self._store_each(rows, [alone if k == " " else g[1:] if k[0] == "\n" else g for k, g in zip(keys, got)])
+
+    def _encode_spans(self, rows: np.ndarray, flat: np.ndarray, at: np.ndarray, ends: np.ndarray) -> None:
+        """Encode the pre-tokens at..ends of ``flat`` for new ``rows``."""
         if self.kind == "word":
-            self._encode_joined(rows, [k.encode() for k in keys], b"", b" ")
-            return
-        raw = [k.encode() for k in keys]
-        led = np.array([r[0] == 32 and len(r) > 1 and (r[1] > 64 and r[1] < 128 or r[1] == 0xC3) and k[1:].isalpha() for k, r in zip(keys, raw)], bool)
-        blank = np.array([k.isspace() for k in keys], bool)
-        for chosen, lead in ((led, b""), (~led & ~blank, b"\n")):
-            self._encode_joined(rows[chosen], [r for r, c in zip(raw, chosen.tolist()) if c], lead, b"")
-        self._store_each(rows[blank], self.library([k for k, c in zip(keys, blank.tolist()) if c]) if blank.any() else [])
+            return self._encode_joined(rows, flat, at, ends, None, 32)
+        first, second = flat[at], flat[np.minimum(at + 1, len(flat) - 1)]
+        sign = (second == 0xC3) & np.isin(flat[np.minimum(at + 2, len(flat) - 1)], (0x97, 0xB7))
+        led = (first == 32) & (ends - at > 1) & (_CLASS[second] == _LETTER) & ~sign
+        space = lambda b: (b == 32) | (b == 10)
+        blank = space(first) & space(flat[ends - 1])
+        self._encode_joined(rows[led], flat, at[led], ends[led], None, None)
+        rest = ~led & ~blank
+        self._encode_joined(rows[rest], flat, at[rest], ends[rest], 10, None)
+        if blank.any():
+            body = flat.tobytes()
+            self._store_each(rows[blank], self.library([body[a:b].decode() for a, b in zip(at[blank].tolist(), ends[blank].tolist())]))
 
     def _store_each(self, rows: np.ndarray, got: list[np.ndarray]) -> None:
         lens = np.fromiter(map(len, got), np.int64, len(got))
         self._store(rows, lens, np.concatenate(got) if got else np.zeros(0, self.dtype), np.cumsum(lens))
 
-    def _encode_joined(self, rows: np.ndarray, raw: list[bytes], lead: bytes, between: bytes) -> None:
-        """Pre-tokens that the library cuts apart again: led by a blank, by a line feed (one id more), or between
+    def _encode_joined(self, rows: np.ndarray, flat: np.ndarray, at: np.ndarray, ends: np.ndarray, lead: int | None, after: int | None) -> None:
+        """Pre-tokens that the library cuts apart again: led by a blank, by a line feed (one id more), or before
         blanks that it drops.  Ids are shared out by their bytes, or by the ends of words."""
-        for at in range(0, len(rows), 4000):
-            some = raw[at : at + 4000]
-            ids = self.library([(between.join(some) if between else b"".join(some) if not lead else lead + lead.join(some)).decode()])[0]
+        extra = int(lead is not None or after is not None)
+        for k in range(0, len(rows), 4000):
+            lo, sizes = at[k : k + 4000], ends[k : k + 4000] - at[k : k + 4000]
+            total = np.cumsum(sizes + extra)
+            begins = total - sizes - (extra if after is not None else 0)
+            joined = np.full(int(total[-1]), lead or after or 0, np.uint8)
+            joined[np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())] = flat[np.repeat(lo - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+            ids = self.library([joined.tobytes().decode()])[0]
             done = np.cumsum(self.measure[ids])
-            sizes = np.ones(len(some), np.int64) if between else np.fromiter(map(len, some), np.int64, len(some)) + len(lead)
-            total = np.cumsum(sizes)
+            if after is not None:
+                total = np.arange(1, len(lo) + 1)
             if not len(done) or done[-1] != total[-1]:
                 raise RuntimeError("the library cut joined pre-tokens otherwise")
-            ends = np.searchsorted(done, total) + 1
-            self._store(rows[at : at + 4000], np.diff(ends, prepend=0) - len(lead), ids, ends)
+            last = np.searchsorted(done, total) + 1
+            self._store(rows[k : k + 4000], np.diff(last, prepend=0) - (lead is not None), ids, last)
 
     def pretokens(self, text: str) -> list[str] | None:
         """Keys of a text's pre-tokens; None: only the library's run over the whole text is certain."""
+        if self.kind != "piece":
+            flat, at, ends, _, whole = self._cuts([text])
+            body = flat.tobytes()
+            return None if whole else [body[a:b].decode() for a, b in zip(at.tolist(), ends.tolist())]
+        if "▁" in text:
+            return None
+        if text and text[0] not in " \n" and text[-1] not in " \n" and "  " not in text and " \n" not in text:
+            return [w if w[0] == "\n" else " " + w for w in text.replace("\n\n", "\n").replace("\n", " \n").split(" ")] if "\n\n" not in text else _PIECE_UNITS.findall(" " + text)
+        return _PIECE_UNITS.findall(" " + text) if text else []
+
+    def unit_counts(self, keys: list[str]) -> list[int]:
+        """Numbers of ids of pre-tokens that ``pretokens`` gave."""
         if self.kind == "piece":
-            if "▁" in text:
-                return None
-            if text[0] not in " \n" and text[-1] not in " \n" and "  " not in text and " \n" not in text:
-                return [w if w[0] == "\n" else " " + w for w in text.replace("\n\n", "\n").replace("\n", " \n").split(" ")] if "\n\n" not in text else _PIECE_UNITS.findall(" " + text)
-            return _PIECE_UNITS.findall(" " + text)
-        raise ValueError("texts of this kind are cut as arrays")
+            rows = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+            self._encode_pieces()
+        else:
+            raw = [k.encode() for k in keys]
+            flat, ends = np.frombuffer(b"".join(raw) + b"\x00", np.uint8), np.cumsum([len(r) for r in raw]).astype(np.int64)
+            at = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            rows = self._known(flat, at, ends) if keys else np.zeros(0, np.int64)
+        return self.lens[rows].tolist()
 
     def encode(self, texts: list[str | None], group_chars: int = 1_000_000) -> list[np.ndarray] | np.ndarray:
         """Ids of each text, or with ``counts_only`` an array of their numbers.  Null counts as empty."""
-        out, at = [], 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (size < group_chars or end == at):
-                size += len(texts[end] or "")
-                end += 1
-            out.append(self._group([t or "" for t in texts[at:end]]))
-            at = end
+        out = [self._group([t or "" for t in texts[a:b]]) for a, b in slices(texts, group_chars)]
         if self.counts_only:
             return np.concatenate(out) if out else np.zeros(0, np.int64)
         return [x for part in out for x in part]
@@ -206,16 +299,37 @@ class Codec:
                     sizes[i] = len(keys)
                     parts.append(np.fromiter(map(self.index.__getitem__, keys), np.int32, len(keys)))
             if self.index.new:
-                self._encode_new()
+                self._encode_pieces()
             return np.concatenate(parts) if parts else np.zeros(0, np.int32), sizes, whole
-        raw, slow = [], []
+        flat, at, ends, sizes, whole = self._cuts(texts)
+        return self._known(flat, at, ends), sizes, whole
+
+    def _known(self, flat: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Rows of the pre-tokens at..ends; those not met before are encoded."""
+        hashes = self._hashes(flat, at, ends)
+        rows = self.index.find(hashes)
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            new, first, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            added = self.index.add(new)
+            rows[missing] = added[back]
+            first = missing[first]
+            self._encode_spans(added, flat, at[first], ends[first])
+        return rows
+
+    def _cuts(self, texts: list[str]):
+        """Bytes of all texts between zero bytes, starts and ends of their pre-tokens, the number of each text's, and the
+        texts that go whole."""
+        raw, slow, whole = [], [], []
         for i, t in enumerate(texts):
             if t and ("<|" in t or "\x00" in t or not (t.isascii() and t.replace("\n", "").isprintable()) and _PLAIN.search(t)):
                 whole.append(i)
                 t = ""
-            elif "'" in t and _APOSTROPHE.search(t):
+            if self.kind == "word":
+                t = t.lower()
+            if "'" in t and _APOSTROPHE.search(t):
                 slow.append(i)
-            raw.append((t.lower() if self.kind == "word" else t).encode())
+            raw.append(t.encode())
         flat = np.frombuffer(b"\x00" + b"\x00".join(raw) + b"\x00", np.uint8)
         at, ends = _cut_arrays(flat, self.kind == "word")
         borders = np.cumsum([len(r) + 1 for r in raw])
@@ -234,20 +348,10 @@ class Codec:
             order = np.argsort(at, kind="stable")
             at, ends = at[order], ends[order]
         sizes = np.diff(np.searchsorted(at, np.concatenate([[0], borders])))
-        powers, inverse = _powers(len(flat) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[flat] * powers[: len(flat)])])
-        hashes = mix((sums[ends] - sums[at]) * inverse[at] + (ends - at).astype(np.uint64))
-        unique, where, inverse_rows = np.unique(hashes, return_index=True, return_inverse=True)
-        rows = np.fromiter(map(self.index.__getitem__, unique.tolist()), np.int32, len(unique))
-        if self.index.new:
-            new = np.flatnonzero(rows >= len(self.index) - len(self.index.new))
-            body = flat.tobytes()
-            self.index.new = [body[a:b].decode() for a, b in zip(at[where[new]].tolist(), ends[where[new]].tolist())]
-            self._encode_new()
-        return rows[inverse_rows], sizes, whole
+        return flat, at, ends, sizes, whole
 
     def _group(self, texts: list[str]):
-        if len(self.index) > self.max_units + len(self.frequent):
+        if len(self.index) > self.max_units + len(self.frequent) or self.used > self.max_ids:
             self._reset()
         rows, sizes, whole = self._rows_of(texts)
         lens = self.lens[rows].astype(np.int64)
