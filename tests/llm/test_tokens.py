@@ -54,6 +54,42 @@ def test_counts(spark):
     assert token_counts.count_tokens(docs(spark, ODD).limit(0), tokenizer_file(FILES[2])).count() == 0
 
 
+@pytest.mark.parametrize("f", FILES)
+def test_counts_for_every_kind_of_tokenizer(spark, f):
+    texts = [*ODD, *("word Haus l'été 12 x" * k for k in range(1, 30))]
+    got = token_counts.count_tokens(docs(spark, texts), tokenizer_file(f), limit=100, table_units=20).collect()
+    assert sorted((r.n_bytes, r.n_tokens) for r in got) == sorted((len((t or "").encode()), len(library(f, t))) for t in texts)
+
+
+def test_upper_case_contractions():
+    texts = ["DON'T WE'LL 'S 's I'Ve", "'S\nébcdc,cd0m’ c'“cé1d2,d1"]
+    for f in FILES:
+        assert all(np.array_equal(got, library(f, t)) for t, got in zip(texts, CODECS[f].encode(texts)))
+
+
+def test_hash_rows_against_a_dictionary():
+    from strandweave.llm.tokens import HashRows
+
+    r, table, want = np.random.default_rng(3), HashRows(2), {}
+    for _ in range(40):
+        h = r.integers(0, 400, 50).astype(np.uint64) * np.uint64(1 << r.integers(0, 40))
+        rows = table.find(h)
+        assert rows.tolist() == [want.get(x, -1) for x in h.tolist()]
+        new = np.unique(h[rows < 0])
+        want.update(zip(new.tolist(), table.add(new).tolist()))
+    assert len(table) == len(want)
+
+
+def test_store_with_a_chunk_of_every_document(spark, tmp_path):
+    table = spark.createDataFrame([(i, "same words " * 300 + f"end {i}") for i in range(60)], "doc_id long, text string")
+    token_store.write_store(table, tokenizer_file(FILES[0]), str(tmp_path / "h"), end_id=2)
+    cold = token_store.read_store(spark, str(tmp_path / "h")).orderBy("id").collect()
+    hot = token_store.read_store(spark, str(tmp_path / "h"), least_hot=5).orderBy("id").collect()
+    assert hot == cold and all(r.verified for r in hot)
+    recipes = spark.read.parquet(str(tmp_path / "h/stored/kind=recipe")).collect()
+    assert len(recipes) == 60
+
+
 def test_store(spark, tmp_path):
     texts = [*ODD, "same text " * 400, "same text " * 400]
     table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
