@@ -3,10 +3,13 @@
 A word that the model knows scores by its log frequency in each language; an unseen one falls back to its
 character 5-grams (with word borders), then to shorter ones, down to single characters.  The model is fitted
 on at most about ``sample_docs`` labelled documents (chosen by a hash of the id, so that every run takes the same)
-and holds at most ``max_units`` words and n-grams a language: a bounded table, broadcast.
+and holds at most ``max_units`` words, and as many n-grams of each length, a language: a bounded table, broadcast.
+Words and n-grams of two and more characters that the sample holds once only are left out, as most of them are no
+language's own; what falls out of the table is scored by shorter n-grams, down to single characters, which all stay.
 
-A null text, or one without a letter, is ``und`` with score 0, as is every text when there is nothing to
-learn from.  Ties go to the language first in order.  Rows are kept one by one; other columns are not read.
+A word is a run of letters (and of the number signs that Unicode counts among word characters, like ``²``) with
+at least one letter.  A null text, or one without a letter, is ``und`` with score 0, as is every text when there is
+nothing to learn from.  Ties go to the language first in order.  Rows are kept one by one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .worker import held
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -28,6 +32,11 @@ LONGEST = 5
 UNKNOWN = "und"
 
 
+def words_of(text: str) -> list[str]:
+    words = _WORDS.findall(text.lower())
+    return words if text.isascii() else [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
+
+
 def grams(word: str, n: int) -> list[str]:
     w = f"<{word}>"
     return [w[i : i + n] for i in range(len(w) - n + 1)] if n > 1 else list(word)
@@ -60,13 +69,13 @@ def fit(labelled: DataFrame, id_col: str, text: str, lang: str, sample_docs: int
 
         for batch in batches:
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words.setdefault(name, Counter()).update(_WORDS.findall(t.lower()))
+                words.setdefault(name, Counter()).update(words_of(t))
             if sum(map(len, words.values())) > 200_000:
                 yield rows()
         yield rows()
 
     units = sample.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, n int, unit string, count long")
-    units = units.groupBy("lang", "n", "unit").agg(F.sum("count").alias("count")).where((F.col("count") > 1) | (F.col("n") == 1))
+    units = written(units.groupBy("lang", "n", "unit").agg(F.sum("count").alias("count")).where((F.col("count") > 1) | (F.col("n") == 1)), "language-units")
     totals = {(r[0], r[1]): r[2] for r in units.groupBy("lang", "n").agg(F.sum("count")).collect()}
     cutoffs = units.groupBy("lang", "n", "count").agg(F.count("*").alias("units")).collect()  # one row for each different count
     least = {}
@@ -123,9 +132,9 @@ class Scorer:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [], []
         for t in texts:
-            words = _WORDS.findall(t.lower()) if t and self.langs else []
+            words = words_of(t) if t and self.langs else []
             if not words:
-                names.append(UNKNOWN if not t or not self.langs or not any(map(str.isalpha, t)) else self.langs[0])
+                names.append(UNKNOWN)
                 scores.append(0.0)
                 continue
             if len(self.index) > self.max_words:

@@ -210,3 +210,13 @@ def test_running_starts(spark):
     for x in common.running_starts(table, "k", "n", "s", blocks=7).orderBy("k").collect():
         assert x.s == at
         at += x.n
+
+
+def test_running_starts_of_wide_null_and_equal_orders(spark):
+    rows = [(-9 * 10**18, 1, 0), (9 * 10**18, 2, 0), *((None, 5, t) for t in range(3)), *((7, 1, t) for t in range(200)), *((i, None, 0) for i in range(100, 120))]
+    table = spark.createDataFrame(rows, "k long, n int, t int")
+    at = 0
+    for i, x in enumerate(sorted(common.running_starts(table, "k", "n", "s", blocks=5, ties=("t",), number="p").collect(), key=lambda x: x.p)):
+        assert (x.s, x.p) == (at, i) and (x.k is None) == (i < 3)
+        at += x.n or 0
+    assert common.running_starts(table.limit(0), "k", "n", "s").count() == 0

@@ -1,7 +1,13 @@
 """Language, contamination, personal data and secrets on small texts, and the pipeline against a plain version."""
 
+import math
+import os
 import random
 import re
+import zlib
+from collections import Counter
+
+import pytest
 
 from strandweave.llm import decontaminate, language_id, private_data, secret_scan
 
@@ -102,6 +108,68 @@ def test_language(spark):
     assert {x.lang_pred for x in unlearned} == {"und"}
 
 
+def plain_language(train, texts):
+    """Word-first backoff by plain counters: (language, score) of each text."""
+    counts = {n: {} for n in range(6)}
+    for t, lang in train:
+        for w in "".join(c if c.isalpha() else " " for c in t.lower()).split():
+            for n in range(6):
+                for g in [w] if n == 0 else list(w) if n == 1 else [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)]:
+                    own = counts[n].setdefault(g, Counter())
+                    own[lang] += 1
+    langs = sorted({lang for _, lang in train})
+    kept = {n: {g: {x: k for x, k in c.items() if k > 1 or n == 1} for g, c in counts[n].items()} for n in counts}
+    total = {(x, n): sum(c.get(x, 0) for c in kept[n].values()) + 1 for x in langs for n in kept}
+    logs = lambda n, g: [math.log((kept[n][g].get(x) or 0.1) / total[x, n]) for x in langs]
+    out = []
+    for t in texts:
+        words = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+        if not words:
+            out.append(("und", 0.0))
+            continue
+        sums = [0.0] * len(langs)
+        for w in words:
+            for n in (0, 5, 4, 3, 2, 1):
+                units = [w] if n == 0 else list(w) if n == 1 else [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)]
+                held = [logs(n, g) for g in units if kept[n].get(g)]
+                if held:
+                    sums = [a + sum(h[i] for h in held) / len(held) for i, a in enumerate(sums)]
+                    break
+        best = max(range(len(langs)), key=lambda i: (sums[i], -i))
+        out.append((langs[best], 1 / sum(math.exp((a - sums[best]) / len(words) * min(len(words), 20)) for a in sums)))
+    return out
+
+
+def test_language_against_a_plain_scorer(spark):
+    r = random.Random(4)
+    made = {"en": ["the", "house", "river", "walks", "thing"], "fr": ["une", "maison", "fleuve", "marche", "élan"], "de": ["das", "haus", "fluss", "geht", "über"]}
+    other = ["".join(r.choice("abdehinrsuéü") for _ in range(r.randint(1, 9))) for _ in range(60)]
+    rows = [(i, " ".join(r.choice(made[x] + other) for _ in range(r.randint(1, 25))) + r.choice(["", " 12, 3-4!", "..."]), x) for i, x in enumerate([*made] * 60)]
+    letterless = ["", None, "½ ² Ⅷ", "①②", "123 ...", "__ _", "٣", "\x00"]
+    rows += [(1000 + i, t, None) for i, t in enumerate([*letterless, "½ haus ②", "ÉLAN", "ß"])]
+    docs = spark.createDataFrame([(*x, "en", 7.0) for x in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    got = {x.doc_id: x for x in language_id.identify(docs).collect()}
+    train = [(t, x) for i, t, x in rows if x and zlib.crc32(str(i).encode()) % 3 != 1]
+    for (i, t, _), (lang, score) in zip(rows, plain_language(train, [t for _, t, _ in rows])):
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-3, t
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+    assert all(got[1000 + i].lang_pred == "und" and got[1000 + i].score == 0 for i in range(len(letterless)))
+    assert language_id.identify(docs.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="needs the tables")
+def test_language_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred != 'und'").collect()
+    assert len(rows) > 20 and sum(x.lang == x.lang_pred for x in rows) >= 0.95 * len(rows)
+
+
+def test_decontamination_of_nothing(spark):
+    bench, none = table(spark, ["an item", None]).withColumnRenamed("doc_id", "item_id"), table(spark, ["a"]).limit(0)
+    assert decontaminate.contained(none, bench).count() == 0
+    assert decontaminate.contained(table(spark, ["a", None]), bench.limit(0)).count() == 0
+
+
 def distance(a, t):
     row = [0] * (len(t) + 1)
     for i, c in enumerate(a, 1):
