@@ -2,15 +2,20 @@
 
 Equal vectors are one class (counted, smallest id).  The classes' second moments, taken over all of them, give
 the principal axes; a tree over the leading ones, fitted on at most ``sample`` vectors, deals the
-classes into tiles.  Every pair of tiles meets in one group unless their boxes along the leading axes lie too far
-apart.  Within a group blocks accumulate the leading axes first; what the rest can add is at most the product
-of the suffix norms, so most pairs stop there, and only those that may reach the threshold get their cosine in
-double precision.  A group returns, per class, how many vectors it links with and the smallest class of its local
-component: rows, never pairs.
+classes into tiles.  Two tiles meet in one group, with those of their vectors that lie near enough to the other tile's
+box along the leading axes.  Within a group blocks accumulate the leading axes first; what the rest can add is
+at most the product of the suffix norms, so most pairs stop there, and only those that may reach the threshold get
+their cosine in double precision.  A group returns, per class, how many vectors it links with and the smallest class
+of its local component: rows, never pairs.
+
+The comparison is exact, so vectors without leading axes (an even spectrum) meet in all tiles: each is then sent to
+as many groups as there are tiles.  Tiles grow with the table, from ``least_tile`` up to ``tile_rows`` vectors, to keep
+that number small; above ``max_tiles`` tiles they grow further, so that what is broadcast stays bounded.
 
 Null vectors, zero vectors and vectors with null or non-finite components link with nothing and are their own
-component.  Only vectors of equal length are compared.  At most ``max_tiles`` tiles are made, so what is broadcast
-is bounded; above that tiles grow instead.  Repeated ids count as different vectors of that id's row.
+component.  Only vectors of equal length are compared.  Rows with equal ids are different vectors, each with its own
+links.  Vectors are scaled by a power of two first, so components of any size count.  Inside, a class goes by the
+64-bit hash of its vector.
 """
 
 from __future__ import annotations
@@ -18,16 +23,28 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, real_id, safe_id, written
+from .common import components, keyed_join, real_id, safe_id, written
 
 LEAD = 8
 STEPS = (16, 32)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled exactly first, so that no square overflows or vanishes."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True, initial=0))[1]) if len(x) else x
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def matrix(column, d: int) -> np.ndarray:
+    """Rows of a list column of ``d`` numbers each."""
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return np.concatenate([np.zeros((0, d)), *(c.flatten().to_numpy(zero_copy_only=False).reshape(-1, d) for c in parts)])
+
+
 def local_labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Smallest node reachable by the links (left, right) among nodes 0..n-1."""
     label = np.arange(n)
@@ -44,7 +61,6 @@ def local_labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def close_pairs(a: np.ndarray, b: np.ndarray, basis: np.ndarray, threshold: float, same: bool, block: int = 2048):
     """Blocks of index pairs (i, j) with cosine >= threshold; ``same``: a is b, and only i < j count."""
-    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     da, db = unit(a), unit(b)
     ra, rb = (da @ basis).astype(np.float32), (db @ basis).astype(np.float32)
     d, slack = ra.shape[1], 1e-4
@@ -97,92 +113,107 @@ def _leaf(points: np.ndarray, heap: list[tuple[int, float]]) -> np.ndarray:
     return node - len(heap)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector: str = "embedding", tile_rows: int = 8192, max_tiles: int = 4096, sample: int = 20_000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector: str = "embedding", tile_rows: int = 65_536, least_tile: int = 512, max_tiles: int = 4096, sample: int = 20_000) -> DataFrame:
     """Per vector: id, n_links (others linked directly), component_id (smallest reachable id), kept."""
     spark = vectors.sparkSession
-    rows = vectors.select(safe_id(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(safe_id(id_col).alias("id"), F.col(vector).cast(kind).alias("v")).withColumn("cls", F.xxhash64("v"))
     good = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    classes = written(rows.where(good).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("d", F.size("v")), "vector-classes")
+    classes = written(rows.where(good).groupBy("cls", "v").agg(F.min("id").alias("low_id"), F.count("*").alias("n")).withColumn("d", F.size("v")), "vector-classes")
     links = None
     for (d,) in classes.select("d").distinct().collect():  # the lengths of the vectors: one, as a rule
-        own = _links(classes.where(F.col("d") == d), d, threshold, tile_rows, max_tiles, sample)
+        own = _links(classes.where(F.col("d") == d), d, threshold, tile_rows, least_tile, max_tiles, sample)
         links = own if links is None else links.union(own)
     if links is None:
-        links = spark.createDataFrame([], "rep long, n_links long, low long")
+        links = spark.createDataFrame([], "cls long, n_links long, low long")
     links = written(links, "vector-links")
-    counts = links.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
-    found = components(links.where("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b")), "vector-components")
-    result = classes.join(counts, "rep", "left").join(found, classes.rep == found.id, "left")
+    counts = links.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
+    found = components(links.where("cls != low").select(F.col("cls").alias("a"), F.col("low").alias("b")), "vector-components")
+    state = classes.select("cls", "n", "low_id").join(counts, "cls", "left").join(found.withColumnRenamed("id", "cls"), "cls", "left")
     # Members of a class link with each other too.
-    result = result.select("v", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.where(good).join(result, "v").select("id", "n_links", F.col("component").alias("component_id"))
+    state = written(state.select("cls", "n", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "low_id", F.coalesce("component", "cls").alias("component")), "vector-state")
+    least = written(state.groupBy("component").agg(F.min("low_id").alias("component_id"), F.count("*").alias("classes")), "vector-least")
+    result = written(keyed_join(state.select("cls", "n", "n_links", "component"), least, ["component"], "classes").select("cls", "n", "n_links", "component_id"), "vector-result")
+    out = keyed_join(rows.where(good).select("id", "cls"), result, ["cls"], "n").select("id", "n_links", "component_id")
     out = out.union(rows.where(~F.coalesce(good, F.lit(False))).select("id", F.lit(0).cast("long"), "id"))
     return out.select(real_id("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), real_id("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
 
 
-def _links(classes: DataFrame, d: int, threshold: float, tile_rows: int, max_tiles: int, sample: int) -> DataFrame:
-    spark = classes.sparkSession
+def _links(classes: DataFrame, d: int, threshold: float, tile_rows: int, least_tile: int, max_tiles: int, sample: int) -> DataFrame:
+    """Rows (cls, n_links, low) of the groups of two tiles, for vectors of ``d`` components."""
     total = classes.count()
-    tiles = min(max_tiles, -(-total // tile_rows))
+    tiles = min(max_tiles, max(-(-total // tile_rows), min(16, total // least_tile)))
+    kind = classes.schema["v"].dataType.simpleString()
 
     def moments(batches):
         sums = np.zeros((d, d))
-        for pdf in batches:
-            for k in range(0, len(pdf), 4096):
-                x = np.stack(pdf["v"].iloc[k : k + 4096])
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                x = unit(matrix(batch.column(0).slice(k, 4096), d))
                 sums += x.T @ x
-        yield pd.DataFrame({"i": np.arange(d), "row": list(sums)})
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), pa.array(list(sums), pa.list_(pa.float64()))], ["i", "row"])
 
     second = np.zeros((d, d))
-    parts = classes.select("v").mapInPandas(moments, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "x"))
+    parts = classes.select("v").mapInArrow(moments, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "x"))
     for r in parts.groupBy("i", "j").agg(F.sum("x").alias("x")).collect():  # d x d numbers
         second[r["i"], r["j"]] = r["x"]
     basis = np.linalg.eigh((second + second.T) / 2)[1][:, ::-1].copy()
-    share = min(1.0, sample / max(1, total))
-    chosen = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v")
-    seen = np.array([r["v"] for r in chosen.limit(2 * sample).collect()]).reshape(-1, d)
     lead = basis[:, :LEAD]
-    heap = _tree((seen / np.linalg.norm(seen, axis=1, keepdims=True)) @ lead, tiles) if tiles > 1 else []
+    heap = []
+    if tiles > 1:
+        share = min(1.0, sample / max(1, total))
+        chosen = classes.where(F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v")
+        heap = _tree(unit(np.array([r["v"] for r in chosen.limit(2 * sample).collect()], np.float64).reshape(-1, d)) @ lead, tiles)
     leaves = len(heap) + 1
 
     def place(batches):
-        for pdf in batches:
-            x = np.stack(pdf["v"]) if len(pdf) else np.zeros((0, d))
-            y = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ lead
-            yield pd.DataFrame({"rep": pdf["rep"], "n": pdf["n"], "v": pdf["v"], "tile": _leaf(y, heap), "y": list(y)})
+        for batch in batches:
+            y = unit(matrix(batch.column(2), d)) @ lead
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_leaf(y, heap).astype(np.int32)), pa.array(list(y), pa.list_(pa.float64()))], [*batch.schema.names, "tile", "y"])
 
-    placed = classes.select("rep", "n", "v").mapInPandas(place, "rep long, n long, v array<double>, tile int, y array<double>")
+    rows = classes.select("cls", "n", "v")
     if leaves == 1:
-        dealt = placed.withColumns({"p": F.lit(0), "q": F.lit(0)})
+        dealt = rows.withColumns({"tile": F.lit(0), "p": F.lit(0), "q": F.lit(0)})
     else:
-        placed = written(placed, "vector-tiles")
-        boxes = placed.groupBy("tile").agg(*[f(F.col("y")[i]).alias(f"{n}{i}") for i in range(min(LEAD, d)) for n, f in (("lo", F.min), ("hi", F.max))]).collect()
+        placed = written(rows.mapInArrow(place, f"cls long, n long, v {kind}, tile int, y array<double>"), "vector-tiles")
+        wide = min(LEAD, d)
+        boxes = placed.groupBy("tile").agg(*[f(F.col("y")[i]).alias(f"{n}{i}") for i in range(wide) for n, f in (("lo", F.min), ("hi", F.max))]).collect()
         reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
-        low = np.full((leaves, min(LEAD, d)), np.inf)
-        high = np.full((leaves, min(LEAD, d)), -np.inf)
-        for r in boxes:
-            low[r["tile"]] = [r[f"lo{i}"] for i in range(low.shape[1])]
-            high[r["tile"]] = [r[f"hi{i}"] for i in range(low.shape[1])]
-        partners = []
-        for t in range(leaves):
-            gap = np.maximum(0, np.maximum(low - high[t], low[t] - high)) if np.isfinite(low[t]).all() else np.full_like(low, np.inf)
-            partners.append([int(u) for u in np.flatnonzero((gap**2).sum(1) <= reach**2)])
-        near = spark.createDataFrame([(t, u) for t, us in enumerate(partners) for u in us], "tile int, partner int")
-        dealt = placed.join(near, "tile").withColumns({"p": F.least("tile", "partner"), "q": F.greatest("tile", "partner")})
-
-    def compare(key, pdf):
-        same = key[0] == key[1]
-        tile = pdf["tile"].to_numpy()
-        first, second_ = (pdf, pdf) if same else (pdf[tile == key[0]], pdf[tile == key[1]])
+        low, high = np.full((leaves, wide), np.inf), np.full((leaves, wide), np.inf)
+        for r in boxes:  # of an empty tile nothing is near
+            low[r["tile"]], high[r["tile"]] = [r[f"lo{i}"] for i in range(wide)], [r[f"hi{i}"] for i in range(wide)]
+
+        def deal(batches):
+            """Each vector once for each tile whose box is within reach."""
+            for whole in batches:
+                for k in range(0, whole.num_rows, 2000):
+                    batch = whole.slice(k, 2000)
+                    y, own = matrix(batch.column(4), wide), batch.column(3).to_numpy()
+                    row, other = np.nonzero(np.stack([(np.maximum(0, np.maximum(low[t] - y, y - high[t])) ** 2).sum(1) <= reach**2 for t in range(leaves)], 1))
+                    for part in range(0, len(row), 20_000):
+                        at, to = row[part : part + 20_000], other[part : part + 20_000].astype(np.int32)
+                        some = batch.take(pa.array(at))
+                        yield pa.RecordBatch.from_arrays([*some.columns[:4], pa.array(np.minimum(own[at], to)), pa.array(np.maximum(own[at], to))], ["cls", "n", "v", "tile", "p", "q"])
+
+        dealt = placed.mapInArrow(deal, f"cls long, n long, v {kind}, tile int, p int, q int")
+
+    def compare(key, table):
+        p, q = key[0].as_py(), key[1].as_py()
+        tile, names, n = (table.column(c).to_numpy() for c in ("tile", "cls", "n"))
+        same = p == q
+        order = np.lexsort((names, tile))
+        first = order[tile[order] == p]
+        second_ = first if same else order[tile[order] == q]
+        schema = pa.schema([("cls", pa.int64()), ("n_links", pa.int64()), ("low", pa.int64())])
         if not len(first) or not len(second_):
-            return pd.DataFrame({"rep": [], "n_links": [], "low": []}).astype("int64")
-        a = np.stack(first["v"])
-        b = a if same else np.stack(second_["v"])
-        nodes = first["rep"].to_numpy() if same else np.concatenate([first["rep"].to_numpy(), second_["rep"].to_numpy()])
-        weight = first["n"].to_numpy() if same else np.concatenate([first["n"].to_numpy(), second_["n"].to_numpy()])
+            return schema.empty_table()
+        x = matrix(table.column("v"), d)
+        a = x[first]
+        b = a if same else x[second_]
+        at = first if same else np.concatenate([first, second_])
+        nodes, weight = names[at], n[at]
         shift, counts, label = 0 if same else len(a), np.zeros(len(nodes), np.int64), np.arange(len(nodes))
-        order = np.argsort(nodes, kind="stable")  # so that the smallest label is the smallest id
+        order = np.argsort(nodes, kind="stable")  # so that the smallest label is the smallest name
         rank = np.empty(len(nodes), np.int64)
         rank[order] = np.arange(len(nodes))
         for u, v in close_pairs(a, b, basis, threshold, same):
@@ -192,6 +223,6 @@ def _links(classes: DataFrame, d: int, threshold: float, tile_rows: int, max_til
             own = local_labels(len(nodes), label[rank[u]], label[rank[v]])
             label = own[label]
         linked = counts > 0
-        return pd.DataFrame({"rep": nodes[linked], "n_links": counts[linked], "low": nodes[order][label[rank]][linked]})
+        return pa.Table.from_arrays([pa.array(nodes[linked]), pa.array(counts[linked]), pa.array(nodes[order][label[rank]][linked])], schema=schema)
 
-    return dealt.select("rep", "n", "v", "tile", "p", "q").groupBy("p", "q").applyInPandas(compare, "rep long, n_links long, low long")
+    return dealt.select("cls", "n", "v", "tile", "p", "q").groupBy("p", "q").applyInArrow(compare, "cls long, n_links long, low long")
