@@ -27,13 +27,16 @@ def real_id(column: str) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where a session has none (tests, a laptop) one beside its warehouse is used and set.
+    Only a local session that has none (tests, a laptop) gets one beside its warehouse; on a cluster that folder may
+    lie on each machine's own disk, so there it is an error.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir")
     if not folder and sc._jsc.sc().getCheckpointDir().isDefined():
         folder = sc._jsc.sc().getCheckpointDir().get()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: stages need a folder that driver and executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -48,7 +51,15 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_folder = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the folders of written tables that nothing reads any more."""
+    for t in tables:
+        drop_folder(t.sparkSession, t._stage_folder)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
@@ -91,6 +102,19 @@ def running_starts(df: DataFrame, order: str, amount: str, out: str, blocks: int
     return added.drop("_block", "_within", "_nth", "_before", "_first")
 
 
+def keyed_join(rows: DataFrame, table: DataFrame, keys: list[str], size: str, least: int = 2_000) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which holds one row a key and in ``size`` about how many ``rows`` have it.
+
+    Keys with more than a thousandth of all rows (and than ``least``) are joined by broadcast, fewer than a thousand of
+    them, so no task gets all rows of a hot key; the others are shuffled.  Both inputs are read twice and should be tables.
+    """
+    total = table.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) > max(least, total // 1000)
+    busy = F.broadcast(table.where(hot))
+    rest = rows.join(F.broadcast(table.where(hot).select(*keys)), keys, "left_anti").join(table.where(~hot), keys)
+    return rows.join(busy, keys).unionByName(rest)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -111,7 +135,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
         small = large.join(low, large.u == low.n)
         small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        edges = written(small.where("u != v"), name)
+        done, edges = edges, written(small.where("u != v"), name)
+        forget(done)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
         if state[0] == state[2] and state == last:
             break

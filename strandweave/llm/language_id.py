@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 from .worker import held
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -90,6 +90,7 @@ def fit(labelled: DataFrame, id_col: str, text: str, lang: str, sample_docs: int
     for (name, n), c in least.items():
         keep = keep | ((F.col("lang") == name) & (F.col("n") == n) & (F.col("count") >= c))
     held = units.where(keep).select("n", "unit", "lang", "count").toArrow().sort_by([("n", "ascending"), ("unit", "ascending")]) if least else None
+    forget(units)
     langs = sorted(set(held.column("lang").to_pylist())) if least else []
     model = {"langs": langs, "units": {}}
     for n in range(LONGEST + 1):
