@@ -11,8 +11,11 @@ not built over everything at once; content decides which suffixes can meet:
    a bucket of anchors in two stages: only suffixes smaller than their successors are sorted directly, the others are
    induced from them by scans of the first-byte buckets, and windows whose common prefix with a neighbour reaches
    ``length`` repeat;
-4. anchors with very many different spans (the edges of a passage that is everywhere) would fill one bucket; their
-   windows go to buckets of their own contents instead, one window of each content a task, and are counted there.
+4. anchors with very many different spans (the edges of a passage that is everywhere) would fill one bucket.  A task that
+   sees more than ``heavy`` of them at once sends them to buckets by the spans' own contents, and to the anchor's
+   bucket a mark alone, so that one holds at most ``heavy`` spans a batch; the windows of marked anchors, and of
+   those with more than ``heavy`` spans in their bucket, go to buckets of their own contents, one window
+   of each content a task, and are counted there.
 
 A null or empty text has no bytes.  Texts shorter than ``length`` are kept.  A repeated row repeats every window
 of its text, so both rows lose them.  Rows with null ids are treated like others.  Matches never cross texts.
@@ -116,7 +119,8 @@ def _block_spans(raw: list[bytes], length: int, gram: int):
     return text, lo - base, hi - base, grams[at], body
 
 
-LOCAL = -2_000_000_000
+LOCAL = -2_000_000_000  # keys of runs that need no group, spread over as many as there are buckets
+MARK = 65_535  # in place of a span's number of windows: the anchor has spans in buckets of their own contents
 
 
 def window_runs(ids: np.ndarray, tags: np.ndarray, lo: np.ndarray) -> np.ndarray:
@@ -292,6 +296,8 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def repeated(docs: DataFrame, length: int = 200, gram: int = 40, heavy: int = 64, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, tag, lo, hi): windows starting at lo..hi of a text repeat.  ``tag``: xxhash64 of the text."""
+    if length - gram >= MARK:
+        raise ValueError(f"spans of {length - gram + 1} windows: fewer than {MARK} are possible")
     own = docs.select(safe_id(id_col).alias("id"), F.xxhash64(text_of(text)).alias("tag"), text_of(text).alias("text"))
     size = docs.agg(F.sum(F.length(text))).first()[0] or 0
     buckets = int(max(8, size // 12_000_000))
@@ -307,7 +313,16 @@ def repeated(docs: DataFrame, length: int = 200, gram: int = 40, heavy: int = 64
             many = np.diff(np.append(first, len(h))) > 1
             hit = np.repeat(many, np.diff(np.append(first, len(h))))
             yield "hit", (ids[hit], tags[hit], lo[hit], hi[hit])
-            yield "span", (h[first], s[first], ids[first], tags[first], lo[first], (hi - lo)[first], many)
+            h, s, ids, tags, lo, more = h[first], s[first], ids[first], tags[first], lo[first], (hi - lo)[first]
+            edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+            full = np.diff(edge) > heavy
+            wide = np.repeat(full, np.diff(edge))
+            where = np.where(wide, buckets + (mix(h ^ s) % _U(buckets)).astype(np.int64), (h % _U(buckets)).astype(np.int64))
+            yield "span", (where, h, s, ids, tags, lo, more, many)
+            if full.any():
+                h = h[edge[:-1][full]]
+                zero = np.zeros(len(h), np.int64)
+                yield "span", ((h % _U(buckets)).astype(np.int64), h, zero.view(_U), zero, zero, zero, zero + MARK, zero == 0)
 
         parts, held = [], 0
         for ids, tags, raw in _groups(batches):
@@ -335,8 +350,8 @@ def repeated(docs: DataFrame, length: int = 200, gram: int = 40, heavy: int = 64
                     cut = np.array_split(rows, max(1, len(rows) // 5000))
                     yield pa.RecordBatch.from_arrays([pa.array([-1 - (i % buckets) for i in range(len(cut))], pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary()), *[pa.nulls(len(cut), pa.binary())] * 6], names)
             else:
-                h = columns[0]
-                rows = _packed((h % _U(buckets)).astype(np.int64), h, columns[1], columns[2], columns[3], columns[4].astype("<u4"), columns[5].astype("<u2"), columns[6])
+                where, h, s, ids, tags, lo, more, many = columns
+                rows = _packed(where, h, s, ids, tags, lo.astype("<u4"), more.astype("<u2"), many)
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if not i else pa.binary()) for i in range(8)], names)
 
     names = [c.split()[0] for c in _SPAN.split(", ")]
@@ -348,7 +363,11 @@ def repeated(docs: DataFrame, length: int = 200, gram: int = 40, heavy: int = 64
         read = lambda c, kind: np.concatenate([np.frombuffer(b, kind) for b in table.column(c).to_pylist()])
         h, s, ids, tags = read("h", _U), read("s", _U), read("id", np.int64), read("tag", np.int64)
         lo, more, known = read("lo", "<u4").astype(np.int64), read("hi", "<u2").astype(np.int64), read("known", bool)
+        marked = np.unique(h[more == MARK])
         order = np.lexsort((s, h))
+        order = order[more[order] != MARK]
+        if not len(order):
+            return pa.Table.from_batches([_hits("hit", [], [], [], [])], _HIT_ARROW)
         h, s, ids, tags, lo, more, known = (c[order] for c in (h, s, ids, tags, lo, more, known))
         new_h = np.ones(len(h), bool)
         new_h[1:] = h[1:] != h[:-1]
@@ -358,14 +377,15 @@ def repeated(docs: DataFrame, length: int = 200, gram: int = 40, heavy: int = 64
         sizes = np.diff(np.append(first, len(h)))
         many = np.repeat(sizes > 1, sizes)
         out = [_hits("hit", ids[many], tags[many], lo[many], (lo + more)[many])]
-        # Anchors with different spans, unless all of them are known to repeat.
+        # Anchors with different spans, unless all of them are known to repeat; those whose spans also lie elsewhere.
         settled = (sizes > 1) | np.logical_or.reduceat(known, first)
         anchors = np.cumsum(new_h[first]) - 1
         different = np.bincount(anchors)
-        open_ = (different > 1) & (np.bincount(anchors, weights=~settled) > 0)
+        spread = np.isin(h[np.flatnonzero(new_h)], marked) if key[0].as_py() < buckets else np.ones(len(different), bool)
+        open_ = (different > 1) & (np.bincount(anchors, weights=~settled) > 0) | spread
         ask = open_[anchors]
         at = first[ask]
-        out.append(_hits("ask", ids[at], tags[at], lo[at], (lo + more)[at], h[at], settled[ask], (different > heavy)[anchors][ask]))
+        out.append(_hits("ask", ids[at], tags[at], lo[at], (lo + more)[at], h[at], settled[ask], ((different > heavy) | spread)[anchors][ask]))
         return pa.Table.from_batches(out, _HIT_ARROW)
 
     found = written(own.mapInArrow(posted, _SPAN).groupBy("bucket").applyInArrow(match, _HITS), "suffix-spans", ("kind",))
@@ -407,7 +427,7 @@ def repeated(docs: DataFrame, length: int = 200, gram: int = 40, heavy: int = 64
                 local = np.logical_or.reduceat(known, first) | (sizes > 1)
                 one = _packed((w[first] % _U(parts)).astype(np.int64), w[first], ids[first], tags[first], lo[first], local)
                 body = [runs.tobytes()] if len(runs) else []
-                k = [LOCAL] * len(body) + [-1 - r[0] for r in one]
+                k = [LOCAL + int(runs[0, 0] % parts) for _ in body] + [-1 - r[0] for r in one]
                 body += [len(r[1]).to_bytes(8, "little") + b"".join(r[1:]) for r in one]
                 none = pa.nulls(len(k), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), *[none] * 5, pa.nulls(len(k), pa.bool_()), pa.array(body, pa.binary())], schema=arrow)
@@ -415,7 +435,7 @@ def repeated(docs: DataFrame, length: int = 200, gram: int = 40, heavy: int = 64
     def resolve(key, table):
         bucket = key[0].as_py()
         none = _hits("hit", [], [], [], [])
-        if bucket == LOCAL:
+        if bucket < LOCAL // 2:
             rows = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 4) for b in table.column("body").to_pylist()])
             return pa.Table.from_batches([_hits("hit", *rows.T)], _HIT_ARROW)
         if bucket < 0:
