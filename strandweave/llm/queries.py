@@ -60,7 +60,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .private_data import digest, find
 
-    return digest(find(documents(spark, sf_dir).select("doc_id", "text")))
+    return digest(find(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
