@@ -127,6 +127,23 @@ def test_suffix_dedup(spark):
             assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256, bytes(got[i].kept)) == (len(b), int(m.sum()), runs, hashlib.sha256(kept).hexdigest(), kept), i
 
 
+def test_suffix_dedup_hot_anchor_in_some_batches(spark):
+    """A passage with different edges everywhere: marked in one task, below the mark in others, and not at all in some."""
+    r = random.Random(13)
+    passage = "".join(r.choice("abcdefgh") for _ in range(60))
+    odd = lambda: "".join(r.choice("ijklmnop") for _ in range(r.randint(45, 70)))
+    texts = [odd() + passage + odd() for _ in range(40)] + [odd() for _ in range(30)] + [odd() + passage[:45] + odd(), odd() + passage[10:] + odd()]
+    raw = [t.encode() for t in texts]
+    rows = list(enumerate(texts))
+    for cut in (72, 36, 41):
+        table = spark.createDataFrame(rows[:cut], "doc_id long, text string").coalesce(1)
+        if cut < len(rows):
+            table = table.union(spark.createDataFrame(rows[cut:], "doc_id long, text string").repartition(9))
+        for heavy in (2, 5):
+            got = {x.doc_id: x.kept_sha256 for x in suffix_dedup.remove_repeats(table, length=40, gram=12, heavy=heavy).collect()}
+            assert got == {i: hashlib.sha256(np.frombuffer(b, np.uint8)[~m].tobytes()).hexdigest() for i, (b, m) in enumerate(zip(raw, brute_repeats(raw, 40)))}
+
+
 def test_suffix_dedup_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.remove_repeats(none).count() == 0
@@ -192,9 +209,28 @@ def test_embeddings(spark):
     for tile in (8192, 40):
         got = {v.vec_id: (v.n_links, v.component_id, v.kept) for v in embedding_dedup.near_duplicates(table, 0.9, tile_rows=tile).collect()}
         assert got == want
+    scaled = spark.createDataFrame([(i, [c * 10.0 ** ([160, -170, 0][i % 3]) if c is not None else None for c in v] if v is not None else None) for i, v, _ in vectors], "vec_id long, embedding array<double>")
+    got = {v.vec_id: (v.n_links, v.component_id, v.kept) for v in embedding_dedup.near_duplicates(scaled, 0.9, tile_rows=40).collect()}
+    assert got == want
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embeddings_of_equal_ids_and_clear_axes(spark):
+    """Rows of one id are vectors of their own; tiles along clear axes meet few others."""
+    two = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 2.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    got = sorted((v.vec_id or -1, v.n_links, v.component_id or -1) for v in embedding_dedup.near_duplicates(two, 0.9).collect())
+    assert got == sorted([(1, 2, -1), (1, 1, 1), (2, 2, -1), (3, 1, 1), (-1, 2, -1)])
+    r = np.random.default_rng(5)
+    rows = [(i, (np.eye(12)[i % 12] + r.normal(size=12) * 0.05).tolist()) for i in range(600)]
+    got = {v.vec_id: (v.n_links, v.component_id) for v in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 0.9, tile_rows=50).collect()}
+    x = np.array([v for _, v in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    close = x @ x.T >= 0.9
+    np.fill_diagonal(close, False)
+    low = components_of(range(600), list(zip(*np.nonzero(close))))
+    assert got == {i: (int(close[i].sum()), low[i]) for i in range(600)}
+
+
 def test_components(spark):
     r = random.Random(9)
     links = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(40)]

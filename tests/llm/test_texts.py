@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from strandweave.llm import decontaminate, language_id, private_data, secret_scan
@@ -69,6 +70,71 @@ def test_reliabilities():
     assert post[good] > 0.9 and post[bad] < 0.1
 
 
+def test_reliabilities_span_by_span():
+    """The same model over single spans instead of counts of vote patterns, and the classifier over single rows."""
+    r = random.Random(12)
+    counts = {(k, c, g, x, b): r.randint(1, 12) for k in ("phone", "ident") for c in (-1, 0, 1) for g in (-1, 0, 1) for x in (-1, 0, 1) for b in (-1, 0) if r.random() < 0.5}
+    spans = [k for k, n in counts.items() for _ in range(n)]
+    votes = np.array([k[1:] for k in spans])
+    kind = np.array([k[0] for k in spans])
+    live = votes[:, 0] >= 0
+    post = np.select([~live, votes.sum(1) > 0, votes.sum(1) < 0], [0, 0.9, 0.1], 0.5)
+    for _ in range(60):
+        odds = np.zeros(len(spans))
+        for name in ("phone", "ident"):
+            for j in range(4):
+                own = live & (kind == name) & (votes[:, j] != 0)
+                if not own.any():
+                    continue
+                held, up = max(10, own.sum() / 2), votes[own, j] > 0
+                yes = [(w[up].sum() + held * a) / (w.sum() + held) for w, a in ((1 - post[own], 0.1), (post[own], 0.9))]
+                odds[own] += np.where(up, np.log(yes[1] / yes[0]), np.log((1 - yes[1]) / (1 - yes[0])))
+        post = np.where(live, 1 / (1 + np.exp(-odds)), 0)
+    got = private_data.fit_reliabilities(counts)
+    assert max(abs(got[k] - p) for k, p in zip(spans, post)) < 1e-4
+    names = sorted({f for k in counts for f in private_data._features((*k, 1))})
+    x = np.array([[float(f in private_data._features((*k, 1))) for f in names] for k in spans])
+    w = np.zeros(len(names))
+    for _ in range(200):
+        w -= 0.5 * (x.T @ (1 / (1 + np.exp(-x @ w)) - post) / len(x) + 1e-3 * w * (x.sum(0) > 0))
+    fitted = private_data.fit_classifier([((*k, 1), n, got[k]) for k, n in counts.items()])
+    assert max(abs(fitted[f] - v) for f, v in zip(names, w)) < 1e-3
+
+
+def test_added_spans(spark):
+    """Loose spans among decoys of the same shapes: those the labelers speak for are added, and no others."""
+    r = random.Random(3)
+    fill = lambda n: " ".join(r.choice("the er in on at re house river table light moves fast green".split()) for _ in range(n))
+    pick = lambda *x: r.choice(x)
+    good = {
+        "email": lambda: (pick("e-mail: ", "contact ", "write "), f"jane{r.randrange(99)} [at] mail{r.randrange(9)} [dot] example [dot] com"),
+        "phone": lambda: (pick("call ", "phone: ", "tel. "), f"(212) 555-{r.randrange(10000):04}"),
+        "ident": lambda: (pick("SSN ", "ssn: ", "passport "), f"{r.randint(100, 665)}-{r.randint(1, 99):02}-{r.randint(1, 9999):04}"),
+        "person": lambda: (pick("dear ", "signed ", "name: "), pick("Mr ", "Dr. ", "Frau ") + pick("Anna", "Maria", "Peter") + " " + pick("Stone", "Berg", "Klein")),
+    }
+    bad = [
+        lambda: pick("version ", "page ", "isbn ") + f"{r.randint(100, 665)}-{r.randint(1, 99):02}-{r.randint(1, 9999):04}",
+        lambda: pick("section ", "figure ", "no. ") + f"212.555.{r.randrange(10000):04}",
+        lambda: f"from 300.1.2.{r.randrange(9)}", lambda: f"code 98079157628044{r.randrange(100):02}",
+    ]
+    base = [lambda: f"mail me@x{r.randrange(99)}.org", lambda: f"host 10.2.{r.randrange(255)}.4", lambda: f"tel +1 (212) 555-{r.randrange(10000):04}"]
+    rows, want = [], set()
+    for i in range(400):
+        t, kind = fill(8) + " ", r.choice([*good, "bad", "bad", "base", "base", "none", "none"])
+        if kind in good:
+            before, span = good[kind]()
+            t += before
+            want.add((i, kind, len(t), len(t) + len(span)))
+            t += span
+        elif kind != "none":
+            t += r.choice(bad if kind == "bad" else base)()
+        rows.append((i, t + " " + fill(5)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.doc_id, s.kind, s.s, s.e) for x in private_data.find(docs).collect() for s in x["all"] if s not in x["base"]}
+    assert got == want
+    assert sorted(private_data.digest(private_data.find(docs, keep_text=False)).collect()) == sorted(private_data.digest(private_data.find(docs)).collect())
+
+
 def test_secrets(spark, tmp_path):
     r = random.Random(1)
     texts = SECRETS + ["".join(r.choice("0af=: 'tokensecret") for _ in range(200)) for _ in range(60)] + SECRETS
