@@ -49,9 +49,18 @@ def affine_align(pairs: DataFrame, local: bool = False, match: float = 1.0, mism
 
 def align_chunks(pairs: DataFrame, chunks: DataFrame, gap_open: float = -2.0, gap_extend: float = -0.5, width: int = 30) -> DataFrame:
     """Chunks joined with their sequences, each aligned by itself: chunk columns, score, a1, comp, a2, status."""
-    rows = chunks.join(pairs.select("pair_id", "s1", "s2"), "pair_id")
-    cut = lambda s, a, b: F.substring(F.col(s), F.col(a) + 1, F.col(b) - F.col(a))
-    rows = rows.select("pair_id", "cid", "q_start", "q_end", "t_start", "t_end", cut("s1", "q_start", "q_end").alias("x"), cut("s2", "t_start", "t_end").alias("y"))
+    names = ["cid", "q_start", "q_end", "t_start", "t_end"]
+    rows = chunks.groupBy("pair_id").agg(F.collect_list(F.struct(*names)).alias("chunks")).join(pairs.select("pair_id", "s1", "s2"), "pair_id")
+
+    def cut(batches):
+        """A pair's sequences are read once, whatever the number of its chunks."""
+        for pdf in batches:
+            for key, parts, s1, s2 in zip(pdf.pair_id, pdf.chunks, pdf.s1, pdf.s2):
+                for at in range(0, len(parts), 1000):
+                    some = [tuple(p[n] for n in names) for p in parts[at : at + 1000]]
+                    yield pd.DataFrame([(key, *p, s1[p[1] : p[2]], s2[p[3] : p[4]]) for p in some], columns=["pair_id", *names, "x", "y"])
+
+    rows = rows.select("pair_id", "chunks", "s1", "s2").mapInPandas(cut, "pair_id long, cid int, q_start int, q_end int, t_start int, t_end int, x string, y string")
 
     def run(batches):
         for pdf in batches:
@@ -89,3 +98,11 @@ def chunk_topk(aligned: DataFrame, k: int) -> DataFrame:
 
 def score_filter(aligned: DataFrame, least: float) -> DataFrame:
     return aligned.where(F.col("score") >= least)
+
+
+def chunk_counts(aligned: DataFrame) -> DataFrame:
+    """Matches and gaps of each chunk's columns."""
+    from ..functions.features import times
+
+    gaps = times(F.col("a1"), "-") + times(F.col("a2"), "-")
+    return aligned.select("pair_id", "cid", F.length("a1").alias("columns"), times(F.col("comp"), "|").alias("matches"), gaps.alias("gaps"))

@@ -129,6 +129,22 @@ def gap_histogram(pairs: DataFrame) -> DataFrame:
     return gap_runs(pairs).groupBy("length").agg(F.count("*").alias("runs"))
 
 
+def gap_bins(pairs: DataFrame, most: int = 20) -> DataFrame:
+    """Gap runs in min(``most``, longest run) bins of equal width from the shortest to the longest: bin, low, high, runs.
+
+    The last bin holds its upper border; where all runs are equally long the range is half a symbol on either side.
+    """
+    runs = gap_runs(pairs)
+    ends = runs.agg(F.min("length").alias("a"), F.max("length").alias("b")).where("b is not null")
+    ends = ends.select(F.least(F.lit(most), "b").alias("bins"), F.when(F.col("a") == F.col("b"), F.col("a") - 0.5).otherwise(F.col("a").cast("double")).alias("lo"), F.when(F.col("a") == F.col("b"), F.col("b") + 0.5).otherwise(F.col("b").cast("double")).alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / F.col("bins")
+    counted = runs.groupBy("length").agg(F.count("*").alias("n")).join(F.broadcast(ends))  # one row
+    counted = counted.select(F.least(F.floor((F.col("length") - F.col("lo")) * F.col("bins") / (F.col("hi") - F.col("lo"))), F.col("bins") - 1).cast("int").alias("bin"), "n")
+    every = ends.select(F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"), F.col("lo"), width.alias("w"))
+    sums = counted.groupBy("bin").agg(F.sum("n").alias("runs"))
+    return every.join(sums, "bin", "left").select("bin", (F.col("lo") + F.col("w") * F.col("bin")).alias("low"), (F.col("lo") + F.col("w") * (F.col("bin") + 1)).alias("high"), F.coalesce("runs", F.lit(0)).alias("runs"))
+
+
 def gap_explosion(pairs: DataFrame, run: int = 30, fraction: float = 0.15) -> DataFrame:
     """Whether the longest gap run or the share of gap columns reaches its limit; empty alignments don't."""
     longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(F.col("ops"), F.lit("[IDM]+"), F.lit(0)), F.length)), F.lit(0))
@@ -136,17 +152,18 @@ def gap_explosion(pairs: DataFrame, run: int = 30, fraction: float = 0.15) -> Da
     return with_classes(pairs).select("pair_id", longest.alias("longest_run"), gaps.alias("gap_columns"), ((F.length("ops") > 0) & ((longest >= run) | (_ratio(gaps, F.length("ops")) >= fraction))).alias("exploded"))
 
 
-def _windows(rows: DataFrame, size: Column, full_only: bool = False) -> DataFrame:
-    """Tumbling windows of ``ops``: start and ``w``, the window's classes."""
-    n = F.length("ops")
-    count = F.floor(n / size) if full_only else F.ceil(n / size)
-    starts = F.when(count > 0, F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda i: (i * size).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
-    rows = rows.withColumn("_size", size).withColumn("start", F.explode(starts))
-    return rows.withColumn("w", F.substring(F.col("ops"), F.col("start") + 1, F.col("_size").cast("int")))
+def _windows(rows: DataFrame, size: int | Column, full_only: bool = False) -> DataFrame:
+    """Tumbling windows of ``ops``: start and ``w``, the window's classes.  One pass over ``ops`` cuts them all, as
+    ``substring`` would walk from the beginning for every window."""
+    least = "" if full_only else "1,"
+    pattern = F.lit(f".{{{least}{size}}}") if isinstance(size, int) else F.concat(F.lit(".{" + least), size.cast("int").cast("string"), F.lit("}"))
+    rows = rows.withColumn("_size", (F.lit(size) if isinstance(size, int) else size).cast("int"))
+    rows = rows.select("*", F.posexplode(F.regexp_extract_all("ops", pattern, F.lit(0))).alias("_nth", "w"))
+    return rows.withColumn("start", F.col("_nth") * F.col("_size"))
 
 
 def coverage_windows(pairs: DataFrame, size: int = 100) -> DataFrame:
-    rows = _windows(with_classes(pairs), F.lit(size))
+    rows = _windows(with_classes(pairs), size)
     s = statistics(F.col("w"))
     return rows.select("pair_id", "start", (F.col("start") + F.length("w")).alias("end"), (s["identity"] * 100).alias("identity"), s["matches"].alias("matches"), s["mismatches"].alias("mismatches"), s["total_gaps"].alias("gaps"), s["gap_percentage"].alias("gap_percentage"))
 
