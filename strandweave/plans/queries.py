@@ -14,9 +14,10 @@ from pyspark.sql.window import Window
 
 from ..functions import alphabet
 from ..operators import align, anchors, catalog, columns, profiles, seeds
-from ..sinks import files
+from ..sinks import files, folders
+from ..sources import fasta
 from .config import Config
-from .pipeline import align_and_measure
+from .pipeline import align_and_measure, align_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -135,6 +136,20 @@ def gap_histogram(spark, sf):
     return columns.gap_histogram(_pairs(spark, sf))
 
 
+@query(f"""WITH {RUNS.format(flag='gap')}, r AS (SELECT len FROM runs WHERE v), e AS (SELECT least(20, max(len)) AS n, CASE WHEN min(len) = max(len) THEN min(len) - 0.5 ELSE min(len) END::DOUBLE AS lo, CASE WHEN min(len) = max(len) THEN max(len) + 0.5 ELSE max(len) END::DOUBLE AS hi FROM r),
+b AS (SELECT least(floor((len - lo) * n / (hi - lo)), n - 1)::INTEGER AS bin, count(*) AS runs FROM r, e GROUP BY 1)
+SELECT i::INTEGER AS bin, round(lo + (hi - lo) / n * i, 6) AS low, round(lo + (hi - lo) / n * (i + 1), 6) AS high, coalesce(runs, 0) AS runs FROM (SELECT *, unnest(range(0, n)) AS i FROM e) x LEFT JOIN b ON bin = i""")
+def gap_bins(spark, sf):
+    rows = columns.gap_bins(_pairs(spark, sf))
+    return rows.select("bin", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "runs")
+
+
+@query(f"""WITH {PAIRS} SELECT p.pair_id, 0 AS cid, length(any_value(p.a1))::INTEGER AS columns, count(*) FILTER (op = '=')::INTEGER AS matches, (coalesce(sum((x = '-')::INTEGER + (y = '-')::INTEGER), 0))::INTEGER AS gaps FROM pairs p LEFT JOIN ops USING (pair_id) GROUP BY 1""")
+def chunk_counts(spark, sf):
+    rows = columns.with_classes(_pairs(spark, sf)).select("pair_id", F.lit(0).alias("cid"), "a1", "a2", F.translate("ops", "=XIDM", "|    ").alias("comp"))
+    return align.chunk_counts(rows)
+
+
 @query(f"""WITH {RUNS.format(flag='gap')}, r AS (SELECT pair_id, max(len) FILTER (v) AS l, sum(len) FILTER (v) AS g FROM runs GROUP BY 1)
 SELECT p.pair_id, coalesce(l, 0)::INTEGER AS longest_run, coalesce(g, 0)::INTEGER AS gap_columns, length(a1) > 0 AND (coalesce(l, 0) >= 30 OR coalesce(g, 0) >= 0.15 * length(a1)) AS exploded FROM pairs p LEFT JOIN r USING (pair_id)""")
 def gap_explosion(spark, sf):
@@ -334,11 +349,21 @@ def pack4_unpack4(spark, sf):
 
 
 # -- seeds, anchors, chunks -------------------------------------------------------------------
-_SYNC = SEQS + """, sm AS (SELECT doc_id, length(seq) AS n, p, ((strpos('ACGT', substr(seq, p + 1, 1)) - 1) * 16 + (strpos('ACGT', substr(seq, p + 2, 1)) - 1) * 4 + strpos('ACGT', substr(seq, p + 3, 1)) - 1)::BIGINT * 2654435761 % 4294967291 AS h
- FROM (SELECT *, unnest(range(0, length(seq) - 2))::INTEGER AS p FROM seqs)),
-mn AS (SELECT *, min(h) OVER w AS m, max(p) OVER w AS last, arg_max(p, (4294967291 - h) * 1000000000::HUGEINT + p) OVER w AS spot FROM sm WINDOW w AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
-sy AS (SELECT doc_id, p AS pos, m AS hash FROM mn WHERE last = p + 7 AND spot = p + 2)"""
-_RAND = _SYNC + """, st AS (SELECT a.doc_id, a.pos AS pos1, min_by(b.pos, xor(a.hash, b.hash) * 1000000000::HUGEINT + b.pos) AS pos2, min(xor(a.hash, b.hash)) AS hash FROM sy a JOIN sy b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos + 10 AND a.pos + 30 GROUP BY 1, 2)"""
+def _sync_sql(k: int, s: int, offset: int) -> str:
+    code = " + ".join(f"(strpos('ACGT', substr(seq, p + {i + 1}, 1)) - 1) * {4 ** (s - 1 - i)}" for i in range(s))
+    return SEQS + f""", sm AS (SELECT doc_id, length(seq) AS n, p, ({code})::BIGINT * 2654435761 % 4294967291 AS h
+ FROM (SELECT *, unnest(range(0, length(seq) - {s - 1}))::INTEGER AS p FROM seqs)),
+mn AS (SELECT *, min(h) OVER w AS m, max(p) OVER w AS last, arg_max(p, (4294967291 - h) * 1000000000::HUGEINT + p) OVER w AS spot FROM sm WINDOW w AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {k - s} FOLLOWING)),
+sy AS (SELECT doc_id, p AS pos, m AS hash FROM mn WHERE last = p + {k - s} AND spot = p + {offset})"""
+
+
+def _rand_sql(sync: str, least: int, most: int) -> str:
+    return sync + f""", st AS (SELECT a.doc_id, a.pos AS pos1, min_by(b.pos, xor(a.hash, b.hash) * 1000000000::HUGEINT + b.pos) AS pos2, min(xor(a.hash, b.hash)) AS hash FROM sy a JOIN sy b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos + {least} AND a.pos + {most} GROUP BY 1, 2)"""
+
+
+_SYNC = _sync_sql(10, 3, 2)
+_RAND = _rand_sql(_SYNC, 10, 30)
+_SHIPPED = Config()
 _ANCH = _RAND + """, cp AS (SELECT doc_id, hash FROM st GROUP BY 1, 2 HAVING count(*) <= 200),
 an AS (SELECT a.doc_id AS pair_id, a.pos1 AS qpos, b.pos1 AS tpos, a.pos2 - a.pos1 AS span, a.hash AS hash, b.pos1 - a.pos1 AS diag FROM st a JOIN st b ON b.doc_id = a.doc_id + 1 AND a.hash = b.hash JOIN cp ON cp.doc_id = b.doc_id AND cp.hash = b.hash)"""
 
@@ -366,6 +391,17 @@ def randstrobes(spark, sf):
     return _strobes(spark, sf)
 
 
+@query(f"WITH {_sync_sql(_SHIPPED.k, _SHIPPED.s, _SHIPPED.sync_offset)} SELECT doc_id, pos, hash FROM sy")
+def syncmers_shipped(spark, sf):
+    """With the settings that alignments use."""
+    return seeds.syncmers(_sequences(spark, sf), "doc_id", _SHIPPED.k, _SHIPPED.s, _SHIPPED.sync_offset)
+
+
+@query(f"WITH {_rand_sql(_sync_sql(_SHIPPED.k, _SHIPPED.s, _SHIPPED.sync_offset), _SHIPPED.w_min, _SHIPPED.w_max)} SELECT doc_id, pos1, pos2, hash, pos2 - pos1 AS span, {2 * _SHIPPED.k} AS length FROM st")
+def randstrobes_shipped(spark, sf):
+    return seeds.randstrobes(syncmers_shipped(spark, sf), "doc_id", _SHIPPED.k, _SHIPPED.w_min, _SHIPPED.w_max)
+
+
 @query(f"WITH {_RAND} SELECT doc_id, pos1, pos2, hash, pos2 - pos1 AS span, 20 AS length FROM st WHERE hash & 7 = 0")
 def dense_strobes(spark, sf):
     return seeds.dense(_strobes(spark, sf), 3)
@@ -401,6 +437,25 @@ def diagonal_chunks(spark, sf):
     return anchors.diagonal_chunks(rows, 100, 10)
 
 
+@query(f"""WITH {SEQ_PAIRS}, g AS (SELECT pair_id, length(s1) AS a, length(s2) AS b, unnest(range(0, least(length(s1), length(s2)), 90)) AS s FROM sp)
+SELECT pair_id, (s // 90)::INTEGER AS cid, s::INTEGER AS q_start, (CASE WHEN s + 90 >= least(a, b) THEN a ELSE least(s + 100, a) END)::INTEGER AS q_end, s::INTEGER AS t_start, (CASE WHEN s + 90 >= least(a, b) THEN b ELSE least(s + 100, b) END)::INTEGER AS t_end FROM g""")
+def diagonal_chunks_to_the_end(spark, sf):
+    """The shipped form: the last chunk goes on to both ends."""
+    rows = _seq_pairs(spark, sf).select("pair_id", F.length("s1").alias("l1"), F.length("s2").alias("l2"))
+    return anchors.diagonal_chunks(rows, 100, 10, cover_tail=True)
+
+
+@query(f"""WITH {SEQ_PAIRS}, g AS (SELECT pair_id, length(s1) AS a, length(s2) AS b, unnest(range(0, least(length(s1), length(s2)), 90)) AS s FROM sp)
+SELECT pair_id, (s // 90)::INTEGER AS cid, s::INTEGER AS q_start, least(s + 100, a, s + 60)::INTEGER AS q_end, s::INTEGER AS t_start, least(s + 100, b, s + 60)::INTEGER AS t_end FROM g""")
+def chunk_cap(spark, sf):
+    return anchors.capped_chunks(diagonal_chunks(spark, sf), 60)
+
+
+@query(f"WITH {_RAND} SELECT doc_id AS pair_id, pos1 AS qpos, pos1 AS tpos, pos2 - pos1 AS span, hash, 0 AS diag FROM st")
+def self_anchors(spark, sf):
+    return anchors.self_anchors(_strobes(spark, sf).withColumnRenamed("doc_id", "pair_id"))
+
+
 @query(f"""WITH {SEQ_PAIRS}, l AS (SELECT pair_id, length(s1) AS a, length(s2) AS b FROM sp WHERE length(s1) > 0), k AS (SELECT *, greatest(1, a // 100) AS n FROM l), g AS (SELECT *, unnest(range(0, n)) AS i FROM k),
 q AS (SELECT *, trunc(a / n * i) AS q0, least(trunc(a / n * (i + 1)), a) AS q1 FROM g), t AS (SELECT *, trunc(q0 / a * greatest(1, b)) AS t0, trunc(q1 / a * greatest(1, b)) AS t1 FROM q)
 SELECT pair_id, i::INTEGER AS cid, q0::INTEGER AS q_start, (q0 + greatest(q1 - q0, t1 - t0))::INTEGER AS q_end, t0::INTEGER AS t_start, (t0 + greatest(q1 - q0, t1 - t0))::INTEGER AS t_end FROM t""")
@@ -434,6 +489,67 @@ def shared_strobes(spark, sf):
 
 
 # -- alignment kernels ------------------------------------------------------------------------
+_NAMES = "n AS (SELECT p_partkey AS k, upper(replace(p_name, ' ', '')) AS s FROM part), p AS (SELECT a.k AS pair_id, a.s AS s1, b.s AS s2 FROM n a JOIN n b ON b.k = a.k + 1)"
+
+
+def _name_pairs(spark, sf):
+    """Neighbouring part names: sequences so short that SQL can fill whole matrices."""
+    n = _table(spark, sf, "part").select(F.col("p_partkey").alias("pair_id"), F.upper(F.replace("p_name", F.lit(" "), F.lit(""))).alias("s1"))
+    return n.join(n.select((F.col("pair_id") - 1).alias("pair_id"), F.col("s1").alias("s2")), "pair_id")
+
+
+def _affine_sql(local: bool) -> str:
+    """Rows of the three-state recursion as lists: f ends in a gap of the second, pl in none or that, h in any."""
+    first, f0, h0, floor = ("0.0", "-1e18::DOUBLE", "0.0", ", 0.0") if local else ("CASE WHEN j = 0 THEN 0.0 ELSE -2.0 - 0.5 * (j - 1) END", "-2.0 - 0.5 * i", "f2[1]", "")
+    return f"""WITH RECURSIVE {_NAMES}, r(pair_id, s1, s2, i, h, f, best) AS (
+SELECT pair_id, s1, s2, 0::BIGINT, list_transform(range(0, length(s2) + 1), lambda j: ({first})::DOUBLE), list_transform(range(0, length(s2) + 1), lambda j: -1e18::DOUBLE), 0::DOUBLE FROM p
+UNION ALL SELECT pair_id, s1, s2, i + 1, h2, f2, greatest(best, list_max(h2)) FROM (SELECT *, list_transform(range(0, length(s2) + 1), lambda j: greatest(pl[j + 1], coalesce(list_max(list_transform(range(0, j), lambda k: pl[k + 1] - 2.0 - 0.5 * (j - k - 1))), -1e18))::DOUBLE) AS h2
+ FROM (SELECT *, list_transform(range(0, length(s2) + 1), lambda j: (CASE WHEN j = 0 THEN {h0} ELSE greatest(h[j] + CASE WHEN substr(s1, i + 1, 1) = substr(s2, j, 1) THEN 1.0 ELSE -1.0 END, f2[j + 1]{floor}) END)::DOUBLE) AS pl
+  FROM (SELECT *, list_transform(range(0, length(s2) + 1), lambda j: (CASE WHEN j = 0 THEN {f0} ELSE greatest(h[j + 1] - 2.0, f[j + 1] - 0.5) END)::DOUBLE) AS f2 FROM r WHERE i < length(s1)))))
+SELECT pair_id, {'best' if local else 'h[length(s2) + 1]'} AS score{'' if local else ', s1, s2'} FROM r WHERE i = length(s1)"""
+
+
+def _kept(rows: DataFrame, *more: str) -> DataFrame:
+    """The sequences that an alignment's gapped strings hold."""
+    return rows.select("pair_id", *more, F.replace("a1", F.lit("-")).alias("s1"), F.replace("a2", F.lit("-")).alias("s2"))
+
+
+@query(f"""WITH RECURSIVE {_NAMES}, r(pair_id, s1, s2, i, h) AS (SELECT pair_id, s1, s2, 0::BIGINT, list_transform(range(0, length(s2) + 1), lambda j: (-j)::BIGINT) FROM p
+UNION ALL SELECT pair_id, s1, s2, i + 1, list_transform(range(0, length(s2) + 1), lambda j: list_max(list_transform(range(0, j + 1), lambda k: (CASE WHEN k = 0 THEN -(i + 1) ELSE greatest(h[k] + CASE WHEN substr(s1, i + 1, 1) = substr(s2, k, 1) THEN 1 ELSE -1 END, h[k + 1] - 1) END - (j - k))::BIGINT))) FROM r WHERE i < length(s1))
+SELECT pair_id, h[length(s2) + 1]::DOUBLE AS score, s1, s2 FROM r WHERE i = length(s1)""")
+def name_overlap_scores(spark, sf):
+    """Best linear-gap scores, and that the alignments hold both sequences."""
+    return _kept(align.overlap_align(_name_pairs(spark, sf)), "score")
+
+
+@query(_affine_sql(False))
+def name_affine_scores(spark, sf):
+    return _kept(align.affine_align(_name_pairs(spark, sf)), "score")
+
+
+@query(_affine_sql(True))
+def name_local_scores(spark, sf):
+    return align.affine_align(_name_pairs(spark, sf), local=True).select("pair_id", "score")
+
+
+@query(f"WITH {SEQ_PAIRS} SELECT pair_id, s1, s2 FROM sp")
+def beam_sequences(spark, sf):
+    """Whatever the beam loses is aligned after all: both sequences come back."""
+    return _kept(align.beam_align(_seq_pairs(spark, sf)))
+
+
+@query(f"WITH {SEQ_PAIRS} SELECT pair_id, s1, s2 FROM sp WHERE length(s1) > 0 AND length(s2) > 0")
+def stitched_sequences(spark, sf):
+    """Overlapping chunks aligned one by one and joined hold both sequences, each symbol once."""
+    return _kept(align_pairs(_seq_pairs(spark, sf), Config(chunk_size=200, overlap=40)))
+
+
+@query(f"WITH {SEQ_PAIRS} SELECT pair_id, s1, s2 FROM sp WHERE length(s1) > 0 AND length(s2) > 0")
+def anchored_sequences(spark, sf):
+    """The same with chunks along anchor chains."""
+    return _kept(align_pairs(_seq_pairs(spark, sf), Config(chunk_size=200, overlap=40), anchored=True))
+
+
 @query()
 def nw_overlap_align(spark, sf):
     return align.overlap_align(_seq_pairs(spark, sf))
@@ -496,3 +612,70 @@ def timing_ratios(spark, sf):
 def chunk_topk(spark, sf):
     rows = _table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pair_id"), F.col("l_linenumber").alias("cid"), F.col("l_extendedprice").alias("score"))
     return align.chunk_topk(rows, 3)
+
+
+# -- files ------------------------------------------------------------------------------------
+def _fasta_folder(spark: SparkSession, sf: str) -> str:
+    """The sequences of all documents, written as FASTA."""
+    rows = _sequences(spark, sf).where(F.length("seq") > 0)
+    path = folders.scratch(spark, "fasta")
+    rows.select(files.fasta_text(F.concat(F.lit("doc"), F.col("doc_id"), F.lit(" of documents")), F.col("seq"))).write.text(path)
+    return path
+
+
+@query(f"WITH {SEQS} SELECT 'doc' || doc_id AS seq_id, 'doc' || doc_id || ' of documents' AS description, seq FROM seqs WHERE length(seq) > 0")
+def fasta_read_back(spark, sf):
+    return fasta.read_fasta(spark, _fasta_folder(spark, sf)).select("seq_id", "description", "seq")
+
+
+@query(f"WITH {SEQS} SELECT 'doc' || doc_id AS seq_id FROM seqs WHERE length(seq) > 0")
+def fasta_ids(spark, sf):
+    return fasta.read_ids(spark, _fasta_folder(spark, sf)).select("seq_id")
+
+
+@query(f"""WITH {SEQ_PAIRS} SELECT pair_id, 'a' AS name1, 'b' AS name2, s1, s2 FROM sp WHERE pair_id = (SELECT min(pair_id) FROM sp WHERE length(s1) > 0 AND length(s2) > 0)""")
+def fasta_pair(spark, sf):
+    """First records of two files: the first pair with symbols, written and loaded again."""
+    pair = _seq_pairs(spark, sf).where("length(s1) > 0 and length(s2) > 0").orderBy("pair_id").limit(1)
+    key = pair.first()["pair_id"]
+    paths = {}
+    for name, column in (("a", "s1"), ("b", "s2")):
+        paths[name] = folders.scratch(spark, f"fasta-{name}")
+        pair.select(files.fasta_text(F.lit(name), F.col(column))).coalesce(1).write.text(paths[name])
+    return fasta.read_pair(spark, paths["a"], paths["b"]).select(F.lit(key).alias("pair_id"), "name1", "name2", "s1", "s2")
+
+
+def _written(spark: SparkSession, sf: str) -> dict[str, str]:
+    named = _pairs(spark, sf).select("pair_id", F.concat(F.lit("a"), "pair_id").alias("name1"), F.concat(F.lit("b"), "pair_id").alias("name2"), F.lit(0.0).alias("total_score"), "a1", "a2")
+    return files.write_all(named, folders.scratch(spark, "results"))
+
+
+@query(f"""WITH {RUNS.format(flag='op')}, c AS (SELECT p.pair_id, coalesce(string_agg(len || v, '' ORDER BY spot), '') AS cigar FROM pairs p LEFT JOIN runs USING (pair_id) GROUP BY 1) SELECT cigar, count(*) AS pairs FROM c GROUP BY 1""")
+def written_cigars(spark, sf):
+    rows = spark.read.schema("value string").text(_written(spark, sf)["cigar"])
+    return rows.groupBy(F.col("value").alias("cigar")).agg(F.count("*").alias("pairs"))
+
+
+@query(f"""WITH {PAIRS}, c AS (SELECT p.pair_id, length(any_value(a1))::BIGINT AS columns, {COUNTS} FROM pairs p LEFT JOIN ops USING (pair_id) GROUP BY 1)
+SELECT pair_id, columns, m AS matches, mm AS mismatches, i AS insertions, d AS deletions FROM c""")
+def results_read_back(spark, sf):
+    rows = fasta.read_results(spark, _written(spark, sf)["json"])
+    return rows.select("metadata.pair_id", F.col("alignment.length").alias("columns"), *[f"statistics.{c}" for c in ("matches", "mismatches", "insertions", "deletions")])
+
+
+@query(f"""WITH {PAIRS}, m AS (SELECT pair_id, unnest([('a1', a1), ('a2', a2)]) AS x FROM pairs) SELECT left(x[1], 2) AS side, count(*) AS records, sum(length(replace(x[2], '-', '')))::BIGINT AS symbols FROM m WHERE length(replace(x[2], '-', '')) > 0 GROUP BY 1""")
+def ungapped_files(spark, sf):
+    paths = _written(spark, sf)
+    sides = [fasta.read_fasta(spark, paths[f"ungapped{i}"]).select(F.lit(f"a{i}").alias("side"), "seq") for i in (1, 2)]
+    return sides[0].union(sides[1]).where(F.length("seq") > 0).groupBy("side").agg(F.count("*").alias("records"), F.sum(F.length("seq")).cast("long").alias("symbols"))
+
+
+@query("""SELECT l_orderkey AS pair_id, l_linenumber AS cid, l_linenumber * 10 AS q_start, l_linenumber * 10 + 5 AS q_end, 0 AS t_start, 7 AS t_end, l_extendedprice AS score FROM lineitem WHERE l_extendedprice >= 20000""")
+def chunk_store(spark, sf):
+    """Chunks written, read back by score, and listed without their strings."""
+    n = F.col("l_linenumber")
+    rows = _table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pair_id"), n.alias("cid"), (n * 10).alias("q_start"), (n * 10 + 5).alias("q_end"), F.lit(0).alias("t_start"), F.lit(7).alias("t_end"), F.col("l_extendedprice").alias("score"), F.lit("ACGT").alias("a1"))
+    path = folders.scratch(spark, "chunks")
+    files.write_chunks(align.score_filter(rows, 20_000), path)
+    assert fasta.read_chunks(spark, path).columns[-1] == "a1"
+    return fasta.chunk_metadata(spark, path)
