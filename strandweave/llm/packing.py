@@ -87,15 +87,17 @@ def pieces(docs: DataFrame, path: str, end_id: int, window: int = 2048, id_col:
     return out.mapInArrow(cut, "id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
 
 
-def pack(docs: DataFrame, path: str, end_id: int, window: int = 2048, id_col: str = "doc_id", text: str = "text", keep_ids: bool = False, salts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int, window: int = 2048, id_col: str = "doc_id", text: str = "text", keep_ids: bool = False, salts: int | None = None) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with ``keep_ids``, ids.
 
-    A sequence's pieces lie side by side from offset 0; nothing but a sequence's end is padding.
+    A sequence's pieces lie side by side from offset 0; nothing but a sequence's end is padding.  Pieces are numbered in
+    ``salts`` parts for each length (16 times as many for full ones).
     """
     spark = docs.sparkSession
     if id_col != "doc_id":
         docs = docs.drop("doc_id") if "doc_id" in docs.columns else docs
     cut = written(pieces(docs, path, end_id, window, id_col, text, keep_ids), "pieces")
+    salts = salts or max(64, cut.count() // 1_000_000)  # windows that number pieces: none grows with the table
     short = cut.where(F.col("length") < window).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
     full = cut.where(F.col("length") == window).withColumn("_salt", F.pmod(F.xxhash64("id", "start"), F.lit(salts * 16)).cast("int"))
 
