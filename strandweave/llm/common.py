@@ -108,11 +108,13 @@ def keyed_join(rows: DataFrame, table: DataFrame, keys: list[str], size: str, le
     Keys with more than a thousandth of all rows (and than ``least``) are joined by broadcast, fewer than a thousand of
     them, so no task gets all rows of a hot key; the others are shuffled.  Both inputs are read twice and should be tables.
     """
-    total = table.agg(F.sum(size)).first()[0] or 0
-    hot = F.col(size) > max(least, total // 1000)
-    busy = F.broadcast(table.where(hot))
+    total, most = table.agg(F.sum(size), F.max(size)).first()
+    bound = max(least, (total or 0) // 1000)
+    if (most or 0) <= bound:
+        return rows.join(table, keys)
+    hot = F.col(size) > bound
     rest = rows.join(F.broadcast(table.where(hot).select(*keys)), keys, "left_anti").join(table.where(~hot), keys)
-    return rows.join(busy, keys).unionByName(rest)
+    return rows.join(F.broadcast(table.where(hot)), keys).unionByName(rest)
 
 
 def text_of(column: str = "text") -> Column:
