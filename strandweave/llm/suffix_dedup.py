@@ -391,7 +391,7 @@ def repeated(docs: DataFrame, length: int = 200, gram: int = 40, heavy: int = 64
     found = written(own.mapInArrow(posted, _SPAN).groupBy("bucket").applyInArrow(match, _HITS), "suffix-spans", ("kind",))
     hits = found.where("kind = 'hit'").select("id", "tag", "lo", "hi")
     asks = found.where("kind = 'ask'").select("id", "tag", F.struct("lo", "hi", "h", "known", "heavy").alias("ask"))
-    parts = max(8, asks.count() // 15_000)
+    parts = max(64, asks.count() // 5_000)
     asked = own.join(asks.groupBy("id", "tag").agg(F.collect_list("ask").alias("asks")), ["id", "tag"]).dropDuplicates(["id", "tag"])
 
     def fetch(batches):
