@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import asdict
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -78,7 +79,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         return 2
     pairs = _named(spark, args.fasta1, args.names1, 1).join(_named(spark, args.fasta2 or args.fasta1, args.names2, 2), "pair_id")
     done = align_pairs(pairs, config, not args.diagonal).join(pairs.select("pair_id", "name1", "name2"), "pair_id")
-    for kind, path in files.write_all(done, args.out).items():
+    for kind, path in files.write_all(done, args.out, configuration=asdict(config)).items():
         print(f"{kind}\t{path}")
     return 0
 

@@ -7,10 +7,30 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import kernels
+from .alphabet import CODES, MASKS
+
+
+_CLEAN = f"upper(regexp_replace(s, '[^{CODES[:-1]}{CODES[:-1].lower()}-]', 'N'))"
+_DIGITS = f"translate({_CLEAN}, '{CODES}', '{MASKS}')"
+_MATCH = "coalesce(x <> '-' AND y <> '-' AND upper(x) = upper(y), false)"
+_SYMBOLS = "filter(split(substring({0}, 1, least(length(a1), length(a2))), ''), c -> c <> '')"
+_CLASSES = (
+    f"array_join(zip_with({_SYMBOLS.format('a1')}, {_SYMBOLS.format('a2')}, (x, y) -> "
+    f"CASE WHEN x = '-' AND y = '-' THEN 'M' WHEN x = '-' THEN 'I' WHEN y = '-' THEN 'D' WHEN {_MATCH} THEN '=' ELSE 'X' END), '')"
+)
+_BARE = "upper(replace(s, '-', ''))"
+#: signature -> body; the same rules as the Column functions of these names.
+_EXPRESSIONS = {
+    "iupac_match(x STRING, y STRING) RETURNS BOOLEAN": _MATCH,
+    "pack4(s STRING) RETURNS BINARY": f"unhex(CASE WHEN length({_DIGITS}) % 2 = 1 THEN concat({_DIGITS}, 'F') ELSE {_DIGITS} END)",
+    "kmers(s STRING, k INT) RETURNS ARRAY<STRING>": f"CASE WHEN length({_BARE}) < k THEN cast(array() AS ARRAY<STRING>) ELSE transform(sequence(1, length({_BARE}) - k + 1), i -> substring({_BARE}, i, k)) END",
+    "cigar(a1 STRING, a2 STRING) RETURNS STRING": f"array_join(transform(regexp_extract_all({_CLASSES}, '(=+|X+|I+|D+|M+)', 1), r -> concat(cast(length(r) AS STRING), left(r, 1))), '')",
+}
 
 
 def register(spark: SparkSession) -> None:
-    """``nw_align(s1, s2)`` (struct), ``sw_align(s1, s2)`` (struct) and ``gc_percent(s)``."""
+    """``nw_align(s1, s2)`` and ``sw_align(s1, s2)`` (structs), ``gc_percent(s)``, ``iupac_match(x, y)``, ``pack4(s)``,
+    ``kmers(s, k)`` and ``cigar(a1, a2)``; all but the first two are SQL expressions that Catalyst inlines."""
 
     @F.pandas_udf("score double, a1 string, comp string, a2 string, status string")
     def nw_align(s1: pd.Series, s2: pd.Series) -> pd.DataFrame:
@@ -23,3 +43,5 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("nw_align", nw_align)
     spark.udf.register("sw_align", sw_align)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION gc_percent(s STRING) RETURNS DOUBLE RETURN CASE WHEN length(replace(s, '-', '')) = 0 THEN 0D ELSE 100D * length(regexp_replace(upper(s), '[^GC]', '')) / length(replace(s, '-', '')) END")
+    for signature, body in _EXPRESSIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")

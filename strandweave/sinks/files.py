@@ -85,10 +85,25 @@ def write_chunks(aligned: DataFrame, path: str) -> None:
     aligned.write.mode("overwrite").parquet(path)
 
 
-def write_all(alignments: DataFrame, folder: str, mode: str = "overwrite") -> dict[str, str]:
+#: What each statistic of the CSV means.
+DESCRIPTIONS = {
+    "matches": "columns of equal bases",
+    "mismatches": "columns of differing bases",
+    "insertions": "gaps in the first sequence",
+    "deletions": "gaps in the second sequence",
+    "total_aligned": "columns that are not gaps on both sides",
+    "total_gaps": "gaps of one side",
+    "identity": "matches as a share of the aligned columns",
+    "divergence": "mismatches and gaps as a share of the aligned columns",
+    "gap_openings": "runs of gaps",
+    "gap_percentage": "gaps in percent of the aligned columns",
+}
+
+
+def write_all(alignments: DataFrame, folder: str, mode: str = "overwrite", configuration: dict | None = None) -> dict[str, str]:
     """Write alignments (pair_id, name1, name2, total_score, a1, a2) in every format; returns the folders.
 
-    CIGAR gzip, PAF, MAF, summary, JSON, statistics CSV, ungapped and gapped FASTA, and a manifest.
+    CIGAR gzip, PAF, MAF, summary, JSON, statistics CSV, ungapped and gapped FASTA, and a manifest.  The JSON repeats ``configuration`` (settings by name), where given.
     """
     rows = alignments.withColumn("ops", classes(F.col("a1"), F.col("a2"))).persist()
     try:
@@ -108,13 +123,16 @@ def write_all(alignments: DataFrame, folder: str, mode: str = "overwrite") -> di
             paths[name] = f"{folder}/{name}"
             df.write.mode(mode).options(**options).text(paths[name])
         paths["json"] = f"{folder}/json"
+        settings = [F.struct(*[F.lit(v).alias(k) for k, v in configuration.items()]).alias("configuration")] if configuration else []
         rows.select(
+            *settings,
             F.struct("pair_id", "name1", "name2", "total_score", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp")).alias("metadata"),
             F.struct(*[c.alias(k) for k, c in s.items()]).alias("statistics"),
             F.struct(F.col("a1").alias("sequence1"), F.col("a2").alias("sequence2"), cigar_of(F.col("ops")).alias("cigar"), F.length("a1").alias("length")).alias("alignment"),
         ).write.mode(mode).json(paths["json"])
         paths["csv"] = f"{folder}/csv"
-        stats_long(rows).write.mode(mode).option("header", True).csv(paths["csv"])
+        described = F.create_map(*[F.lit(x) for kv in DESCRIPTIONS.items() for x in kv])
+        stats_long(rows).withColumn("description", F.element_at(described, F.col("metric"))).write.mode(mode).option("header", True).csv(paths["csv"])
         spark = rows.sparkSession
         spark.createDataFrame(list(paths.items()), "kind string, path string").coalesce(1).write.mode(mode).json(f"{folder}/manifest")
         return paths

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strandweave.functions import alphabet
+from strandweave.functions import alphabet, features
 from strandweave.functions.registry import register
 from strandweave.operators import anchors, catalog, columns, profiles
 from strandweave.plans import config
@@ -113,11 +113,14 @@ def test_fasta_and_sinks(spark, tmp_path):
     assert fasta.problems(spark, str(tmp_path / "c.fa")) == ["empty"]
     assert fasta.problems(spark, str(tmp_path / "none.fa")) == ["not found"]
     df = spark.createDataFrame([(0, "x", "y", 3.0, "AC-T", "ACGT")], "pair_id long, name1 string, name2 string, total_score double, a1 string, a2 string")
-    paths = files.write_all(df, str(tmp_path / "out"))
+    paths = files.write_all(df, str(tmp_path / "out"), configuration={"beam_width": 30})
     assert spark.read.text(paths["cigar"]).first()[0] == "2=1I1="
     assert spark.read.text(paths["paf"]).first()[0].split("\t")[:12] == ["x", "3", "0", "3", "+", "y", "4", "0", "4", "3", "4", "255"]
     assert fasta.read_fasta(spark, paths["ungapped1"]).first().seq == "ACT"
     assert fasta.read_results(spark, paths["json"]).first().statistics.matches == 3
+    assert spark.read.json(paths["json"]).first().configuration.beam_width == 30
+    told = {r.metric: r.description for r in spark.read.option("header", True).csv(paths["csv"]).collect()}
+    assert len(told) == 10 and all(told.values())
     assert fasta.latest_file(spark, str(tmp_path), "*.fa") is not None
 
 
@@ -139,6 +142,15 @@ def test_config_and_functions(spark, tmp_path):
     register(spark)
     row = spark.sql("select nw_align('ACGT', 'ACGT').score as s, gc_percent('AC-G') as g").first()
     assert row.s == 4 and abs(row.g - 200 / 3) < 1e-9
+    rows = [("AC-GT", "ACCGA"), ("--", "A-"), ("acgt", "ACGTT"), ("", "A"), ("NRYU", "NGCT"), (None, "ACG")]
+    spark.createDataFrame(rows, "a1 string, a2 string").createOrReplaceTempView("sql_functions")
+    got = spark.sql("select iupac_match(left(a1, 1), left(a2, 1)) as m, hex(pack4(a1)) as p, kmers(a2, 2) as k, cigar(a1, a2) as c from sql_functions").collect()
+    t = spark.table("sql_functions")
+    a, b = F.col("a1"), F.col("a2")
+    due = t.select(
+        alphabet.is_match(F.left(a, F.lit(1)), F.left(b, F.lit(1))), F.hex(alphabet.pack4(a)), F.array_sort(features.kmers(b, 2)), columns.cigar_of(columns.classes(a, b))
+    ).collect()
+    assert [(r.m, r.p, sorted(r.k), r.c) for r in got] == [tuple(r) for r in due]
 
 
 def test_command_line(spark, tmp_path, capsys):
