@@ -6,7 +6,8 @@ library.  New pre-tokens of a group of texts are encoded by the library together
 them apart again.
 
 For the other two kinds a group's bytes are classed and cut as arrays, and a pre-token is known by a 64-bit hash of
-its bytes; the chance that a cache of half a million meets a false match is about 3e-14 a lookup.
+its bytes (``shingles.span_hashes``: random numbers by byte and place, so no pattern of bytes makes two agree); the
+chance that a cache of half a million meets a false match is about 3e-14 a lookup.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import re
 
 import numpy as np
 
-from .shingles import _BYTE, _powers, mix
+from .shingles import span_hashes
 from .worker import held
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -167,7 +168,7 @@ class Codec:
             self.index = HashRows()
             flat = np.frombuffer("".join(self.frequent).encode(), np.uint8)
             ends = np.cumsum([len(k.encode()) for k in self.frequent]).astype(np.int64)
-            self.index.add(self._hashes(flat, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if len(ends) else np.zeros(0, np.uint64))
+            self.index.add(span_hashes(flat, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if len(ends) else np.zeros(0, np.uint64))
         self.lens = np.zeros(1 << 12, np.int32)
         self.ends = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 14, self.dtype)
@@ -193,19 +194,6 @@ class Codec:
         ids = self.lib.encode(texts, num_threads=1) if self.kind == "piece" else [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
         return [np.array(i, self.dtype) for i in ids]
 
-    @staticmethod
-    def _hashes(flat: np.ndarray, at: np.ndarray, ends: np.ndarray, step: int = 1 << 18) -> np.ndarray:
-        """Hashes of flat[at:ends], by blocks of neighbours, so that a long text needs no long tables."""
-        out = np.zeros(len(at), np.uint64)
-        edges = np.searchsorted(at, np.arange(0, len(flat) + step, step)).tolist()
-        for a, b in zip(edges, edges[1:]):
-            if a < b:
-                lo, hi = at[a], ends[b - 1]
-                powers, inverse = _powers(int(hi - lo) + 1)
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[flat[lo:hi]] * powers[: hi - lo])])
-                out[a:b] = (sums[ends[a:b] - lo] - sums[at[a:b] - lo]) * inverse[at[a:b] - lo] + (ends[a:b] - at[a:b]).astype(np.uint64)
-        return mix(out)
-
     # -- new pre-tokens -----------------------------------------------------------------------
     def _encode_pieces(self) -> None:
         keys, self.index.new = self.index.new, []
@@ -251,7 +239,9 @@ class Codec:
             if after is not None:
                 total = np.arange(1, len(lo) + 1)
             if not len(done) or done[-1] != total[-1]:
-                raise RuntimeError("the library cut joined pre-tokens otherwise")
+                body = flat.tobytes()  # the library cut them otherwise: each by itself
+                self._store_each(rows[k : k + 4000], self.library([body[a:b].decode() for a, b in zip(lo.tolist(), ends[k : k + 4000].tolist())]))
+                continue
             last = np.searchsorted(done, total) + 1
             self._store(rows[k : k + 4000], np.diff(last, prepend=0) - (lead is not None), ids, last)
 
@@ -306,7 +296,7 @@ class Codec:
 
     def _known(self, flat: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Rows of the pre-tokens at..ends; those not met before are encoded."""
-        hashes = self._hashes(flat, at, ends)
+        hashes = span_hashes(flat, at, ends)
         rows = self.index.find(hashes)
         missing = np.flatnonzero(rows < 0)
         if len(missing):
