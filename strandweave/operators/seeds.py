@@ -30,12 +30,11 @@ def smer_hashes(seq: Column, s: int) -> Column:
     return F.when(n >= 0, let(codes, lambda c: F.transform(F.sequence(F.lit(0), n), lambda p: one(c, p)))).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
-def syncmers(seqs: DataFrame, key: str = "doc_id", k: int = 10, s: int = 3, offset: int = 2) -> DataFrame:
-    """Open syncmers: k-mers whose least s-mer hash, the rightmost among equals, lies at ``offset``.
-
-    Narrow: each sequence is handled in its own row.
-    """
+def syncmer_marks(seq: Column, k: int = 10, s: int = 3, offset: int = 2) -> Column:
+    """Array of (pos, hash) of a sequence's open syncmers: k-mers whose least s-mer hash, the rightmost among equals,
+    lies at ``offset``."""
     width = k - s + 1
+
     def chosen(h: Column, p: Column) -> Column:
         m = F.get(h, p + offset)
         later = F.slice(h, p + offset + 2, F.lit(width - offset - 1))
@@ -47,8 +46,12 @@ def syncmers(seqs: DataFrame, key: str = "doc_id", k: int = 10, s: int = 3, offs
         return F.transform(places, lambda p: F.struct(p.alias("pos"), F.get(h, p + offset).alias("hash")))
 
     none = F.expr("cast(array() as array<struct<pos:int,hash:bigint>>)")
-    marks = let(smer_hashes(F.col("seq"), s), lambda h: F.when(F.size(h) >= width, found(h)).otherwise(none))
-    return seqs.select(key, F.explode(marks).alias("m")).select(key, "m.pos", "m.hash")
+    return let(smer_hashes(seq, s), lambda h: F.when(F.size(h) >= width, found(h)).otherwise(none))
+
+
+def syncmers(seqs: DataFrame, key: str = "doc_id", k: int = 10, s: int = 3, offset: int = 2) -> DataFrame:
+    """Open syncmers of each sequence, a row each.  Narrow: each sequence is handled in its own row."""
+    return seqs.select(key, F.explode(syncmer_marks(F.col("seq"), k, s, offset)).alias("m")).select(key, "m.pos", "m.hash")
 
 
 def dense(strobes: DataFrame, bits: int = 8) -> DataFrame:

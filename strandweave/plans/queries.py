@@ -361,7 +361,7 @@ def _rand_sql(sync: str, least: int, most: int) -> str:
     return sync + f""", st AS (SELECT a.doc_id, a.pos AS pos1, min_by(b.pos, xor(a.hash, b.hash) * 1000000000::HUGEINT + b.pos) AS pos2, min(xor(a.hash, b.hash)) AS hash FROM sy a JOIN sy b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos + {least} AND a.pos + {most} GROUP BY 1, 2)"""
 
 
-_SYNC = _sync_sql(10, 3, 2)
+_SYNC = SYNCMERS = _sync_sql(10, 3, 2)
 _RAND = _rand_sql(_SYNC, 10, 30)
 _SHIPPED = Config()
 _ANCH = _RAND + """, cp AS (SELECT doc_id, hash FROM st GROUP BY 1, 2 HAVING count(*) <= 200),
