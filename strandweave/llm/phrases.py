@@ -34,7 +34,7 @@ from .worker import release
 
 UND = "und"
 MOST_WORDS = (1 << 32) - 1  # numbers take four bytes each; more frequent words are an error
-KEYS_A_ROW = 1 << 18
+KEYS_A_ROW = 1 << 12  # 100 kB, so a batch of a thousand Arrow rows is small, too
 KEYS_A_RANGE = 1 << 20
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -150,10 +150,11 @@ def keys_of(codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return counted(w[at] << np.uint64(32) | w[at + 1], third << np.uint64(32) | fourth, np.ones(len(at), np.int64))
 
 
-def _unpacked(table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Keys and counts of packed rows; the first halves are stored as differences."""
-    columns = [table.column(c).to_pylist() for c in ("hi", "lo", "n")]
-    return [(np.cumsum(np.frombuffer(h, "<u8")), np.frombuffer(v, "<u8"), np.frombuffer(n, "<u8").astype(np.int64)) for h, v, n in zip(*columns)]
+def _unpacked(table):
+    """Keys and counts of packed rows, a row at a time; the first halves are stored as differences."""
+    for row in zip(*(table.column(c) for c in ("hi", "lo", "n"))):
+        hi, lo, n = (np.frombuffer(x.as_buffer(), "<u8") for x in row)
+        yield np.cumsum(hi), lo, n.astype(np.int64)
 
 
 def _packed(hi: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes, bytes]:
