@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,18 @@ def real_id(column: str) -> Column:
     return F.nullif(F.col(column), F.lit(NO_ID))
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """Inside, Arrow batches sent to Python hold at most ``most`` rows, for rows of packed values; then as before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

@@ -27,14 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import forget, running_starts, text_of, written
+from .common import arrow_rows, forget, running_starts, text_of, written
 from .shingles import _LOWER, mix, span_hashes, word_spans
 from .tokens import HashRows
 from .worker import release
 
 UND = "und"
 MOST_WORDS = (1 << 32) - 1  # numbers take four bytes each; more frequent words are an error
-KEYS_A_ROW = 1 << 12  # 100 kB, so a batch of a thousand Arrow rows is small, too
+KEYS_A_ROW = 1 << 12  # 100 kB
+ROWS_A_BATCH = 32  # of packed keys, on their way to Python
 KEYS_A_RANGE = 1 << 20
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -197,7 +198,8 @@ def borders(keys: DataFrame, a_range: int, most: int = 1_000_000) -> tuple[np.nd
                 at = np.arange(chunk * 7919 % stride, len(hi), stride)
                 yield pa.RecordBatch.from_arrays([pa.array(hi[at].view(np.int64)), pa.array(lo[at].view(np.int64))], ["hi", "lo"])
 
-    found = keys.mapInArrow(some, "hi long, lo long").toArrow()
+    with arrow_rows(keys.sparkSession, ROWS_A_BATCH):
+        found = keys.mapInArrow(some, "hi long, lo long").toArrow()
     hi, lo = (found.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
     order = radix_order(hi, lo)
     at = order[np.arange(1, ranges) * len(order) // ranges]
@@ -245,9 +247,10 @@ def phrase_counts(keys: DataFrame, least: int, a_range: int) -> DataFrame:
         hi, lo, n = run_lengths(*counted(*(np.concatenate(x) for x in zip(*_unpacked(table)))), least)
         return pa.table({"hi": pa.array(hi.view(np.int64)), "lo": pa.array(lo.view(np.int64)), "a": pa.array(n, pa.int64())})
 
-    dealt = keys.select("hi", "lo", "n").mapInArrow(deal, f"part long, {PACKED}")
-    runs = dealt.groupBy("part").applyInArrow(count, "hi long, lo long, a long")
-    return written(runs.groupBy("hi", "lo").agg(F.sum("a").alias("a")).where(F.col("a") >= least), "phrase-counts")
+    with arrow_rows(keys.sparkSession, ROWS_A_BATCH):
+        dealt = keys.select("hi", "lo", "n").mapInArrow(deal, f"part long, {PACKED}")
+        runs = dealt.groupBy("part").applyInArrow(count, "hi long, lo long, a long")
+        return written(runs.groupBy("hi", "lo").agg(F.sum("a").alias("a")).where(F.col("a") >= least), "phrase-counts")
 
 
 _LOW = "4294967295L"
