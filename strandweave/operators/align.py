@@ -5,16 +5,23 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from . import kernels
+from . import columns, kernels
 
 ALIGNED = "pair_id long, score double, a1 string, comp string, a2 string, status string"
 
 
+def _tasks(rows: DataFrame) -> int:
+    spark = rows.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+
+
 def _each(pairs: DataFrame, columns: list[str], schema: str, one) -> DataFrame:
     """Apply ``one`` to every row's ``columns``, in Arrow batches; pair_id goes along.
 
-    Rows are dealt out before: a row is little data and much work.
+    Rows are dealt out before, to a set number of tasks: a row is little data and much work, so tasks must not be put together by
+    their bytes.
     """
 
     def run(batches):
@@ -23,7 +30,7 @@ def _each(pairs: DataFrame, columns: list[str], schema: str, one) -> DataFrame:
             rows = [(key, *one(*values)) for key, *values in zip(pdf["pair_id"], *(pdf[c] for c in columns))]
             yield pd.DataFrame(rows, columns=names)
 
-    return pairs.select("pair_id", *columns).repartition("pair_id").mapInPandas(run, schema)
+    return pairs.select("pair_id", *columns).repartition(_tasks(pairs), "pair_id").mapInPandas(run, schema)
 
 
 def overlap_align(pairs: DataFrame, match: float = 1.0, mismatch: float = -1.0, gap: float = -1.0) -> DataFrame:
@@ -70,28 +77,77 @@ def align_chunks(pairs: DataFrame, chunks: DataFrame, gap_open: float = -2.0, ga
                 out[name] = [g[i] for g in got]
             yield out
 
-    return rows.repartition("pair_id", "cid").mapInPandas(run, "pair_id long, cid int, q_start int, q_end int, t_start int, t_end int, score double, a1 string, comp string, a2 string, status string")
+    return rows.repartition(_tasks(pairs), "pair_id", "cid").mapInPandas(run, "pair_id long, cid int, q_start int, q_end int, t_start int, t_end int, score double, a1 string, comp string, a2 string, status string")
 
 
-def stitch_chunks(aligned: DataFrame) -> DataFrame:
-    """One alignment a pair: pair_id, total_score (the chunks' sum), a1, comp, a2."""
-    pieces = aligned.groupBy("pair_id").agg(F.sum("score").alias("total_score"), F.array_sort(F.collect_list(F.struct("cid", "q_start", "q_end", "t_start", "t_end", "a1", "a2"))).alias("p"))
+def stitch_blocks(aligned: DataFrame) -> DataFrame:
+    """Alignments of pairs in blocks: (pair_id, block, a1, a2), whatever the length of a pair.
+
+    A junction join: each chunk meets only its successor, in a row of two chunks' strings, and gives the columns from where its
+    predecessors end to where the successor goes on alone.  How far chunks before it reach is a running maximum over
+    rows of numbers only.  Blocks in order, put together, are the whole alignment.
+    """
+    by = Window.partitionBy("pair_id").orderBy("cid")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    reach = aligned.select("pair_id", "cid", F.lead("cid").over(by).alias("next"), *[F.coalesce(F.max(f"{s}_end").over(before), F.lit(0)).alias(f"{s}_reach") for s in "qt"])
+    names = ["q_start", "q_end", "t_start", "t_end", "a1", "a2"]
+    right = aligned.select("pair_id", F.col("cid").alias("next"), *[F.col(n).alias(f"r_{n}") for n in names])
+    both = aligned.select("pair_id", "cid", *names).join(reach, ["pair_id", "cid"]).join(right, ["pair_id", "next"], "left")
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for key, total, parts in zip(pdf.pair_id, pdf.total_score, pdf.p):
-                a1, a2 = kernels.stitch([(p["q_start"], p["q_end"], p["t_start"], p["t_end"], p["a1"], p["a2"]) for p in parts])
-                rows.append((key, total, a1, kernels.marks(a1, a2), a2))
-            yield pd.DataFrame(rows, columns=["pair_id", "total_score", "a1", "comp", "a2"])
+            for r in pdf.itertuples(index=False):
+                left, after = kernels.Piece(r.q_start, r.t_start, r.a1, r.a2), None
+                if isinstance(r.r_a1, str):
+                    after = kernels.Piece(int(r.r_q_start), int(r.r_t_start), r.r_a1, r.r_a2)
+                ends = (int(r.r_q_end), int(r.r_t_end)) if after else (0, 0)
+                rows.append((r.pair_id, r.cid, *kernels.junction(left, after, (r.q_reach, r.t_reach), (r.q_end, r.t_end), ends)))
+            yield pd.DataFrame(rows, columns=["pair_id", "block", "a1", "a2"])
+
+    return both.mapInPandas(run, "pair_id long, block int, a1 string, a2 string")
 
-    return pieces.mapInPandas(run, "pair_id long, total_score double, a1 string, comp string, a2 string")
+
+def measure_blocks(blocks: DataFrame, gap_open: float = -2.0, gap_extend: float = -0.5) -> DataFrame:
+    """Statistics and score of each pair's alignment from its blocks (pair_id, block, a1, a2): no pair's strings in one row.
+
+    What a block can't know is whether a gap goes on from the block before.  Each block hands on the class of its last column, for the
+    score that of its last column but double gaps; blocks that have none hand on what they got.  A gap
+    that goes on at a seam is priced as an extension, and is no new opening.
+    """
+    rows = columns.with_classes(blocks)
+    ops, bare = F.col("ops"), F.replace(F.col("ops"), F.lit("M"))
+    s = columns.statistics(ops)
+    parts = ("matches", "mismatches", "insertions", "deletions", "gap_openings")
+    last = lambda c: F.nullif(F.right(c, F.lit(1)), F.lit(""))
+    rows = rows.select(
+        "pair_id", "block", *[s[n].alias(n) for n in parts], columns.score_of(ops, gap_open, gap_extend).cast("double").alias("score"), F.length(ops).cast("long").alias("columns"),
+        F.left(ops, F.lit(1)).alias("first"), last(ops).alias("last"), F.left(bare, F.lit(1)).alias("first_bare"), last(bare).alias("last_bare"))
+    before = Window.partitionBy("pair_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"got{x}": F.coalesce(F.last(f"last{x}", True).over(before), F.lit("")) for x in ("", "_bare")})
+    seam = F.col("first").isin("I", "D") & F.col("got").isin("I", "D", "M")
+    on = F.col("first_bare").isin("I", "D") & (F.col("first_bare") == F.col("got_bare"))
+    rows = rows.withColumns({"gap_openings": F.col("gap_openings") - seam.cast("long"), "score": F.col("score") + F.when(on, gap_extend - gap_open).otherwise(0.0)})
+    sums = rows.groupBy("pair_id").agg(*[F.sum(n).alias(n) for n in (*parts, "score", "columns")], F.count("*").alias("blocks"))
+    aligned = F.col("matches") + F.col("mismatches") + F.col("insertions") + F.col("deletions")
+    sums = sums.withColumns({"total_aligned": aligned, "total_gaps": F.col("insertions") + F.col("deletions")})
+    return sums.withColumn("identity", F.when(F.col("total_aligned") > 0, F.col("matches") / F.col("total_aligned")).otherwise(0.0))
+
+
+def stitch_chunks(aligned: DataFrame) -> DataFrame:
+    """One alignment a pair as whole strings: pair_id, total_score (the chunks' sum), a1, comp, a2.
+
+    For pairs whose strings fit a row; ``stitch_blocks`` has no such limit.
+    """
+    total = aligned.groupBy("pair_id").agg(F.sum("score").alias("total_score"))
+    parts = stitch_blocks(aligned).groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("block", "a1", "a2"))).alias("p"))
+    rows = parts.select("pair_id", *[F.array_join(f"p.{a}", "").alias(a) for a in ("a1", "a2")]).join(total, "pair_id")
+    comp = F.translate(columns.classes(F.col("a1"), F.col("a2")), "=XIDM", "|    ")
+    return rows.select("pair_id", "total_score", "a1", comp.alias("comp"), "a2")
 
 
 def chunk_topk(aligned: DataFrame, k: int) -> DataFrame:
     """The ``k`` best-scoring chunks of each pair; the first among equals."""
-    from pyspark.sql.window import Window
-
     rank = F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc("score"), "cid"))
     return aligned.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 

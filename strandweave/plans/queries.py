@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import alphabet
-from ..operators import align, anchors, catalog, columns, profiles, seeds
+from ..operators import align, anchors, catalog, columns, profiles, reanchor, seeds
 from ..sinks import files, folders
 from ..sources import fasta
 from .config import Config
-from .pipeline import align_and_measure, align_pairs
+from .pipeline import align_and_measure, align_in_blocks, align_pairs, align_reanchored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -377,7 +377,10 @@ def _strobes(spark, sf):
 
 
 def _sides(spark, sf):
-    rows = _strobes(spark, sf)
+    """Both sides of neighbouring documents: the strobes are worked out once, as a table."""
+    path = folders.scratch(spark, "strobes")
+    _strobes(spark, sf).write.parquet(path)
+    rows = spark.read.parquet(path)
     return rows.withColumn("pair_id", F.col("doc_id")), rows.withColumn("pair_id", F.col("doc_id") - 1)
 
 
@@ -418,6 +421,39 @@ def strobe_anchors(spark, sf):
     return anchors.anchors(*_sides(spark, sf))
 
 
+@query(f"""WITH {_RAND}, b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, hash ORDER BY pos1) AS nth FROM st)
+SELECT a.doc_id AS pair_id, a.pos1 AS qpos, b.pos1 AS tpos, a.pos2 - a.pos1 AS span, a.hash AS hash, b.pos1 - a.pos1 AS diag FROM st a JOIN b ON b.doc_id = a.doc_id + 1 AND a.hash = b.hash WHERE nth <= 10""")
+def merge_anchors(spark, sf):
+    """At most ten partners a hash."""
+    return anchors.merged_anchors(*_sides(spark, sf))
+
+
+_LOCAL = _RAND + """, sq AS (SELECT a.doc_id AS pair_id, length(a.seq) AS n1, length(b.seq) AS n2 FROM seqs a JOIN seqs b ON b.doc_id = a.doc_id + 1),
+ch AS (SELECT pair_id, (s // 180)::INTEGER AS cid, s AS q_start, least(s + 200, n1) AS q_end, s AS t_start, least(s + 200, n2) AS t_end FROM (SELECT *, unnest(range(0, least(n1, n2), 180)) AS s FROM sq)),
+la AS (SELECT ch.pair_id, cid, pos1 - q_start AS q, hash, pos2 - pos1 AS span FROM ch JOIN st ON st.doc_id = ch.pair_id AND pos1 >= q_start AND pos1 < q_end),
+lb AS (SELECT ch.pair_id, cid, pos1 - t_start AS t, hash, count(*) OVER (PARTITION BY ch.pair_id, cid, hash) AS n FROM ch JOIN st ON st.doc_id = ch.pair_id + 1 AND pos1 >= t_start AND pos1 < t_end),
+lo AS (SELECT pair_id, cid, q::INTEGER AS q, t::INTEGER AS t, span, hash, (row_number() OVER (PARTITION BY pair_id, cid ORDER BY q, t))::INTEGER AS nth FROM la JOIN lb USING (pair_id, cid, hash) WHERE n <= 2)"""
+
+
+def _local(spark, sf):
+    rows = _seq_pairs(spark, sf).select("pair_id", F.length("s1").alias("l1"), F.length("s2").alias("l2"))
+    chunks = anchors.diagonal_chunks(rows, 200, 20)
+    return chunks, reanchor.local_anchors(chunks, *_sides(spark, sf), most=2)
+
+
+@query(f"WITH {_LOCAL} SELECT * FROM lo WHERE nth <= 50")
+def local_anchors(spark, sf):
+    """The first fifty anchors inside each chunk, counted from its start."""
+    return _local(spark, sf)[1]
+
+
+@query(f"""WITH {_LOCAL}, k AS (SELECT * FROM lo WHERE nth <= 50), n AS (SELECT pair_id, cid, count(*) AS n FROM k GROUP BY 1, 2 HAVING count(*) >= 3)
+SELECT pair_id, cid, q, t FROM k JOIN n USING (pair_id, cid) JOIN ch USING (pair_id, cid) WHERE nth = n // 2 + 1 AND q > 10 AND q < q_end - q_start - 10 AND t > 10 AND t < t_end - t_start - 10""")
+def chunk_splits(spark, sf):
+    """Where chunks would be split: their median anchors."""
+    return reanchor.median_splits(*_local(spark, sf))
+
+
 @query(f"""WITH {_RAND}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos1) AS rn FROM st)
 SELECT a.doc_id AS pair_id, a.pos1 AS qpos, b.pos1 AS tpos, greatest(a.pos2 - a.pos1, b.pos2 - b.pos1) AS span, xor(a.hash, b.hash) AS hash, b.pos1 - a.pos1 AS diag FROM r a JOIN r b ON b.doc_id = a.doc_id + 1 AND a.rn = b.rn""")
 def zip_anchors(spark, sf):
@@ -550,6 +586,35 @@ def anchored_sequences(spark, sf):
     return _kept(align_pairs(_seq_pairs(spark, sf), Config(chunk_size=200, overlap=40), anchored=True))
 
 
+@query(f"WITH {SEQ_PAIRS} SELECT pair_id, s1, s2 FROM sp WHERE length(s1) > 0 AND length(s2) > 0")
+def reanchored_sequences(spark, sf):
+    """Chunks whose gaps explode are split at anchors inside them and aligned again: both sequences come back."""
+    c = Config(chunk_size=200, overlap=40, k=10, s=3, w_min=10, w_max=30)
+    return _kept(align.stitch_chunks(align_reanchored(_seq_pairs(spark, sf), c)))
+
+
+@query(f"WITH {SEQ_PAIRS} SELECT pair_id, length(s1)::BIGINT AS symbols1, length(s2)::BIGINT AS symbols2, md5(s1) AS md5_1, md5(s2) AS md5_2 FROM sp WHERE length(s1) > 0 AND length(s2) > 0")
+def stitched_blocks(spark, sf):
+    """Alignments in blocks: in order, they hold both sequences, each symbol once."""
+    rows = align_in_blocks(_seq_pairs(spark, sf), Config(chunk_size=200, overlap=40))
+    bare = rows.select("pair_id", "block", *[F.replace(a, F.lit("-")).alias(a) for a in ("a1", "a2")])
+    whole = bare.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("block", "a1", "a2"))).alias("b"))
+    joined = [F.array_join(f"b.a{i}", "") for i in (1, 2)]
+    return whole.select("pair_id", *[F.length(j).cast("long").alias(f"symbols{i}") for i, j in enumerate(joined, 1)], *[F.md5(j).alias(f"md5_{i}") for i, j in enumerate(joined, 1)])
+
+
+@query(f"""WITH {PAIRS}, o AS (SELECT *, lag(op) OVER (PARTITION BY pair_id ORDER BY pos) AS before FROM ops), z AS (SELECT *, lag(op) OVER (PARTITION BY pair_id ORDER BY pos) AS before FROM ops WHERE op <> 'M'),
+s AS (SELECT pair_id, sum(CASE WHEN op = '=' THEN 1.0 WHEN op = 'X' THEN -2.0 WHEN before = op THEN -0.5 ELSE -2.0 END) AS score FROM z GROUP BY 1),
+c AS (SELECT pair_id, {COUNTS}, count(*) FILTER (op IN ('I','D') AND (before IS NULL OR before IN ('=','X'))) AS g, count(*) AS n FROM o GROUP BY 1)
+SELECT pair_id, m AS matches, mm AS mismatches, i AS insertions, d AS deletions, g AS gap_openings, coalesce(score, 0.0)::DOUBLE AS score, n AS columns, ((n + 96) // 97)::BIGINT AS blocks, m+mm+i+d AS total_aligned, i+d AS total_gaps,
+ round(CASE WHEN m+mm+i+d = 0 THEN 0.0 ELSE m/(m+mm+i+d) END, 10) AS identity FROM c LEFT JOIN s USING (pair_id)""")
+def block_statistics(spark, sf):
+    """Statistics and score of alignments cut into blocks: gaps that go on at a seam count once."""
+    cut = lambda a: F.regexp_extract_all(a, F.lit(".{1,97}"), F.lit(0))
+    rows = _pairs(spark, sf).select("pair_id", F.posexplode(F.arrays_zip(cut("a1").alias("a1"), cut("a2").alias("a2"))).alias("block", "c"))
+    return _round(align.measure_blocks(rows.select("pair_id", "block", "c.a1", "c.a2")), "identity")
+
+
 @query()
 def nw_overlap_align(spark, sf):
     return align.overlap_align(_seq_pairs(spark, sf))
