@@ -2,10 +2,8 @@
 
 A word that the model knows scores by its log frequency in each language; an unseen one falls back to its
 character 5-grams (with word borders), then to shorter ones, down to single characters.  The model is fitted
-on at most about ``sample_docs`` labelled documents (chosen by a hash of the id, so that every run takes the same)
-and holds at most ``max_units`` words, and as many n-grams of each length, a language: a bounded table, broadcast.
-Words and n-grams of two and more characters that the sample holds once only are left out, as most of them are no
-language's own; what falls out of the table is scored by shorter n-grams, down to single characters, which all stay.
+on at most about ``sample_docs`` labelled documents (chosen by a hash of the id, so that every run takes the same) and
+holds every word and n-gram of them, so that bound is the only one, on the table that is broadcast as well.
 
 A word is a run of letters (and of the number signs that Unicode counts among word characters, like ``²``) with
 at least one letter.  A null text, or one without a letter, is ``und`` with score 0, as is every text when there is
@@ -29,6 +27,7 @@ from .worker import held
 
 _WORDS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
+SAMPLE_DOCS = 3_000  # the bound on labelled rows, and so on the model's size
 UNKNOWN = "und"
 
 
@@ -42,7 +41,7 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)] if n > 1 else list(word)
 
 
-def fit(labelled: DataFrame, id_col: str, text: str, lang: str, sample_docs: int = 12_000, max_units: int = 40_000) -> dict:
+def fit(labelled: DataFrame, id_col: str, text: str, lang: str, sample_docs: int = SAMPLE_DOCS) -> dict:
     """Counts of words (key ``w``) and n-grams (key: n) per language from a bounded sample of labelled rows."""
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     total = labelled.count()
@@ -75,28 +74,16 @@ def fit(labelled: DataFrame, id_col: str, text: str, lang: str, sample_docs: int
         yield rows()
 
     units = sample.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, n int, unit string, count long")
-    units = written(units.groupBy("lang", "n", "unit").agg(F.sum("count").alias("count")).where((F.col("count") > 1) | (F.col("n") == 1)), "language-units")
+    units = written(units.groupBy("lang", "n", "unit").agg(F.sum("count").alias("count")), "language-units")
     totals = {(r[0], r[1]): r[2] for r in units.groupBy("lang", "n").agg(F.sum("count")).collect()}
-    cutoffs = units.groupBy("lang", "n", "count").agg(F.count("*").alias("units")).collect()  # one row for each different count
-    least = {}
-    for key in {(r["lang"], r["n"]) for r in cutoffs}:
-        held = 0
-        for r in sorted((r for r in cutoffs if (r["lang"], r["n"]) == key), key=lambda r: -r["count"]):
-            if held and held + r["units"] > max_units:
-                break
-            held += r["units"]
-            least[key] = r["count"]
-    keep = F.lit(False)
-    for (name, n), c in least.items():
-        keep = keep | ((F.col("lang") == name) & (F.col("n") == n) & (F.col("count") >= c))
-    held = units.where(keep).select("n", "unit", "lang", "count").toArrow().sort_by([("n", "ascending"), ("unit", "ascending")]) if least else None
+    held = units.select("n", "unit", "lang", "count").toArrow().sort_by([("n", "ascending"), ("unit", "ascending")])
     forget(units)
-    langs = sorted(set(held.column("lang").to_pylist())) if least else []
+    langs = sorted(set(held.column("lang").to_pylist()))
     model = {"langs": langs, "units": {}}
     for n in range(LONGEST + 1):
-        part = held.filter(pc.equal(held.column("n"), n)) if least else None
-        names = part.column("unit").to_pylist() if least else []
-        place = np.array([langs.index(x) for x in part.column("lang").to_pylist()], np.int64) if least else np.zeros(0, np.int64)
+        part = held.filter(pc.equal(held.column("n"), n))
+        names = part.column("unit").to_pylist()
+        place = np.array([langs.index(x) for x in part.column("lang").to_pylist()], np.int64)
         row = np.cumsum([a != b for a, b in zip(names, [None, *names])]) - 1 if names else np.zeros(0, np.int64)
         total = np.array([totals.get((x, n), 0) + 1 for x in langs], np.float64)
         logs = np.tile(np.log(0.1 / total), (int(row[-1]) + 1 if len(row) else 0, 1))
@@ -182,7 +169,7 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = 12_000) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Learn from the labelled rows that aren't held out; predict for all: id, held_out, lang_pred, score."""
     model = fit(docs.where(~held_out(id_col)), id_col, text, lang, sample_docs)
     return predict(docs, model, id_col, text).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
