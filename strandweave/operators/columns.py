@@ -7,11 +7,13 @@ two histograms are narrow: no shuffle, whatever the number of pairs.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import VALID, is_match, is_partial_overlap, is_strict_match
+from ..functions.alphabet import VALID, is_partial_overlap
 from ..functions.features import let, times, ungapped
+from .kernels import column_classes
 
 
 def symbols(s: Column) -> Column:
@@ -19,14 +21,18 @@ def symbols(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 
 
-def classes(a1: Column, a2: Column, match=is_match) -> Column:
-    """Class string of two gapped strings, cut to the shorter one."""
-    n = F.least(F.length(a1), F.length(a2))
+def _classes(strict: bool):
+    @F.pandas_udf("string")
+    def classes(a1: pd.Series, a2: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else column_classes(x, y, strict) for x, y in zip(a1, a2)], dtype=object)
 
-    def one(x: Column, y: Column) -> Column:
-        return (F.when((x == "-") & (y == "-"), "M").when(x == "-", "I").when(y == "-", "D").when(match(x, y), "=").otherwise("X"))
+    return classes
 
-    return F.array_join(F.zip_with(symbols(F.substring(a1, F.lit(1), n)), symbols(F.substring(a2, F.lit(1), n)), one), "")
+
+def classes(a1: Column, a2: Column, strict: bool = False) -> Column:
+    """Class string of two gapped strings, cut to the shorter one: one Arrow pass that compares bytes.  ``strict``: only
+    plain bases match."""
+    return _classes(strict)(a1, a2)
 
 
 def with_classes(pairs: DataFrame) -> DataFrame:
@@ -62,7 +68,7 @@ def alignment_stats(pairs: DataFrame) -> DataFrame:
 
 def strict_stats(pairs: DataFrame) -> DataFrame:
     """Statistics that count plain bases as matches only; identity over columns without gaps."""
-    ops = pairs.select("pair_id", classes(F.col("a1"), F.col("a2"), is_strict_match).alias("ops"))
+    ops = pairs.select("pair_id", classes(F.col("a1"), F.col("a2"), True).alias("ops"))
     n = _counts(F.col("ops"))
     return ops.select("pair_id", n["matches"].alias("matches"), n["mismatches"].alias("mismatches"), n["total_gaps"].alias("total_gaps"), _ratio(n["matches"], n["matches"] + n["mismatches"]).alias("identity_ungapped"), _ratio(n["total_gaps"], F.length("ops")).alias("gap_fraction"))
 
@@ -170,7 +176,7 @@ def coverage_windows(pairs: DataFrame, size: int = 100) -> DataFrame:
 
 def heatmap_windows(pairs: DataFrame, least: int = 100, parts: int = 50) -> DataFrame:
     """Full windows of max(least, length / parts) columns with strict matches."""
-    rows = pairs.select("pair_id", classes(F.col("a1"), F.col("a2"), is_strict_match).alias("ops"))
+    rows = pairs.select("pair_id", classes(F.col("a1"), F.col("a2"), True).alias("ops"))
     rows = _windows(rows, F.greatest(F.lit(least), F.floor(F.length("ops") / parts)), full_only=True)
     n = _counts(F.col("w"))
     gaps = F.length("w") - n["matches"] - n["mismatches"]
@@ -179,7 +185,7 @@ def heatmap_windows(pairs: DataFrame, least: int = 100, parts: int = 50) -> Data
 
 def identity_curve(pairs: DataFrame, least: int = 100, parts: int = 100) -> DataFrame:
     """Strict identity by position; windows without a column of two bases are left out."""
-    rows = pairs.select("pair_id", classes(F.col("a1"), F.col("a2"), is_strict_match).alias("ops"))
+    rows = pairs.select("pair_id", classes(F.col("a1"), F.col("a2"), True).alias("ops"))
     rows = _windows(rows, F.greatest(F.lit(least), F.floor(F.length("ops") / parts)))
     n = _counts(F.col("w"))
     both = n["matches"] + n["mismatches"]
@@ -194,7 +200,7 @@ def quality_class(pairs: DataFrame) -> DataFrame:
 
 def sampled_states(pairs: DataFrame, points: int = 1000) -> DataFrame:
     """Every length / min(points, length)-th column as -1 mismatch, 0 gap or 1 strict match."""
-    rows = pairs.select("pair_id", classes(F.col("a1"), F.col("a2"), is_strict_match).alias("ops")).where(F.length("ops") > 0)
+    rows = pairs.select("pair_id", classes(F.col("a1"), F.col("a2"), True).alias("ops")).where(F.length("ops") > 0)
     step = F.floor(F.length("ops") / F.least(F.lit(points), F.length("ops"))).cast("int")
     rows = rows.withColumn("_step", step).withColumn("_c", symbols(F.col("ops")))
     rows = rows.withColumn("pos", F.explode(F.sequence(F.lit(0), F.length("ops") - 1, F.col("_step"))))

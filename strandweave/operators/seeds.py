@@ -5,6 +5,8 @@ A hash depends on content alone: the base-4 code of the s-mer times a fixed mult
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +51,51 @@ def syncmer_marks(seq: Column, k: int = 10, s: int = 3, offset: int = 2) -> Colu
     return let(smer_hashes(seq, s), lambda h: F.when(F.size(h) >= width, found(h)).otherwise(none))
 
 
+_CODES = np.full(256, -1, np.int64)
+_CODES[list(b"ACGT")] = range(4)
+
+
+def syncmer_places(seq: str, k: int, s: int, offset: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of one sequence's open syncmers; the rule of ``syncmer_marks`` over arrays."""
+    codes = _CODES[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+    width, n = k - s + 1, len(codes) - s + 1
+    if n < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code = codes[:n].copy()
+    for i in range(1, s):
+        code = code * 4 + codes[i : n + i]
+    h = code * MULTIPLIER % PRIME
+    m = n - width + 1
+    mine, good = h[offset : offset + m], np.ones(m, bool)
+    for i in range(width):
+        if i != offset:
+            good &= mine <= h[i : i + m] if i < offset else mine < h[i : i + m]
+    at = np.flatnonzero(good)
+    return at, mine[at]
+
+
+def _joined(parts) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *parts])
+
+
+def _rows(key: pa.Array, sizes: list[int], columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    owner = key.take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+    return pa.RecordBatch.from_arrays([owner, *(pa.array(v.astype(np.int64 if n == "hash" else np.int32)) for n, v in columns.items())], ["key", *columns])
+
+
+def _named(rows: DataFrame, key: str) -> DataFrame:
+    return rows.withColumnRenamed("key", key)
+
+
 def syncmers(seqs: DataFrame, key: str = "doc_id", k: int = 10, s: int = 3, offset: int = 2) -> DataFrame:
-    """Open syncmers of each sequence, a row each.  Narrow: each sequence is handled in its own row."""
-    return seqs.select(key, F.explode(syncmer_marks(F.col("seq"), k, s, offset)).alias("m")).select(key, "m.pos", "m.hash")
+    """Open syncmers of each sequence, a row each.  Narrow: one Arrow pass, each sequence in its own row."""
+
+    def run(batches):
+        for batch in batches:
+            found = [syncmer_places(t, k, s, offset) for t in batch.column(1).fill_null("").to_pylist()]
+            yield _rows(batch.column(0), [len(p) for p, _ in found], {n: _joined(f[i] for f in found) for i, n in enumerate(("pos", "hash"))})
+
+    return _named(seqs.select(key, "seq").mapInArrow(run, f"key {seqs.schema[key].dataType.simpleString()}, pos int, hash long"), key)
 
 
 def dense(strobes: DataFrame, bits: int = 8) -> DataFrame:
@@ -70,6 +114,41 @@ def randstrobes(marks: DataFrame, key: str = "doc_id", k: int = 10, w_min: int =
     return best.select(key, "pos1", F.col("b.pos2").alias("pos2"), F.col("b.hash").alias("hash"), (F.col("b.pos2") - F.col("pos1")).alias("span"), F.lit(2 * k).alias("length"))
 
 
+def linked(pos: np.ndarray, h: np.ndarray, w_min: int, w_max: int, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pos1, pos2, hash) of one sequence's randstrobes from its syncmers in order; by blocks, so that long ones need no long
+    tables."""
+    out = []
+    for a in range(0, len(pos), step):
+        p, g = pos[a : a + step], h[a : a + step]
+        lo, hi = np.searchsorted(pos, p + w_min), np.searchsorted(pos, p + w_max, "right")
+        real = np.flatnonzero(hi > lo)
+        n = (hi - lo)[real]
+        if not len(n):
+            continue
+        first = np.cumsum(n) - n
+        other = np.arange(int(n.sum())) - np.repeat(first, n) + np.repeat(lo[real], n)
+        both = np.repeat(g[real], n) ^ h[other]
+        least = np.minimum.reduceat(both, first)
+        # The first of equals: others are pushed behind the end.
+        at = np.minimum.reduceat(np.where(both == np.repeat(least, n), other, len(pos)), first)
+        out.append((p[real], pos[at], least))
+    return tuple(_joined(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def strobes(seqs: DataFrame, key: str = "doc_id", k: int = 10, s: int = 3, offset: int = 2, w_min: int = 10, w_max: int = 30) -> DataFrame:
+    """Randstrobes of each sequence (key, seq), as ``randstrobes`` of its syncmers gives them: one Arrow pass, no shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            found = [linked(*syncmer_places(t, k, s, offset), w_min, w_max) for t in batch.column(1).fill_null("").to_pylist()]
+            columns = {n: _joined(f[i] for f in found) for i, n in enumerate(("pos1", "pos2", "hash"))}
+            span = columns["pos2"] - columns["pos1"]
+            yield _rows(batch.column(0), [len(f[0]) for f in found], columns | {"span": span, "length": np.full(len(span), 2 * k)})
+
+    kind = seqs.schema[key].dataType.simpleString()
+    return _named(seqs.select(key, "seq").mapInArrow(run, f"key {kind}, pos1 int, pos2 int, hash long, span int, length int"), key)
+
+
 def strobe_index(strobes: DataFrame, key: str = "doc_id", most: int = 200) -> DataFrame:
     """Positions of each hash that occurs at most ``most`` times in its sequence."""
     rows = strobes.groupBy(key, "hash").agg(F.count("*").alias("occurrences"), F.sort_array(F.collect_list("pos1")).alias("positions"))

@@ -373,7 +373,7 @@ def _marks(spark, sf):
 
 
 def _strobes(spark, sf):
-    return seeds.randstrobes(_marks(spark, sf))
+    return seeds.strobes(_sequences(spark, sf))
 
 
 def _sides(spark, sf):
@@ -402,6 +402,7 @@ def syncmers_shipped(spark, sf):
 
 @query(f"WITH {_rand_sql(_sync_sql(_SHIPPED.k, _SHIPPED.s, _SHIPPED.sync_offset), _SHIPPED.w_min, _SHIPPED.w_max)} SELECT doc_id, pos1, pos2, hash, pos2 - pos1 AS span, {2 * _SHIPPED.k} AS length FROM st")
 def randstrobes_shipped(spark, sf):
+    """By joining the syncmers, for sequences too long for one row's arrays."""
     return seeds.randstrobes(syncmers_shipped(spark, sf), "doc_id", _SHIPPED.k, _SHIPPED.w_min, _SHIPPED.w_max)
 
 
@@ -502,7 +503,7 @@ def fallback_tiles(spark, sf):
 
 @query()
 def chained_anchors(spark, sf):
-    rows = seeds.randstrobes(seeds.syncmers(_sequences(spark, sf), k=15, s=7, offset=3))
+    rows = seeds.strobes(_sequences(spark, sf), k=15, s=7, offset=3)
     sides = rows.withColumn("pair_id", F.col("doc_id")), rows.withColumn("pair_id", F.col("doc_id") - 1)
     return anchors.chain_anchors(anchors.anchors(*sides))
 
