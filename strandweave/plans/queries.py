@@ -501,17 +501,28 @@ def fallback_tiles(spark, sf):
     return anchors.fallback_tiles(rows, 100)
 
 
-@query()
+def _chains(spark, sf):
+    path = folders.scratch(spark, "strobes")
+    seeds.strobes(_sequences(spark, sf), k=15, s=7, offset=3).write.parquet(path)
+    rows = spark.read.parquet(path)
+    return anchors.chain_anchors(anchors.anchors(rows.withColumn("pair_id", F.col("doc_id")), rows.withColumn("pair_id", F.col("doc_id") - 1)))
+
+
+@query(f"""WITH {_rand_sql(_sync_sql(15, 7, 3), 10, 30)}, cp AS (SELECT doc_id, hash FROM st GROUP BY 1, 2 HAVING count(*) <= 200)
+SELECT a.doc_id AS pair_id, a.pos1 AS qpos, b.pos1 AS tpos, a.pos2 - a.pos1 AS span, a.hash AS hash, b.pos1 - a.pos1 AS diag, true AS rises
+FROM st a JOIN st b ON b.doc_id = a.doc_id + 1 AND a.hash = b.hash JOIN cp ON cp.doc_id = b.doc_id AND cp.hash = b.hash""")
 def chained_anchors(spark, sf):
-    rows = seeds.strobes(_sequences(spark, sf), k=15, s=7, offset=3)
-    sides = rows.withColumn("pair_id", F.col("doc_id")), rows.withColumn("pair_id", F.col("doc_id") - 1)
-    return anchors.chain_anchors(anchors.anchors(*sides))
+    """Every anchor is in one chain, and each is behind the one before it on both axes (links and scores: the tests' plain rule)."""
+    w = Window.partitionBy("pair_id", "chain_id").orderBy("rank")
+    up = lambda c: F.coalesce(F.col(c) > F.lag(c).over(w), F.col("rank") == 0)
+    rows = _chains(spark, sf).withColumn("rises", up("qpos") & up("tpos"))
+    return rows.select("pair_id", "qpos", "tpos", "span", "hash", "diag", "rises")
 
 
 @query()
 def chain_chunks(spark, sf):
     rows = _seq_pairs(spark, sf).select("pair_id", F.length("s1").alias("l1"), F.length("s2").alias("l2"))
-    return anchors.chains_to_chunks(chained_anchors(spark, sf), rows, 100)
+    return anchors.chains_to_chunks(_chains(spark, sf), rows, 100)
 
 
 @query(f"WITH {_SYNC} SELECT hash % 256 AS bucket, count(*) AS n FROM sy GROUP BY 1")
@@ -616,29 +627,50 @@ def block_statistics(spark, sf):
     return _round(align.measure_blocks(rows.select("pair_id", "block", "c.a1", "c.a2")), "identity")
 
 
-@query()
+def _agrees(rows: DataFrame, mismatch: float, gap_open: float, gap_extend: float) -> DataFrame:
+    """Adds ``agrees``: whether the strings, valued by their column classes, give the score that came with them."""
+    told = columns.score_of(F.col("ops"), gap_open, gap_extend, mismatch=mismatch)
+    return columns.with_classes(rows).withColumn("agrees", F.abs(told - F.col("score")) < 1e-6)
+
+
+_AGREE = f"WITH {SEQ_PAIRS} SELECT pair_id, true AS agrees, s1, s2 FROM sp"
+
+
+@query(_AGREE)
 def nw_overlap_align(spark, sf):
-    return align.overlap_align(_seq_pairs(spark, sf))
+    """Whole alignments hold both sequences, and their strings are worth their scores (the best: ``name_overlap_scores``)."""
+    return _kept(_agrees(align.overlap_align(_seq_pairs(spark, sf)), -1.0, -1.0, -1.0), "agrees")
 
 
-@query()
+@query(_AGREE)
 def nw_beam_align(spark, sf):
-    return align.beam_align(_seq_pairs(spark, sf))
+    return _kept(_agrees(align.beam_align(_seq_pairs(spark, sf)), -2.0, -2.0, -0.5), "agrees")
 
 
-@query()
+@query(_AGREE)
 def affine_global_align(spark, sf):
-    return align.affine_align(_seq_pairs(spark, sf))
+    return _kept(_agrees(align.affine_align(_seq_pairs(spark, sf)), -1.0, -2.0, -0.5), "agrees")
 
 
-@query()
+@query(f"WITH {SEQ_PAIRS} SELECT pair_id, true AS agrees, true AS placed FROM sp")
 def local_align(spark, sf):
-    return align.affine_align(_seq_pairs(spark, sf), local=True)
+    """Local alignments are worth their scores, and hold the sequences from where they are said to start."""
+    pairs = _seq_pairs(spark, sf)
+    rows = _agrees(align.affine_align(pairs, local=True), -1.0, -2.0, -0.5).join(pairs, "pair_id")
+    bare = [F.replace(F.col(f"a{i}"), F.lit("-")) for i in (1, 2)]
+    there = [F.substring(f"s{i}", F.col(f"start{i}") + 1, F.length(x)) == x for i, x in enumerate(bare, 1)]
+    return rows.select("pair_id", "agrees", (there[0] & there[1]).alias("placed"))
 
 
-@query()
+@query(f"WITH {SEQ_PAIRS} SELECT pair_id, length(s1)::BIGINT AS symbols1, length(s2)::BIGINT AS symbols2, true AS cigar_agrees FROM sp WHERE length(s1) > 0 AND length(s2) > 0")
 def chunked_align_stitch(spark, sf):
-    return align_and_measure(_seq_pairs(spark, sf), Config(chunk_size=200, overlap=40))
+    """The whole pipeline: statistics and CIGAR account for every symbol of both sequences."""
+    rows = align_and_measure(_seq_pairs(spark, sf), Config(chunk_size=200, overlap=40))
+    runs = F.regexp_extract_all("cigar", F.lit("([0-9]+[=XID])"), F.lit(1))
+    n = lambda kinds: F.aggregate(F.filter(runs, lambda r: F.right(r, F.lit(1)).isin(*kinds)), F.lit(0).cast("long"), lambda a, r: a + F.regexp_extract(r, "[0-9]+", 0).cast("long"))
+    one, two = F.col("matches") + F.col("mismatches") + F.col("deletions"), F.col("matches") + F.col("mismatches") + F.col("insertions")
+    agrees = (n("=") == F.col("matches")) & (n("=XD") == one) & (n("=XI") == two)
+    return rows.select("pair_id", one.alias("symbols1"), two.alias("symbols2"), agrees.alias("cigar_agrees"))
 
 
 # -- names ------------------------------------------------------------------------------------
