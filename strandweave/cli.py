@@ -1,4 +1,4 @@
-"""Command line: ``python -m strandweave.cli align|list|check|config ...``."""
+"""Command line: ``python -m strandweave.cli align|list|check|plot-data|config ...``."""
 
 from __future__ import annotations
 
@@ -36,6 +36,9 @@ def _parser() -> argparse.ArgumentParser:
     n.add_argument("--limit", type=int, default=0)
     c = sub.add_parser("check", help="validate FASTA files, and whether a pair can be aligned")
     c.add_argument("fasta", nargs="+")
+    v = sub.add_parser("plot-data", help="write what plots need, from results that align wrote as JSON")
+    v.add_argument("results")
+    v.add_argument("--out", required=True)
     g = sub.add_parser("config", help="write settings")
     g.add_argument("out")
     g.add_argument("--preset", default="default", choices=sorted(settings.PRESETS))
@@ -54,6 +57,11 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     if args.command == "config":
         settings.save(settings.load(preset=args.preset), args.out)
         return 0
+    if args.command == "plot-data":
+        rows = fasta.read_results(spark, args.results).select("metadata.pair_id", F.col("alignment.sequence1").alias("a1"), F.col("alignment.sequence2").alias("a2"))
+        for kind, path in files.write_plot_data(rows, args.out).items():
+            print(f"{kind}\t{path}")
+        return 0
     if args.command == "list":
         names = fasta.read_ids(spark, args.fasta).select("seq_id").distinct()
         if args.range:

@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import kernels
+from ..operators.seeds import linked, syncmer_places
 from .alphabet import CODES, MASKS
 
 
@@ -28,9 +29,25 @@ _EXPRESSIONS = {
 }
 
 
+_GAP_RUNS = f"SELECT run, length(r) FROM (SELECT posexplode(regexp_extract_all({_CLASSES}, '([IDM]+)', 1)) AS (run, r))"
+
+
+class _Syncmers:
+    def eval(self, seq: str, k: int, s: int, at: int):
+        places, hashes = syncmer_places(seq or "", k, s, at)
+        yield from zip(places.tolist(), hashes.tolist())
+
+
+class _Randstrobes:
+    def eval(self, seq: str, k: int, s: int, at: int, w_min: int, w_max: int):
+        yield from zip(*(x.tolist() for x in linked(*syncmer_places(seq or "", k, s, at), w_min, w_max)))
+
+
 def register(spark: SparkSession) -> None:
     """``nw_align(s1, s2)`` and ``sw_align(s1, s2)`` (structs), ``gc_percent(s)``, ``iupac_match(x, y)``, ``pack4(s)``,
-    ``kmers(s, k)`` and ``cigar(a1, a2)``; all but the first two are SQL expressions that Catalyst inlines."""
+    ``kmers(s, k)`` and ``cigar(a1, a2)``; and for LATERAL joins the table functions ``syncmers(seq, k, s, at)``,
+    ``randstrobes(seq, k, s, at, w_min, w_max)`` and ``gap_runs(a1, a2)``.  Alignments and the first two table functions are Python over whole sequences, the others SQL that
+    Catalyst inlines."""
 
     @F.pandas_udf("score double, a1 string, comp string, a2 string, status string")
     def nw_align(s1: pd.Series, s2: pd.Series) -> pd.DataFrame:
@@ -43,5 +60,8 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("nw_align", nw_align)
     spark.udf.register("sw_align", sw_align)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION gc_percent(s STRING) RETURNS DOUBLE RETURN CASE WHEN length(replace(s, '-', '')) = 0 THEN 0D ELSE 100D * length(regexp_replace(upper(s), '[^GC]', '')) / length(replace(s, '-', '')) END")
+    spark.udtf.register("syncmers", F.udtf(_Syncmers, returnType="pos int, hash bigint"))
+    spark.udtf.register("randstrobes", F.udtf(_Randstrobes, returnType="pos1 int, pos2 int, hash bigint"))
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION gap_runs(a1 STRING, a2 STRING) RETURNS TABLE(run INT, length INT) RETURN {_GAP_RUNS}")
     for signature, body in _EXPRESSIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")

@@ -7,6 +7,8 @@ two histograms are narrow: no shuffle, whatever the number of pairs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -174,6 +176,21 @@ def coverage_windows(pairs: DataFrame, size: int = 100) -> DataFrame:
     return rows.select("pair_id", "start", (F.col("start") + F.length("w")).alias("end"), (s["identity"] * 100).alias("identity"), s["matches"].alias("matches"), s["mismatches"].alias("mismatches"), s["total_gaps"].alias("gaps"), s["gap_percentage"].alias("gap_percentage"))
 
 
+def window_pyramid(pairs: DataFrame, size: int = 100, factor: int = 10, levels: int = 3) -> DataFrame:
+    """Windows for plots at any zoom: pair_id, level, start, end and counts; a level's windows are ``factor`` times as wide
+    as those of the one below, and sums of them: the columns are read once."""
+    rows = _windows(with_classes(pairs), size)
+    n = _counts(F.col("w"))
+    names = ("matches", "mismatches", "gaps")
+    level = rows.select("pair_id", F.col("_nth").alias("nth"), (F.col("start") + F.length("w")).alias("end"), n["matches"].alias("matches"), n["mismatches"].alias("mismatches"), n["total_gaps"].alias("gaps"))
+    out, width = [], size
+    for i in range(levels):
+        out.append(level.select("pair_id", F.lit(i).alias("level"), (F.col("nth") * width).cast("int").alias("start"), "end", *names))
+        level = level.groupBy("pair_id", F.floor(F.col("nth") / factor).cast("int").alias("nth")).agg(F.max("end").alias("end"), *[F.sum(c).alias(c) for c in names])
+        width *= factor
+    return reduce(DataFrame.union, out)
+
+
 def heatmap_windows(pairs: DataFrame, least: int = 100, parts: int = 50) -> DataFrame:
     """Full windows of max(least, length / parts) columns with strict matches."""
     rows = pairs.select("pair_id", classes(F.col("a1"), F.col("a2"), True).alias("ops"))

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import alphabet
-from ..operators import align, anchors, catalog, columns, profiles, reanchor, seeds
+from ..functions import alphabet, registry
+from ..operators import align, anchors, catalog, columns, profiles, reanchor, seeds, tensors
 from ..sinks import files, folders
 from ..sources import fasta
+from . import report
 from .config import Config
 from .pipeline import align_and_measure, align_in_blocks, align_pairs, align_reanchored
 
@@ -673,6 +674,50 @@ def chunked_align_stitch(spark, sf):
     return rows.select("pair_id", one.alias("symbols1"), two.alias("symbols2"), agrees.alias("cigar_agrees"))
 
 
+# -- SQL functions ----------------------------------------------------------------------------
+@query(f"WITH {_RAND} SELECT doc_id, pos1, pos2, hash FROM st")
+def sql_randstrobes(spark, sf):
+    """The table function, in a lateral join."""
+    registry.register(spark)
+    return spark.sql("SELECT doc_id, pos1, pos2, hash FROM {seqs} AS d, LATERAL randstrobes(d.seq, 10, 3, 2, 10, 30)", seqs=_sequences(spark, sf))
+
+
+@query(f"WITH {_SYNC} SELECT doc_id, count(*) AS seeds, sum(hash)::BIGINT AS total FROM sy GROUP BY 1")
+def sql_syncmers(spark, sf):
+    registry.register(spark)
+    return spark.sql("SELECT doc_id, count(*) AS seeds, sum(hash) AS total FROM {seqs} AS d, LATERAL syncmers(d.seq, 10, 3, 2) GROUP BY doc_id", seqs=_sequences(spark, sf))
+
+
+@query(f"""WITH {RUNS.format(flag='gap')} SELECT pair_id, count(*) AS runs, max(len)::INTEGER AS longest FROM runs WHERE v GROUP BY 1""")
+def sql_gap_runs(spark, sf):
+    registry.register(spark)
+    return spark.sql("SELECT pair_id, count(*) AS runs, max(length) AS longest FROM {pairs} AS p, LATERAL gap_runs(p.a1, p.a2) GROUP BY pair_id", pairs=_pairs(spark, sf))
+
+
+# -- tensors, plots, metrics ------------------------------------------------------------------
+@query(f"""WITH {SEQS} SELECT doc_id, rpad(replace(replace(replace(replace(substr(seq, 1, 500), 'A', '01000000'), 'C', '00010000'), 'G', '00000100'), 'T', '00000001'), 4000, '0') AS tensor, least(length(seq), 500)::INTEGER AS symbols FROM seqs""")
+def one_hot(spark, sf):
+    return tensors.one_hot(_sequences(spark, sf), 500).withColumn("tensor", F.hex("tensor"))
+
+
+@query(f"""WITH {PAIRS}, l AS (SELECT *, unnest([0, 1, 2]) AS level FROM ops), w AS (SELECT *, (100 * 10 ** level)::BIGINT AS size FROM l)
+SELECT pair_id, level::INTEGER AS level, (pos // size * size)::INTEGER AS start, (max(pos) + 1)::INTEGER AS "end", count(*) FILTER (op = '=') AS matches, count(*) FILTER (op = 'X') AS mismatches, count(*) FILTER (op IN ('I', 'D')) AS gaps FROM w GROUP BY pair_id, level, size, pos // size""")
+def window_pyramid(spark, sf):
+    return columns.window_pyramid(_pairs(spark, sf))
+
+
+@query("""SELECT count(*) AS chunks, round(min(l_extendedprice), 2)::DOUBLE AS least_score, round(max(l_extendedprice), 2)::DOUBLE AS greatest_score, round(sum(l_extendedprice), 0)::DOUBLE AS total_score, count(*) AS in_files FROM lineitem""")
+def run_report(spark, sf):
+    """Metrics observed while chunks are written, and the metadata beside them, read back."""
+    n = F.col("l_linenumber")
+    rows = _table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pair_id"), n.alias("cid"), (n * 10).alias("q_start"), (n * 10 + 5).alias("q_end"), F.lit(0).alias("t_start"), F.lit(7).alias("t_end"), F.col("l_extendedprice").alias("score"))
+    folder = folders.scratch(spark, "report")
+    report.write_reported(rows, folder)
+    files_ = spark.read.json(f"{folder}/metadata").agg(F.sum("chunks").alias("in_files"))
+    told = spark.read.json(f"{folder}/metrics").select("chunks", *[F.round(c, d).alias(c) for c, d in (("least_score", 2), ("greatest_score", 2), ("total_score", 0))])
+    return told.join(F.broadcast(files_))  # one row each
+
+
 # -- names ------------------------------------------------------------------------------------
 _KEY = "array_to_string(list_transform(regexp_extract_all(lower({0}), '(\\d+|\\D+)'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(r, 20, '0') ELSE r END), chr(1))"
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.features import times, ungapped
+from ..functions.features import ungapped
 from ..operators.columns import cigar_of, classes, statistics, symbols
 
 
@@ -85,6 +85,23 @@ def write_chunks(aligned: DataFrame, path: str) -> None:
     aligned.write.mode("overwrite").parquet(path)
 
 
+def write_plot_data(alignments: DataFrame, folder: str, mode: str = "overwrite") -> dict[str, str]:
+    """What plots of alignments (pair_id, a1, a2) need: windows of all levels (partitioned by level), heat map and identity
+    curve, places of matches, mismatches and gaps, and each pair's statistics with its quality class."""
+    from ..operators import columns
+
+    stats = columns.alignment_stats(alignments).join(columns.quality_class(alignments), "pair_id")
+    tables = {
+        "windows": (columns.window_pyramid(alignments), ["level"]), "heatmap": (columns.heatmap_windows(alignments), []), "curve": (columns.identity_curve(alignments), []),
+        "places": (column_places(alignments), []), "raw": (stats, ["quality_class"]),
+    }
+    paths = {}
+    for name, (rows, by) in tables.items():
+        paths[name] = f"{folder}/{name}"
+        rows.write.mode(mode).partitionBy(*by).json(paths[name])
+    return paths
+
+
 #: What each statistic of the CSV means.
 DESCRIPTIONS = {
     "matches": "columns of equal bases",
@@ -139,6 +156,3 @@ def write_all(alignments: DataFrame, folder: str, mode: str = "overwrite", confi
     finally:
         rows.unpersist()
 
-
-def base_counts(alignments: DataFrame) -> DataFrame:
-    return alignments.select("pair_id", *[times(F.col(a), b).alias(f"{a}_{b}") for a in ("a1", "a2") for b in "ACGT"])
