@@ -81,8 +81,11 @@ def summary_text(ops: Column, score: Column) -> Column:
     return F.concat_ws("\n", *lines, F.concat(F.lit("CIGAR: "), cigar_of(ops)), F.array_join(parts, "\n"))
 
 
-def write_chunks(aligned: DataFrame, path: str) -> None:
-    aligned.write.mode("overwrite").parquet(path)
+def write_chunks(aligned: DataFrame, path: str, groups: int = 16) -> None:
+    """Chunks in ``groups`` folders by a hash of their pair, so that a pair's are found without reading the others'; folders
+    by pair would be as many as there are pairs."""
+    rows = aligned.withColumn("pair_group", F.pmod(F.xxhash64("pair_id"), F.lit(groups)).cast("int"))
+    rows.repartition("pair_group", F.pmod(F.xxhash64("pair_id", F.lit(1)), F.lit(8))).write.mode("overwrite").partitionBy("pair_group").parquet(path)
 
 
 def write_plot_data(alignments: DataFrame, folder: str, mode: str = "overwrite") -> dict[str, str]:
