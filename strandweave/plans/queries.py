@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import alphabet, registry
-from ..operators import align, anchors, catalog, columns, profiles, reanchor, seeds, tensors
+from ..operators import align, anchors, band, catalog, columns, profiles, reanchor, seeds, tensors
 from ..sinks import files, folders
 from ..sources import fasta
 from . import report
@@ -674,6 +674,19 @@ def chunked_align_stitch(spark, sf):
     return rows.select("pair_id", one.alias("symbols1"), two.alias("symbols2"), agrees.alias("cigar_agrees"))
 
 
+_BAND = ["one", *band.FEATURES, "band"]
+_MEANS = ", ".join(f"struct_pack(a := '{a}', b := '{b}', value := round(avg({a}::DOUBLE * {b}::DOUBLE), 3))" for i, a in enumerate(_BAND) for b in _BAND[i:])
+
+
+@query(f"""WITH pf AS ({ORACLE_SQL['pair_features']}), {PAIRS}, c AS (SELECT pair_id, abs(sum((x <> '-')::INTEGER) OVER w - sum((y <> '-')::INTEGER) OVER w) AS apart FROM cols WINDOW w AS (PARTITION BY pair_id ORDER BY pos)),
+b AS (SELECT p.pair_id, coalesce(max(apart), 0)::BIGINT AS band FROM pairs p LEFT JOIN c USING (pair_id) GROUP BY 1), t AS (SELECT *, 1.0 AS one FROM pf JOIN b USING (pair_id))
+SELECT m.a, m.b, m.value FROM (SELECT unnest([{_MEANS}]) AS m FROM t)""")
+def band_moments(spark, sf):
+    """What the band model is fitted from: means of products of ten features and the band that an alignment needs."""
+    rows = pair_features(spark, sf).join(band.needed_band(_pairs(spark, sf)), "pair_id")
+    return band.moments(rows).withColumn("value", F.round("value", 3))
+
+
 # -- SQL functions ----------------------------------------------------------------------------
 @query(f"WITH {_RAND} SELECT doc_id, pos1, pos2, hash FROM st")
 def sql_randstrobes(spark, sf):

@@ -123,3 +123,27 @@ def test_strobes_both_ways(spark):
     marks = rows.select("doc_id", F.explode(seeds.syncmer_marks(F.coalesce("seq", F.lit("")))).alias("m")).select("doc_id", "m.*")
     assert sorted(map(tuple, marks.collect())) == sorted(map(tuple, seeds.syncmers(rows).collect()))
     assert columns.window_pyramid(spark.createDataFrame([], "pair_id long, a1 string, a2 string")).count() == 0
+
+
+def test_band_model(spark):
+    import random
+
+    from strandweave.operators import align, band, profiles
+
+    r = random.Random(3)
+    rows = []
+    for key in range(60):
+        a = "".join(r.choice("ACGT") for _ in range(r.randrange(40, 160)))
+        cut = r.randrange(1, len(a))
+        rows.append((key, a, a[:cut] + "T" * r.randrange(0, 20) + a[cut:]))
+    pairs = spark.createDataFrame(rows, "pair_id long, s1 string, s2 string")
+    told = profiles.pair_features(pairs).join(band.needed_band(align.overlap_align(pairs)), "pair_id")
+    model = band.fit(band.moments(told))
+    data = told.toPandas()
+    x = np.column_stack([np.ones(len(data)), data[list(band.FEATURES)].to_numpy(float)])
+    want = np.linalg.lstsq(x, data.band.to_numpy(float), rcond=None)[0]
+    got = x @ np.array(model.weights)
+    assert np.abs(got - x @ want).max() < 1e-2
+    held = told.select(F.avg((band.predicted(model) >= F.col("band")).cast("double")).alias("recall"), F.avg(band.predicted(model)).alias("mean"), F.avg(band.predicted(None)).alias("rule")).first()
+    assert held.recall >= 0.95 and held.mean < held.rule
+    assert band.fit(band.moments(told.limit(0))) is None
