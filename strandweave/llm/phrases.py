@@ -325,4 +325,6 @@ def mine(docs: DataFrame, least: int = 30, top: int = 2000, subsumed: int = 80,
     spelled = spelled.groupBy("hi", "lo").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
     named = first.join(spelled.select("hi", "lo", F.array_join("w.word", " ").alias("phrase")), ["hi", "lo"])
     ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase")).cast("long")).where(F.col("rank") <= top)
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    done = written(ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "phrases")
+    forget(parts, frequent, words, grams, first)
+    return done
