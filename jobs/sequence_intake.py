@@ -32,7 +32,7 @@ from strandweave.operators.seeds import dense, syncmer_marks, syncmers
 
 from . import settings
 
-LOG = logging.getLogger(__name__)
+LOG = logging.getLogger("jobs.sequence_intake")
 INPUT = "doc_id long, text string, lang string, source string"
 RECORDS = "doc_id long, lang string, source string, seq string, length long, gc double, entropy double, seeds int, least_seed long, digest string, batch long, status string"
 TOTALS = "lang string, status string, sequences long, bases long, gc_bases long, seeds long, batch long"
