@@ -263,10 +263,32 @@ def plot_places(spark, sf):
     return rows.select("pair_id", *[F.array_join(F.transform(n, lambda p: p.cast("string")), ",").alias(n) for n in ("matches", "mismatches", "gaps")])
 
 
-@query(f"""WITH {PAIRS}, c AS (SELECT p.pair_id, {COUNTS} FROM pairs p LEFT JOIN ops USING (pair_id) GROUP BY 1),
-u AS (UNPIVOT (SELECT pair_id, m::DOUBLE AS matches, mm::DOUBLE AS mismatches, (i+d)::DOUBLE AS total_gaps FROM c) ON matches, mismatches, total_gaps INTO NAME metric VALUE value) SELECT pair_id, metric, value FROM u""")
+_METRICS = ("matches", "mismatches", "insertions", "deletions", "total_aligned", "total_gaps", "identity", "divergence", "gap_openings", "gap_percentage")
+
+
+@query(f"""WITH s AS ({ORACLE_SQL['alignment_stats']}) SELECT pair_id, m[1] AS metric, m[2]::DOUBLE AS value FROM (SELECT pair_id, unnest([{', '.join(f"['{m}', {m}::VARCHAR]" for m in _METRICS)}]) AS m FROM s)""")
 def stats_long(spark, sf):
-    return files.stats_long(_pairs(spark, sf)).where(F.col("metric").isin("matches", "mismatches", "total_gaps"))
+    """All ten metrics, a row each."""
+    return _round(files.stats_long(_pairs(spark, sf)), "value")
+
+
+@query(f"""WITH s AS ({ORACLE_SQL['alignment_stats']}), q AS ({ORACLE_SQL['alignment_score']}) SELECT pair_id, array_to_string(['ALIGNMENT SUMMARY', printf('Total score: %.2f', score), 'Matches: ' || matches, 'Mismatches: ' || mismatches, 'Insertions: ' || insertions, 'Deletions: ' || deletions,
+ 'Total aligned: ' || total_aligned, 'Total gaps: ' || total_gaps], ' | ') AS head, 'Gap openings: ' || gap_openings AS openings FROM s JOIN q USING (pair_id)""")
+def summary_lines(spark, sf):
+    """The readable summary's lines of counts."""
+    rows = columns.with_classes(_pairs(spark, sf))
+    text = F.split(files.summary_text(F.col("ops"), columns.score_of(F.col("ops"), -2.0, -0.5).cast("double")), "\n")
+    return rows.select("pair_id", F.array_join(F.slice(text, 1, 8), " | ").alias("head"), F.element_at(text, 11).alias("openings"))
+
+
+@query(f"""WITH {SEQ_PAIRS}, n AS (SELECT pair_id, length(s2) AS l, unnest(range(0, length(s1), 90)) AS q0 FROM sp), p AS (SELECT *, q0 + 60 AS q1, 5.0 + 0.9 * q0 AS a, 5.0 + 0.9 * (q0 + 60) AS b FROM n),
+o AS (SELECT *, a < 0 OR b < 0 OR a > l OR b > l OR abs(b - a) > 600 AS off, l / greatest(1, l) AS scale FROM p)
+SELECT pair_id, q0::INTEGER AS q_start, trunc(greatest(0.0, least(l, CASE WHEN off THEN q0 * scale ELSE a END)))::INTEGER AS t_start, trunc(greatest(0.0, least(l, CASE WHEN off THEN q1 * scale ELSE b END)))::INTEGER AS t_end FROM o""")
+def projected_ranges(spark, sf):
+    """Ranges of the first sequence carried over to the second by a line, or by place where it leaves it."""
+    rows = _seq_pairs(spark, sf).where("length(s1) > 0").select("pair_id", F.length("s2").alias("l2"), F.explode(F.sequence(F.lit(0), F.length("s1") - 1, F.lit(90))).alias("q_start"))
+    t0, t1 = anchors.projected(F.col("q_start"), F.col("q_start") + 60, F.lit(5.0), F.lit(0.9), F.col("l2"))
+    return rows.select("pair_id", "q_start", t0.alias("t_start"), t1.alias("t_end"))
 
 
 @query(f"""WITH {SEQS} SELECT 'doc' || doc_id || ':101-1,160' AS spec, 'doc' || doc_id AS seq_id, 101 AS start, 1160 AS "end", substr(seq, 101, 1060) AS seq FROM seqs""")
