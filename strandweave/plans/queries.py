@@ -401,9 +401,7 @@ def _strobes(spark, sf):
 
 def _sides(spark, sf):
     """Both sides of neighbouring documents: the strobes are worked out once, as a table."""
-    path = folders.scratch(spark, "strobes")
-    _strobes(spark, sf).write.parquet(path)
-    rows = spark.read.parquet(path)
+    rows = folders.stored(_strobes(spark, sf), "strobes")
     return rows.withColumn("pair_id", F.col("doc_id")), rows.withColumn("pair_id", F.col("doc_id") - 1)
 
 
@@ -517,7 +515,7 @@ def self_anchors(spark, sf):
 
 
 @query(f"""WITH {SEQ_PAIRS}, l AS (SELECT pair_id, length(s1) AS a, length(s2) AS b FROM sp WHERE length(s1) > 0), k AS (SELECT *, greatest(1, a // 100) AS n FROM l), g AS (SELECT *, unnest(range(0, n)) AS i FROM k),
-q AS (SELECT *, trunc(a / n * i) AS q0, least(trunc(a / n * (i + 1)), a) AS q1 FROM g), t AS (SELECT *, trunc(q0 / a * greatest(1, b)) AS t0, trunc(q1 / a * greatest(1, b)) AS t1 FROM q)
+q AS (SELECT *, trunc(a / n * i) AS q0, CASE WHEN i = n - 1 THEN a ELSE trunc(a / n * (i + 1)) END AS q1 FROM g), t AS (SELECT *, trunc(q0 / a * greatest(1, b)) AS t0, trunc(q1 / a * greatest(1, b)) AS t1 FROM q)
 SELECT pair_id, i::INTEGER AS cid, q0::INTEGER AS q_start, (q0 + greatest(q1 - q0, t1 - t0))::INTEGER AS q_end, t0::INTEGER AS t_start, (t0 + greatest(q1 - q0, t1 - t0))::INTEGER AS t_end FROM t""")
 def fallback_tiles(spark, sf):
     rows = _seq_pairs(spark, sf).select("pair_id", F.lit(0).alias("q0"), F.length("s1").alias("q1"), F.lit(0).alias("t0"), F.length("s2").alias("t1"))
@@ -525,10 +523,9 @@ def fallback_tiles(spark, sf):
 
 
 def _chains(spark, sf):
-    path = folders.scratch(spark, "strobes")
-    seeds.strobes(_sequences(spark, sf), k=15, s=7, offset=3).write.parquet(path)
-    rows = spark.read.parquet(path)
-    return anchors.chain_anchors(anchors.anchors(rows.withColumn("pair_id", F.col("doc_id")), rows.withColumn("pair_id", F.col("doc_id") - 1)))
+    rows = folders.stored(seeds.strobes(_sequences(spark, sf), k=15, s=7, offset=3), "strobes")
+    found = anchors.anchors(rows.withColumn("pair_id", F.col("doc_id")), rows.withColumn("pair_id", F.col("doc_id") - 1))
+    return folders.stored(anchors.chain_anchors(folders.stored(found, "anchors")), "chains")
 
 
 @query(f"""WITH {_rand_sql(_sync_sql(15, 7, 3), 10, 30)}, cp AS (SELECT doc_id, hash FROM st GROUP BY 1, 2 HAVING count(*) <= 200)
@@ -542,10 +539,14 @@ def chained_anchors(spark, sf):
     return rows.select("pair_id", "qpos", "tpos", "span", "hash", "diag", "rises")
 
 
-@query()
+@query(f"WITH {SEQ_PAIRS} SELECT pair_id, 0 AS first, 0::BIGINT AS holes, true AS reaches FROM sp WHERE length(s1) > 0")
 def chain_chunks(spark, sf):
+    """Chunks along chains and between them: from the first symbol of the first sequence to its last one no place is left out."""
     rows = _seq_pairs(spark, sf).select("pair_id", F.length("s1").alias("l1"), F.length("s2").alias("l2"))
-    return anchors.chains_to_chunks(_chains(spark, sf), rows, 100)
+    before = Window.partitionBy("pair_id").orderBy("cid").rowsBetween(Window.unboundedPreceding, -1)
+    hole = F.col("q_start") > F.coalesce(F.max("q_end").over(before), F.lit(0))
+    found = anchors.chains_to_chunks(_chains(spark, sf), rows, 100).withColumn("hole", hole.cast("int")).join(rows, "pair_id")
+    return found.groupBy("pair_id").agg(F.min("q_start").alias("first"), F.sum("hole").alias("holes"), (F.max("q_end") >= F.max("l1")).alias("reaches"))
 
 
 @query(f"WITH {_SYNC} SELECT hash % 256 AS bucket, count(*) AS n FROM sy GROUP BY 1")
