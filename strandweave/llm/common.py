@@ -18,6 +18,7 @@ NO_ID = -(1 << 62)
 
 
 def safe_id(column: str) -> Column:
+    """Ids are integers (or strings of digits); what can't be one is a cast error, never a row left out."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
 

@@ -8,7 +8,8 @@ short comparisons end most chance hits.  Myers' bit-parallel distance decides, t
 the hits that are left, merged so that no character is compared with a whole item twice.
 
 Null and empty texts contain nothing, null and empty items are contained nowhere.  Items are read
-in blocks of at most ``block_chars`` characters, each broadcast by itself, so that nothing shared grows.
+in blocks of at most ``block_chars`` characters (and one item more): with several, each is fetched, broadcast, matched
+and its hits written before the next one, so neither the driver nor a worker holds more than a block.
 A text counts once per item, with its smallest distance; repeated rows are kept apart.
 """
 
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .worker import held
 
 
@@ -153,17 +155,17 @@ class Matcher:
 
 
 def _blocks(items: DataFrame, item_id: str, item_text: str, block_chars: int):
-    """Items in blocks that fit ``block_chars``, by ranges of a running total kept in Spark."""
+    """(items, whether they are all) in blocks that fit ``block_chars``, by ranges of a running total kept in Spark."""
     from .common import running_starts
 
     sized = items.where(F.length(item_text) > 0).select(F.col(item_id).cast("long").alias("k"), F.col(item_text).alias("t"), F.length(item_text).cast("long").alias("n"))
     total = sized.agg(F.sum("n")).first()[0] or 0
     if total <= block_chars:
-        yield [(r["k"], r["t"]) for r in sized.select("k", "t").collect()]
+        yield [(r["k"], r["t"]) for r in sized.select("k", "t").collect()], True
         return
     placed = running_starts(sized, "k", "n", "start").withColumn("block", F.expr(f"cast(start div {block_chars} as int)"))
     for b in range(total // block_chars + 1):
-        yield [(r["k"], r["t"]) for r in placed.where(F.col("block") == b).select("k", "t").collect()]
+        yield [(r["k"], r["t"]) for r in placed.where(F.col("block") == b).select("k", "t").collect()], False
 
 
 def contained(docs: DataFrame, items: DataFrame, rate: float = 0.1, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = 4_000_000) -> DataFrame:
@@ -171,7 +173,7 @@ def contained(docs: DataFrame, items: DataFrame, rate: float = 0.1, id_col: str
     spark, out = docs.sparkSession, None
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     schema = "id long, item_id long, distance int, end long"
-    for block in _blocks(items, item_id, item_text, block_chars):
+    for block, single in _blocks(items, item_id, item_text, block_chars):
         stamp = hashlib.sha256(repr((rate, block)).encode()).hexdigest()
         shared = spark.sparkContext.broadcast(block)
 
@@ -183,5 +185,8 @@ def contained(docs: DataFrame, items: DataFrame, rate: float = 0.1, id_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["id", "item_id", "distance", "end"])
 
         part = own.mapInArrow(run, schema)
+        if not single:
+            part = written(part, "contained-block")
+            shared.destroy()
         out = part if out is None else out.union(part)
     return out.withColumnRenamed("id", id_col)

@@ -9,8 +9,8 @@ their cosine in double precision.  A group returns, per class, how many vectors
 of its local component: rows, never pairs.
 
 The comparison is exact, so vectors without leading axes (an even spectrum) meet in all tiles: each is then sent to
-as many groups as there are tiles.  Tiles grow with the table, from ``least_tile`` up to ``tile_rows`` vectors, to keep
-that number small; above ``max_tiles`` tiles they grow further, so that what is broadcast stays bounded.
+as many groups as there are tiles.  Tiles grow with the table, from ``least_tile`` up to ``tile_rows`` vectors
+and ``tile_bytes`` as doubles (a task holds some ten times that), to keep that number small; above ``max_tiles`` tiles they grow further, so that what is broadcast stays bounded.
 
 Null vectors, zero vectors and vectors with null or non-finite components link with nothing and are their own
 component.  Only vectors of equal length are compared.  Rows with equal ids are different vectors, each with its own
@@ -113,7 +113,7 @@ def _leaf(points: np.ndarray, heap: list[tuple[int, float]]) -> np.ndarray:
     return node - len(heap)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector: str = "embedding", tile_rows: int = 65_536, least_tile: int = 512, max_tiles: int = 4096, sample: int = 20_000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector: str = "embedding", tile_rows: int = 65_536, tile_bytes: int = 1 << 25, least_tile: int = 512, max_tiles: int = 4096, sample: int = 20_000) -> DataFrame:
     """Per vector: id, n_links (others linked directly), component_id (smallest reachable id), kept."""
     spark = vectors.sparkSession
     kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
@@ -122,7 +122,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     classes = written(rows.where(good).groupBy("cls", "v").agg(F.min("id").alias("low_id"), F.count("*").alias("n")).withColumn("d", F.size("v")), "vector-classes")
     links = None
     for (d,) in classes.select("d").distinct().collect():  # the lengths of the vectors: one, as a rule
-        own = _links(classes.where(F.col("d") == d), d, threshold, tile_rows, least_tile, max_tiles, sample)
+        own = _links(classes.where(F.col("d") == d), d, threshold, min(tile_rows, max(1, tile_bytes // (8 * d))), least_tile, max_tiles, sample)
         links = own if links is None else links.union(own)
     if links is None:
         links = spark.createDataFrame([], "cls long, n_links long, low long")

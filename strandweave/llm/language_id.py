@@ -144,14 +144,14 @@ class Scorer:
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: id, lang_pred, score, and the columns in ``keep``.  Only the text is an input."""
+    """Per row: id, lang_pred, score, and the columns in ``keep`` (those named as a result give way).  Only the text is an input."""
     stamp = hashlib.sha256(" ".join(model["langs"]).encode())
     for names, logs in model["units"].values():
         stamp.update(" ".join(names).encode())
         stamp.update(logs.tobytes())
     stamp = stamp.hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [id_col, *(k for k in keep if k != id_col)]
+    names = [id_col, *(k for k in keep if k not in (id_col, "lang_pred", "score"))]
     read = docs.select(*names, *([] if text in names else [text]))
     at = read.columns.index(text)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in read.select(*names).schema), "lang_pred string", "score double"])

@@ -96,15 +96,16 @@ def pack(docs: DataFrame, path: str, end_id: int, window: int = 2048, id_col: st
     spark = docs.sparkSession
     if id_col != "doc_id":
         docs = docs.drop("doc_id") if "doc_id" in docs.columns else docs
-    cut = written(pieces(docs, path, end_id, window, id_col, text, keep_ids), "pieces")
+    cut = written(pieces(docs, path, end_id, window, id_col, text, keep_ids).withColumn("_at", F.monotonically_increasing_id()), "pieces")
     salts = salts or max(64, cut.count() // 1_000_000)  # windows that number pieces: none grows with the table
-    short = cut.where(F.col("length") < window).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    full = cut.where(F.col("length") == window).withColumn("_salt", F.pmod(F.xxhash64("id", "start"), F.lit(salts * 16)).cast("int"))
+    at = F.when(F.col("id").isNull(), F.col("_at"))  # rows without id are dealt by their place
+    short = cut.where(F.col("length") < window).withColumn("_salt", F.pmod(F.xxhash64("id", at), F.lit(salts)).cast("int"))
+    full = cut.where(F.col("length") == window).withColumn("_salt", F.pmod(F.xxhash64("id", "start", at), F.lit(salts * 16)).cast("int"))
 
     def ranked(df, keys, counts):
         before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
         base = counts.select(*keys, "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-        own = Window.partitionBy(*keys, "_salt").orderBy("id", "start")
+        own = Window.partitionBy(*keys, "_salt").orderBy("id", "start", "_at")
         return df.join(base, [*keys, "_salt"]).withColumn("_rank", F.col("_base") + F.row_number().over(own) - 1)
 
     counts = short.groupBy("length", "_salt").count()

@@ -160,6 +160,7 @@ def fit(found: DataFrame, column: str = "_found") -> dict[str, float]:
 
 def find(docs: DataFrame, text: str = "text", threshold: float = 0.8, weights: dict[str, float] | None = None, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``base`` and ``all`` spans: arrays of (kind, s, e), by kind as in ``KINDS``, then start.
+    Columns of ``docs`` with these names are replaced; one named ``_found`` is dropped.
 
     Without ``weights`` they are fitted on these documents: candidates are then found once and written, with the
     texts or, without ``keep_text``, beside the other columns alone.

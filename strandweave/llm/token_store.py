@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import drop_folder, real_id, running_starts, safe_id, written
 from .tokens import codec, slices
@@ -202,28 +201,32 @@ def joined_crc(crcs: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> np.nd
     return np.bitwise_xor.reduceat(_times(_shift(after.astype(np.int64)), crcs.astype(np.uint32)), groups).astype(np.int64)
 
 
-def read_store(spark: SparkSession, folder: str, id_bytes: int = 2, least_hot: int = 10_000) -> DataFrame:
+def read_store(spark: SparkSession, folder: str, least_hot: int = 10_000) -> DataFrame:
     """What the files hold, per document: id, start, n_tokens, ids_crc32 (little-endian 32-bit ids), verified.
 
     Every stored chunk is hashed again and its CRC-32 taken where it lies; only those short rows are
     joined with the recipes.  Digests that more than a thousandth of all recipe entries name (so fewer than a thousand)
-    are joined by broadcast: a passage of every document makes no large task.  ``verified``: digests, recipe, Merkle root and index agree, the start is the sum of what was
-read before, and the manifest made anew from all recipes is the stored one; if it is not, no row is verified.
+    are joined by broadcast: a passage of every document makes no large task.  Ids are as wide as a chunk's bytes and number
+    of ids say.  ``verified``: digests, recipe, Merkle root and index agree, the start is the sum of what was read before,
+    and the manifest made anew from all recipes is the stored one; if it is not, no row is verified.
     """
     import zlib
 
+    def wide(body: bytes, n: int) -> bytes | None:
+        size = len(body) // n if n else 0
+        return np.frombuffer(body, f"<u{size}").astype("<u4").tobytes() if size in (1, 2, 4) and size * n == len(body) else None
+
     def check(batches):
         for batch in batches:
-            digests, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            good = [hashlib.sha256(b).digest() == d for d, b in zip(digests, bodies)]
-            wide = memoryview(np.frombuffer(b"".join(bodies), f"<u{id_bytes}").astype("<u4").tobytes())
-            sizes = np.array([len(b) // id_bytes for b in bodies], np.int64)
-            ends = (np.cumsum(sizes) * 4).tolist()
-            crcs = [zlib.crc32(wide[a:b]) for a, b in zip([0, *ends], ends)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(crcs, pa.int64()), pa.array(good)], ["digest", "n", "crc", "good"])
+            rows = []
+            for digest, body, n in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = wide(body, n)
+                rows.append((len(ids or b"") // 4, zlib.crc32(ids or b""), ids is not None and hashlib.sha256(body).digest() == digest))
+            sizes, crcs, good = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(crcs, pa.int64()), pa.array(good, pa.bool_())], ["digest", "n", "crc", "good"])
 
     stored = spark.read.schema("key binary, id long, n_ids int, body binary, root binary, kind string").parquet(f"{folder}/stored")
-    chunks = stored.where("kind = 'chunk'").select("key", "body").mapInArrow(check, "digest binary, n int, crc long, good boolean")
+    chunks = stored.where("kind = 'chunk'").select("key", "body", "n_ids").mapInArrow(check, "digest binary, n int, crc long, good boolean")
     recipes = stored.where("kind = 'recipe'").select("id", "key", F.explode(F.expr(f"transform(sequence(0, length(body) div {_DIGEST} - 1), i -> struct(i as seq, substring(body, i * {_DIGEST} + 1, {_DIGEST}) as digest))")).alias("c"))
     named = recipes.select("id", "key", "c.*")
     chunks = written(chunks, "token-chunks")
@@ -250,7 +253,7 @@ read before, and the manifest made anew from all recipes is the stored one; if i
     read = running_starts(read, "id", "n_read", "start_read", ties=("root_read",), number="position")
     whole = _manifest_holds(read.select("position", F.col("root_read").alias("hash")), folder)
     index = spark.read.schema("id long, start long, n_tokens long, root binary").parquet(f"{folder}/index")
-    # Repeated ids: the index rows and the recipes of an id pair up in order.
-    nth = lambda df, *by: df.withColumn("_nth", F.row_number().over(Window.partitionBy("id").orderBy(*by)))
-    both = nth(index, "root", "start").join(nth(read, "root_read", "start_read"), ["id", "_nth"], "full")
-    return both.select(real_id("id").alias("id"), "start", F.col("n_read").alias("n_tokens"), "ids_crc32", F.coalesce(F.col("good") & (F.col("root") == F.col("root_read")) & (F.col("n_read") == F.col("n_tokens")) & (F.col("start_read") == F.col("start")) & F.lit(whole), F.lit(False)).alias("verified"))
+    # Index rows and recipes pair up by their places, so rows without id or with equal ones make no large key.
+    index = running_starts(index, "id", "n_tokens", "_sum", ties=("root", "start"), number="position").drop("_sum")
+    both = index.join(read.withColumnRenamed("id", "id_read"), "position", "full").withColumn("_same", F.col("id") == F.col("id_read")).withColumn("id", F.coalesce("id", "id_read"))
+    return both.select(real_id("id").alias("id"), "start", F.col("n_read").alias("n_tokens"), "ids_crc32", F.coalesce(F.col("_same") & F.col("good") & (F.col("root") == F.col("root_read")) & (F.col("n_read") == F.col("n_tokens")) & (F.col("start_read") == F.col("start")) & F.lit(whole), F.lit(False)).alias("verified"))

@@ -112,6 +112,46 @@ def test_store_of_nothing_and_of_repeated_ids(spark, tmp_path):
     assert sorted((r.id or -1, r.n_tokens, r.verified) for r in token_store.read_store(spark, str(tmp_path / "t")).collect()) == [(-1, 2, True), (1, 2, True), (1, 2, True)]
 
 
+def test_rows_without_ids_make_no_large_key(spark, tmp_path):
+    """A table of null ids and one text: every row keeps its place, whatever its neighbours, in many tasks."""
+    text = "a b c " * 40
+    table = spark.createDataFrame([(None, text)] * 900 + [(None, None)] * 100, "doc_id long, text string").repartition(4)
+    token_store.write_store(table, tokenizer_file(FILES[0]), str(tmp_path / "z"), end_id=2)
+    size = len(library(FILES[0], text)) + 1
+    got = sorted(token_store.read_store(spark, str(tmp_path / "z")).collect(), key=lambda r: r.start)
+    assert len(got) == 1000 and all(r.id is None and r.verified for r in got)
+    assert sorted(r.n_tokens for r in got) == [1] * 100 + [size] * 900
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    rows = packing.pack(table, tokenizer_file(FILES[1]), end_id=1, window=64, salts=8)
+    rows = rows.collect()
+    n = len(library(FILES[1], text)) + 1
+    assert sum(r.length for r in rows) == 900 * n + 100
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.offset + r.length))
+    assert sorted(places) == list(range(len(places)))
+    assert all(a[1] == b[0] for parts in map(sorted, places.values()) for a, b in zip(parts, parts[1:]))
+
+
+def test_store_with_wide_ids(spark, tmp_path):
+    """Four bytes an id: the width comes from the chunks themselves."""
+    import hashlib
+
+    token_store.write_store(spark.createDataFrame([(5, "one two three")], "doc_id long, text string"), tokenizer_file(FILES[0]), str(tmp_path / "s"), end_id=2)
+    (chunk,) = spark.read.parquet(str(tmp_path / "s/stored/kind=chunk")).collect()
+    body = np.frombuffer(chunk.body, "<u2").astype("<u4").tobytes()
+    digest = hashlib.sha256(body).digest()
+    root = token_store.merkle([digest])
+    schema = "key binary, id long, n_ids int, body binary, root binary, kind string"
+    (recipe,) = spark.read.parquet(str(tmp_path / "s/stored/kind=recipe")).collect()
+    rows = [(digest, None, chunk.n_ids, body, None, "chunk"), (recipe.key, 5, recipe.n_ids, digest, root, "recipe")]
+    spark.createDataFrame(rows, schema).write.partitionBy("kind").parquet(str(tmp_path / "w/stored"))
+    spark.createDataFrame([(5, 0, recipe.n_ids, root)], "id long, start long, n_tokens long, root binary").write.parquet(str(tmp_path / "w/index"))
+    token_store._write_manifest(spark.createDataFrame([(0, root)], "position long, hash binary"), str(tmp_path / "w"))
+    got, want = (token_store.read_store(spark, str(tmp_path / x)).collect() for x in "ws")
+    assert got == want and got[0].verified
+
+
 def test_store_with_losses(spark, tmp_path):
     """A document lost with its index row, and a changed start, are told; an intact store of repeated ids is verified."""
     table = spark.createDataFrame([(i // 2 if i % 9 else None, f"text {i}") for i in range(2500)], "doc_id long, text string")
