@@ -210,7 +210,7 @@ def test_embeddings(spark):
         got = {v.vec_id: (v.n_links, v.component_id, v.kept) for v in embedding_dedup.near_duplicates(table, 0.9, tile_rows=tile).collect()}
         assert got == want
     scaled = spark.createDataFrame([(i, [c * 10.0 ** ([160, -170, 0][i % 3]) if c is not None else None for c in v] if v is not None else None) for i, v, _ in vectors], "vec_id long, embedding array<double>")
-    got = {v.vec_id: (v.n_links, v.component_id, v.kept) for v in embedding_dedup.near_duplicates(scaled, 0.9, tile_rows=40).collect()}
+    got = {v.vec_id: (v.n_links, v.component_id, v.kept) for v in embedding_dedup.near_duplicates(scaled, 0.9, tile_bytes=8 * 24 * 40).collect()}
     assert got == want
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
