@@ -64,6 +64,18 @@ def test_ngram_join(spark, monkeypatch):
         assert got == {i: (len(sets[i]), low[i]) for i in ids}
 
 
+def test_near_pairs_by_early_places(spark):
+    """Groups pair up under enough of their first shingles, not under late ones."""
+    from strandweave.llm.ngram_join import near_pairs
+
+    early = [(1, 500, p, 2, 500, p) for p in (0, 40, 80, 120)]
+    late = [(3, 500, 200 + p, 4, 500, 200 + p) for p in range(40)]
+    few = [(5, 500, p, 6, 500, p) for p in (0, 40, 80)]
+    short = [(7, 3, 0, 8, 3, 0)]
+    met = spark.createDataFrame(early + late + few + short, "g long, n int, place int, g2 long, n2 int, place2 int")
+    assert sorted(tuple(r) for r in near_pairs(met, 80).collect()) == [(1, 2), (7, 8)]
+
+
 def test_ngram_join_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.jaccard_components(none).count() == 0
