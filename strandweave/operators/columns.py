@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -235,21 +236,30 @@ def partial_overlaps(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", n.cast("long").alias("partial_overlaps"))
 
 
+def good_ends(ops: str, least: float, width: int) -> tuple[int, int]:
+    """The first column whose window forward has ``least`` matches a column, and behind the last whose window backward has;
+    both windows are differences of running counts."""
+    c = np.frombuffer(ops.encode(), np.uint8)
+    n, at = len(c), np.arange(len(c))
+    matches, real = (np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (c == ord("="), c != ord("M")))
+
+    def good(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        total = real[hi] - real[lo]
+        return np.flatnonzero((total > 0) & ((matches[hi] - matches[lo]) / np.maximum(total, 1) >= least))
+
+    ahead, back = good(at, np.minimum(at + width, n)), good(np.maximum(at - width + 1, 0), at + 1)
+    return int(ahead[0]) if len(ahead) else 0, int(back[-1]) + 1 if len(back) else n
+
+
 def trim_ends(pairs: DataFrame, least: float = 0.1, width: int = 10) -> DataFrame:
     """Cut badly conserved ends: from the first column whose window forward has ``least`` matches a column
     (double gaps aside) to the last whose window backward has; unchanged where nothing is left."""
-    def good(c: Column, first: Column, size: Column) -> Column:
-        w = F.slice(c, first + 1, size)
-        total = F.size(F.filter(w, lambda x: x != "M"))
-        return (total > 0) & (F.size(F.filter(w, lambda x: x == "=")) / F.greatest(total, F.lit(1)) >= least)
-
-    def ends(c: Column) -> Column:
-        place = F.when(F.size(c) > 0, F.sequence(F.lit(0), F.size(c) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-        ahead = F.filter(place, lambda i: good(c, i, F.lit(width)))
-        back = F.filter(place, lambda i: good(c, F.greatest(i - (width - 1), F.lit(0)), F.least(i + 1, F.lit(width))))
-        return F.struct(F.coalesce(F.get(ahead, F.lit(0)), F.lit(0)).alias("start"), F.coalesce(F.array_max(back) + 1, F.size(c)).alias("end"))
-
-    rows = with_classes(pairs).withColumn("_e", let(symbols(F.col("ops")), ends)).select("*", "_e.start", "_e.end")
+
+    @F.pandas_udf("start int, end int")
+    def ends(ops: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([good_ends(o or "", least, width) for o in ops], columns=["start", "end"])
+
+    rows = with_classes(pairs).withColumn("_e", ends("ops")).select("*", "_e.start", "_e.end")
     keep = F.col("start") < F.col("end")
     cut = lambda a: F.when(keep, F.substring(F.col(a), F.col("start") + 1, F.col("end") - F.col("start"))).otherwise(F.col(a))
     return rows.select("pair_id", cut("a1").alias("a1"), cut("a2").alias("a2"))

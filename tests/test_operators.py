@@ -167,3 +167,19 @@ def test_command_line(spark, tmp_path, capsys):
     assert run(spark, ["align", a, b, "--names1", "1+2", "--names2", "x", "--gap-open", "0", "--diagonal", "--out", str(tmp_path / "out2")]) == 0
     assert spark.read.text(str(tmp_path / "out2/paf")).first()[0].startswith("1+2\t24\t0\t24")
     assert run(spark, ["config", str(tmp_path / "c.json")]) == 0
+
+
+def test_good_ends_of_a_long_alignment():
+    """By running counts: a million columns take one pass, and windows are those of a plain loop."""
+    import random
+
+    from strandweave.operators.columns import good_ends
+
+    r = random.Random(1)
+    for _ in range(200):
+        ops = "".join(r.choice("=XIDMMM") for _ in range(r.randint(0, 30)))
+        ok = lambda w: any(x != "M" for x in w) and w.count("=") / sum(x != "M" for x in w) >= 0.3
+        ahead = [i for i in range(len(ops)) if ok(ops[i : i + 4])]
+        back = [i for i in range(len(ops)) if ok(ops[max(0, i - 3) : i + 1])]
+        assert good_ends(ops, 0.3, 4) == (ahead[0] if ahead else 0, back[-1] + 1 if back else len(ops))
+    assert good_ends("X" * 500_000 + "=" + "I" * 500_000, 0.1, 10) == (499_991, 500_010)
