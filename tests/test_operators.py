@@ -183,3 +183,43 @@ def test_good_ends_of_a_long_alignment():
         back = [i for i in range(len(ops)) if ok(ops[max(0, i - 3) : i + 1])]
         assert good_ends(ops, 0.3, 4) == (ahead[0] if ahead else 0, back[-1] + 1 if back else len(ops))
     assert good_ends("X" * 500_000 + "=" + "I" * 500_000, 0.1, 10) == (499_991, 500_010)
+
+
+def test_symbols_are_kept_by_bytes(spark):
+    texts = [None, "", "aÉc\U0001F600g\n-tN\x00ſK", "ü", "nACGTacgtu" * 3]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for codes, other in (("ACGT", ""), ("ACGTN", "-"), ("ACGTURYSWKMBDHVN", "-")):
+        plain = F.upper(F.regexp_replace("text", f"[^{codes}{codes.lower()}]", other))
+        got = rows.select("id", alphabet.only(F.col("text"), codes, other).alias("got"), plain.alias("want")).orderBy("id").collect()
+        assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_pairs_are_cut_out_in_arrow_passes(spark, tmp_path):
+    from strandweave.plans import queries
+
+    spark.createDataFrame([(i, "ACGTN and text") for i in range(4)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (queries._pairs(spark, str(tmp_path)), queries._sequences(spark, str(tmp_path)), queries.iupac_partial(spark, str(tmp_path)), queries.plot_places(spark, str(tmp_path))):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_replace" not in plan and "zip_with" not in plan and "ArrowEvalPython" in plan
+
+
+def test_partial_columns_against_the_predicate(spark):
+    rows = [(0, "ARN-UTſ", "RGA-TUCC"), (1, None, "A"), (2, "", ""), (3, "nrykB", "NYRMV")]
+    df = spark.createDataFrame(rows, "pair_id long, a1 string, a2 string")
+    got = {r[0]: r[1] for r in columns.partial_overlaps(df).collect()}
+    long = df.where("a1 is not null").select("pair_id", F.explode(F.arrays_zip(F.split("a1", "").alias("x"), F.split("a2", "").alias("y"))).alias("c"))
+    want = {r[0]: r[1] for r in long.groupBy("pair_id").agg(F.sum(alphabet.is_partial_overlap(F.col("c.x"), F.col("c.y")).cast("int"))).collect()}
+    assert got == {**want, 1: None}
+
+
+def test_written_formats_share_one_cigar(spark, tmp_path, monkeypatch):
+    from strandweave.sinks import files
+
+    calls, plain = [], files.cigar_of
+    monkeypatch.setattr(files, "cigar_of", lambda ops: calls.append(1) or plain(ops))
+    df = spark.createDataFrame([(0, "a", "b", 1.0, "AC-T", "ACGT")], "pair_id long, name1 string, name2 string, total_score double, a1 string, a2 string")
+    paths = files.write_all(df, str(tmp_path / "all"))
+    assert len(calls) == 1
+    assert spark.read.text(paths["cigar"]).first()[0] == "2=1I1="
+    assert spark.read.text(paths["paf"]).first()[0].endswith("cg:Z:2=1I1=")
+    assert spark.read.json(paths["json"]).first()["alignment"]["cigar"] == "2=1I1="
