@@ -17,6 +17,20 @@ def _tasks(rows: DataFrame) -> int:
     return 3 * rows.sparkSession.sparkContext.defaultParallelism
 
 
+def _gathered(batches, of: list[str], rows: int = 10_000, symbols: int = 1 << 25):
+    """Arrow batches put together up to so many rows or symbols of the columns ``of``: kernels take many pairs at once, however small
+    the session's batches are."""
+    held, n, size = [], 0, 0
+    for pdf in batches:
+        held.append(pdf)
+        n, size = n + len(pdf), size + sum(int(pdf[c].str.len().sum()) for c in of)
+        if n >= rows or size >= symbols:
+            yield pd.concat(held, ignore_index=True)
+            held, n, size = [], 0, 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _each(pairs: DataFrame, columns: list[str], schema: str, many) -> DataFrame:
     """Apply ``many`` to each Arrow batch's ``columns``, a list of rows in and one out; pair_id goes along.
 
@@ -26,7 +40,7 @@ def _each(pairs: DataFrame, columns: list[str], schema: str, many) -> DataFrame:
 
     def run(batches):
         names = [c.split()[0] for c in schema.split(", ")]
-        for pdf in batches:
+        for pdf in _gathered(batches, columns):
             found = many([tuple(v or "" for v in row) for row in zip(*(pdf[c] for c in columns))])
             yield pd.DataFrame([(key, *row) for key, row in zip(pdf["pair_id"], found)], columns=names)
 
@@ -70,7 +84,7 @@ def align_chunks(pairs: DataFrame, chunks: DataFrame, gap_open: float = -2.0, ga
     rows = rows.select("pair_id", "chunks", "s1", "s2").mapInPandas(cut, "pair_id long, cid int, q_start int, q_end int, t_start int, t_end int, x string, y string")
 
     def run(batches):
-        for pdf in batches:
+        for pdf in _gathered(batches, ["x", "y"]):
             both = list(zip(pdf.x, pdf.y))
             got = lockstep.align_safely(both, gap_open, gap_extend, [_window(*r) for r in both], width)
             out = pdf[["pair_id", "cid", "q_start", "q_end", "t_start", "t_end"]].copy()

@@ -38,7 +38,14 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Whole texts are long: a Python worker holds a few of them at once, whatever the table's size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(min(500, int(spark.conf.get(key))) if int(spark.conf.get(key)) > 0 else 500))
+
+
 def _sequences(spark: SparkSession, sf: str) -> DataFrame:
+    _small_batches(spark)
     return _table(spark, sf, "documents").select("doc_id", alphabet.only(F.col("text"), "ACGT").alias("seq"))
 
 
@@ -54,6 +61,7 @@ def _seq_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf: str, codes: str = "ACGTN") -> DataFrame:
     """Aligned pairs, cut to the shorter side."""
+    _small_batches(spark)
     docs = _table(spark, sf, "documents").select("doc_id", alphabet.only(F.col("text"), codes, "-").alias("a"))
     rows = _next_to(docs, "a", "a1", "a2")
     n = F.least(F.length("a1"), F.length("a2"))

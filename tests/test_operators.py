@@ -223,3 +223,29 @@ def test_written_formats_share_one_cigar(spark, tmp_path, monkeypatch):
     assert spark.read.text(paths["cigar"]).first()[0] == "2=1I1="
     assert spark.read.text(paths["paf"]).first()[0].endswith("cg:Z:2=1I1=")
     assert spark.read.json(paths["json"]).first()["alignment"]["cigar"] == "2=1I1="
+
+
+def test_pair_queries_hold_few_texts_a_batch(spark, tmp_path):
+    from strandweave.plans import queries
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.createDataFrame([(i, "ACGTN and text") for i in range(4)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    try:
+        for f in (queries._pairs, queries._sequences):
+            spark.conf.set(key, "10000")
+            f(spark, str(tmp_path))
+            assert int(spark.conf.get(key)) <= 500
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_small_batches_are_aligned_together():
+    import pandas as pd
+    from strandweave.operators import align
+
+    batches = [pd.DataFrame({"x": ["AC"] * 3 + [None], "y": ["A"] * 4}) for _ in range(5)]
+    assert [len(b) for b in align._gathered(iter(batches), ["x", "y"])] == [20]
+    assert [len(b) for b in align._gathered(iter(batches), ["x", "y"], rows=8)] == [8, 8, 4]
+    assert [len(b) for b in align._gathered(iter(batches), ["x"], symbols=6)] == [4] * 5
+    assert list(align._gathered(iter([]), ["x"])) == []
