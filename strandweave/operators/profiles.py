@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import VALID
-from ..functions.features import entropy, gc_percent, kmers, times, ungapped, window_heuristic
+from ..functions.features import entropy, gc_percent, times, ungapped, window_heuristic
 from .columns import symbols
 
 
@@ -26,9 +27,34 @@ def gc_entropy(sequences: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def kmer_counts(sequences: DataFrame, k: int = 3, key: str = "doc_id") -> DataFrame:
-    """Counts and frequencies of k-mers; counting is partial in each task before it is shuffled."""
-    rows = sequences.select(key, F.greatest(F.length(ungapped(F.col("seq"))) - (k - 1), F.lit(0)).alias("_n"), F.explode(kmers(F.col("seq"), k)).alias("kmer"))
-    return rows.groupBy(key, "kmer", "_n").agg(F.count("*").alias("n")).select(key, "kmer", "n", (F.col("n") / F.col("_n")).alias("frequency"))
+    """Counts and frequencies of k-mers; each row is counted in an Arrow pass, and only its different k-mers are exploded and shuffled."""
+
+    @F.arrow_udf("array<struct<kmer:string,c:long>>")
+    def counted(seqs: pa.Array) -> pa.Array:
+        offsets, found, counts = [0], [], []
+        for s in seqs:
+            words, c = _counted(s.as_py() or "", k)
+            found += words
+            counts += c
+            offsets.append(len(found))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(counts, pa.int64())], ["kmer", "c"]))
+
+    rows = sequences.select(key, F.greatest(F.length(ungapped(F.col("seq"))) - (k - 1), F.lit(0)).alias("_n"), F.explode(counted(F.upper(ungapped(F.col("seq"))))).alias("k"))
+    return rows.groupBy(key, F.col("k.kmer").alias("kmer"), "_n").agg(F.sum("k.c").alias("n")).select(key, "kmer", "n", (F.col("n") / F.col("_n")).alias("frequency"))
+
+
+def _counted(seq: str, k: int) -> tuple[list[str], list[int]]:
+    """Different k-mers of any symbols and their counts: up to seven ASCII symbols are one number."""
+    if not seq.isascii() or k > 7:
+        found = Counter(seq[i : i + k] for i in range(len(seq) - k + 1))
+        return list(found), list(found.values())
+    raw = np.frombuffer(seq.encode(), np.uint8)
+    n = max(0, len(raw) - k + 1)
+    code = np.zeros(n, np.int64)
+    for i in range(k):
+        code = code << 8 | raw[i : n + i]
+    code, counts = np.unique(code, return_counts=True)
+    return [c.to_bytes(k).decode() for c in code.tolist()], counts.tolist()
 
 
 _BASES = np.full(256, -1, np.int64)

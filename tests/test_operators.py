@@ -249,3 +249,13 @@ def test_small_batches_are_aligned_together():
     assert [len(b) for b in align._gathered(iter(batches), ["x", "y"], rows=8)] == [8, 8, 4]
     assert [len(b) for b in align._gathered(iter(batches), ["x"], symbols=6)] == [4] * 5
     assert list(align._gathered(iter([]), ["x"])) == []
+
+
+def test_kmers_are_counted_in_the_row(spark):
+    texts = [(0, "acg-tACGTT"), (1, None), (2, "AC"), (3, "ÉaÉaÉaé"), (4, "AAAA"), (4, "AAAT")]
+    df = spark.createDataFrame(texts, "doc_id long, seq string")
+    for k in (3, 8):
+        counted = profiles.kmer_counts(df, k)
+        assert "regexp_extract_all" not in counted._jdf.queryExecution().optimizedPlan().toString()
+        plain = df.select("doc_id", F.explode(features.kmers(F.col("seq"), k)).alias("kmer")).groupBy("doc_id", "kmer").count()
+        assert sorted((r["doc_id"], r["kmer"], r["n"]) for r in counted.collect()) == sorted(map(tuple, plain.collect()))
