@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.alphabet import VALID
 from ..functions.features import entropy, gc_percent, times, ungapped, window_heuristic
 from .columns import symbols
+from .kernels import column_classes
 
 
 def fasta_stats(sequences: DataFrame) -> DataFrame:
@@ -76,32 +77,46 @@ def kmer_cosine(pairs: DataFrame, k: int = 3) -> DataFrame:
     """(pair_id, s1, s2) -> cosine of their k-mer counts over A, C, G, T; 0 where one has none.  Counts stay in the
     row: no shuffle.  ``k`` up to 31."""
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for s1, s2 in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                (x, a), (y, b) = _kmer_codes(s1, k), _kmer_codes(s2, k)
-                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                norm = math.sqrt(int((a * a).sum())) * math.sqrt(int((b * b).sum()))
-                out.append(int((a[i] * b[j]).sum()) / norm if norm else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["pair_id", "cosine"])
+    return pairs.select("pair_id", _cosine(k)("s1", "s2").alias("cosine"))
 
-    return pairs.select("pair_id", "s1", "s2").mapInArrow(run, f"pair_id {pairs.schema['pair_id'].dataType.simpleString()}, cosine double")
+
+def _cosine(k: int):
+    @F.arrow_udf("double")
+    def cosine(first: pa.Array, second: pa.Array) -> pa.Array:
+        out = []
+        for s1, s2 in zip(first, second):
+            (x, a), (y, b) = _kmer_codes(s1.as_py(), k), _kmer_codes(s2.as_py(), k)
+            _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+            norm = math.sqrt(int((a * a).sum())) * math.sqrt(int((b * b).sum()))
+            out.append(int((a[i] * b[j]).sum()) / norm if norm else 0.0)
+        return pa.array(out, pa.float64())
+
+    return cosine
+
+
+def _identity():
+    """Percent of equal symbols of either case among the places where neither sequence has a gap, up to the shorter one's end."""
+
+    @F.arrow_udf("double")
+    def identity(first: pa.Array, second: pa.Array) -> pa.Array:
+        out = []
+        for s1, s2 in zip(first, second):
+            ops = column_classes(s1.as_py() or "", s2.as_py() or "")
+            same, other = ops.count("="), ops.count("X")
+            out.append(same / (same + other) * 100 if same + other else 0.0)
+        return pa.array(out, pa.float64())
+
+    return identity
 
 
 def pair_features(pairs: DataFrame) -> DataFrame:
     """Ten features of a pair (pair_id, s1, s2)."""
-    a, b = symbols(F.upper("s1")), symbols(F.upper("s2"))
-    n = F.least(F.size(a), F.size(b))
-    both = F.filter(F.arrays_zip(F.slice(a, 1, n).alias("x"), F.slice(b, 1, n).alias("y")), lambda c: (c["x"] != "-") & (c["y"] != "-"))
-    same = F.size(F.filter(both, lambda c: c["x"] == c["y"]))
     rows = pairs.select(
         "pair_id", gc_percent(F.col("s1")).alias("seq1_gc"), gc_percent(F.col("s2")).alias("seq2_gc"),
         entropy(F.col("s1")).alias("seq1_entropy"), entropy(F.col("s2")).alias("seq2_entropy"),
         F.length(ungapped(F.col("s1"))).alias("seq1_length"), F.length(ungapped(F.col("s2"))).alias("seq2_length"),
-        F.when(F.size(both) > 0, same / F.size(both) * 100).otherwise(0.0).alias("seq_identity"))
-    rows = rows.withColumns({"gc_ratio_diff": F.abs(F.col("seq1_gc") - F.col("seq2_gc")), "length_diff": F.abs(F.col("seq1_length") - F.col("seq2_length"))})
-    return rows.join(kmer_cosine(pairs).withColumnRenamed("cosine", "kmer_similarity"), "pair_id")
+        _identity()("s1", "s2").alias("seq_identity"), _cosine(3)("s1", "s2").alias("_cosine"))
+    return rows.withColumns({"gc_ratio_diff": F.abs(F.col("seq1_gc") - F.col("seq2_gc")), "length_diff": F.abs(F.col("seq1_length") - F.col("seq2_length")), "kmer_similarity": F.col("_cosine")}).drop("_cosine")
 
 
 def window_sizes(pairs: DataFrame) -> DataFrame:

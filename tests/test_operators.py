@@ -259,3 +259,13 @@ def test_kmers_are_counted_in_the_row(spark):
         assert "regexp_extract_all" not in counted._jdf.queryExecution().optimizedPlan().toString()
         plain = df.select("doc_id", F.explode(features.kmers(F.col("seq"), k)).alias("kmer")).groupBy("doc_id", "kmer").count()
         assert sorted((r["doc_id"], r["kmer"], r["n"]) for r in counted.collect()) == sorted(map(tuple, plain.collect()))
+
+
+def test_pair_features_join_nothing(spark):
+    """All ten features come from the pair's row; identity counts places without gaps, of either case."""
+    df = spark.createDataFrame([(1, "ACGTac-t", "ACCTAC"), (2, "", "A"), (3, "---", "-A-"), (4, "acgt", "ACGTTT")], "pair_id long, s1 string, s2 string")
+    rows = profiles.pair_features(df)
+    assert "Join" not in rows._jdf.queryExecution().toString()
+    got = {r.pair_id: r for r in rows.collect()}
+    assert [round(got[i].seq_identity, 6) for i in (1, 2, 3, 4)] == [round(500 / 6, 6), 0.0, 0.0, 100.0]
+    assert got[2].kmer_similarity == 0.0 and got[4].length_diff == 2
